@@ -1,8 +1,8 @@
 """Lexicons: small parameter tables that become Column expressions.
 
 A lexicon is a *bag* of ``(group, option, keyword)`` rows: a keyword listed twice counts twice.
-All matching is case-insensitive containment in the lower-cased text. Short lexicons unroll into
-``contains`` calls, which stay inside generated code; longer ones use one array filter. Beyond
+Matching is case-insensitive containment. Each expression lower-cases its text once and runs over a
+literal array, whatever the optimizer makes of the surrounding projections and filters. Beyond
 ``MAX_ENTRIES`` a lexicon is data rather than a parameter and belongs into a dictionary join
 (:func:`corpusdeck.operators.entities.model_entities`).
 """
@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-UNROLLED = 256
+from corpusdeck.functions.arrays import bind
+
 MAX_ENTRIES = 5_000
 
 
@@ -27,7 +28,7 @@ class Entry:
 
 
 class Lexicon:
-    """An ordered bag of entries. ``lc`` arguments are columns of lower-cased text."""
+    """An ordered bag of entries."""
 
     def __init__(self, entries: Iterable[Entry], groups: Iterable[str] = ()):
         self.entries = tuple(entries)
@@ -61,40 +62,45 @@ class Lexicon:
     def group(self, name: str) -> Lexicon:
         return Lexicon((e for e in self.entries if e.group == name), groups=(name,))
 
-    def options(self) -> dict[str, Lexicon]:
-        names = dict.fromkeys(e.option for e in self.entries)
-        return {o: Lexicon(e for e in self.entries if e.option == o) for o in names}
+    def options(self) -> dict[tuple[str, str], list[str]]:
+        """Keywords per ``(group, option)``, in declaration order."""
+        table: dict[tuple[str, str], list[str]] = {}
+        for e in self.entries:
+            table.setdefault((e.group, e.option), []).append(e.keyword)
+        return table
+
+    def matches(self, text: Column) -> Column:
+        """The entries that occur, in lexicon order."""
+        words = word_array(self.keywords)
+        return bind(F.lower(text), lambda lc: F.filter(words, lambda k: F.contains(lc, k)))
 
-    def score(self, lc: Column) -> Column:
+    def score(self, text: Column) -> Column:
         """How many entries occur in the text."""
-        if not self.entries:
-            return F.lit(0)
-        if len(self.entries) > UNROLLED:
-            return F.size(self.matches(lc))
-        total = F.lit(0)
-        for k in self.keywords:
-            total = total + F.contains(lc, F.lit(k)).cast("int")
-        return total
-
-    def any(self, lc: Column) -> Column:
+        return F.size(self.matches(text))
+
+    def any(self, text: Column) -> Column:
         """Whether any entry occurs in the text."""
-        if len(self.entries) > UNROLLED:
-            words = F.array(*[F.lit(k) for k in self.keywords])
-            return F.exists(words, lambda k: F.contains(lc, k))
-        hit = F.lit(False)
-        for k in dict.fromkeys(self.keywords):
-            hit = hit | F.contains(lc, F.lit(k))
-        return hit
-
-    def matches(self, lc: Column) -> Column:
-        """The entries that occur, in lexicon order."""
-        if not self.entries:
-            return F.array().cast("array<string>")
-        if len(self.entries) > UNROLLED:
-            words = F.array(*[F.lit(k) for k in self.keywords])
-            return F.filter(words, lambda k: F.contains(lc, k))
-        return F.array_compact(F.array(*[F.when(F.contains(lc, F.lit(k)), F.lit(k)) for k in self.keywords]))
-
-    def groups_hit(self, lc: Column) -> Column:
+        return bind(F.lower(text), lambda lc: contains_any(lc, self.keywords))
+
+    def groups_hit(self, text: Column) -> Column:
         """The groups with at least one occurring entry, in declaration order."""
-        return F.array_compact(F.array(*[F.when(self.group(g).any(lc), F.lit(g)) for g in self.groups]))
+        table = F.array(
+            *[
+                F.struct(F.lit(g).alias("name"), word_array(self.group(g).keywords).alias("words"))
+                for g in self.groups
+            ]
+        )
+        return bind(
+            F.lower(text),
+            lambda lc: F.transform(
+                F.filter(table, lambda g: F.exists(g["words"], lambda k: F.contains(lc, k))), lambda g: g["name"]
+            ),
+        )
+
+
+def word_array(words: Iterable[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+
+def contains_any(lc: Column, words: Iterable[str]) -> Column:
+    return F.exists(word_array(words), lambda k: F.contains(lc, k))

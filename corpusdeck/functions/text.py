@@ -52,14 +52,18 @@ def drop_words(tokens: Column, words: Iterable[str]) -> Column:
 
 def token_ngrams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring tokens joined by a blank. Pass a plain column, not an expression:
-    the argument occurs several times."""
-    if n == 1:
-        return tokens
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+    the argument occurs several times.
+
+    Arrays shifted against each other are zipped, which is linear in the text; a slice per run
+    would copy the array each time.
+    """
+    grams = tokens
+    for k in range(2, n + 1):
+        length = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(grams, 1, length), F.slice(tokens, k, length), lambda head, t: F.concat(head, F.lit(" "), t)
+        )
+    return grams
 
 
 def preview(c: Column, length: int = 500) -> Column:

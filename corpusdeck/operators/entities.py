@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusdeck.defaults import CATEGORY_PREFIX, PATTERN_LABEL, PATTERN_SCORE, PATTERN_SOURCE
-from corpusdeck.functions.lexicon import Lexicon
+from corpusdeck.functions.arrays import bind
+from corpusdeck.functions.lexicon import Lexicon, contains_any
 from corpusdeck.functions.text import token_ngrams, word_tokens
 from corpusdeck.operators.skew import lookup
 
@@ -23,27 +24,29 @@ def pattern_entities(
 
     Row-local: an array column, no explosion and no shuffle.
     """
-    staged = df.withColumn("_lc", F.lower(text))
-    # Only the position of the pattern is decided per row; what it stands for is constant.
-    hits = [F.when(F.contains(F.col("_lc"), F.lit(e.keyword)), F.lit(i)) for i, e in enumerate(lexicon.entries)]
-    if not hits:
-        return df.withColumn(out, F.array().cast(f"array<{ENTITY}>"))
-    staged = staged.withColumn("_hits", F.array_compact(F.array(*hits)))
-    known = F.array(
+    table = F.array(
         *[
             F.struct(
-                F.lit(e.keyword.title()).alias("text"),
-                F.lit(PATTERN_LABEL).alias("label"),
-                F.lit(PATTERN_SCORE).alias("score"),
-                F.lit(CATEGORY_PREFIX + e.group).alias("category"),
-                F.lit(True).alias("is_related"),
-                F.lit(PATTERN_SOURCE).alias("source"),
+                F.lit(e.keyword).alias("keyword"),
+                F.struct(
+                    F.lit(e.keyword.title()).alias("text"),
+                    F.lit(PATTERN_LABEL).alias("label"),
+                    F.lit(PATTERN_SCORE).alias("score"),
+                    F.lit(CATEGORY_PREFIX + e.group).alias("category"),
+                    F.lit(True).alias("is_related"),
+                    F.lit(PATTERN_SOURCE).alias("source"),
+                ).alias("entity"),
             )
             for e in lexicon.entries
         ]
     )
-    found = F.transform("_hits", lambda i: F.element_at(known, i + 1))
-    return staged.withColumn(out, found.cast(f"array<{ENTITY}>")).drop("_lc", "_hits")
+    if not lexicon.entries:
+        return df.withColumn(out, F.array().cast(f"array<{ENTITY}>"))
+    found = bind(
+        F.lower(text),
+        lambda lc: F.transform(F.filter(table, lambda p: F.contains(lc, p["keyword"])), lambda p: p["entity"]),
+    )
+    return df.withColumn(out, found.cast(f"array<{ENTITY}>"))
 
 
 def token_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
@@ -56,8 +59,9 @@ def token_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", max_word
         )
         for n in range(1, max_words + 1)
     ]
-    spans = staged.select(doc, F.inline(F.concat(*runs)))
-    return spans.withColumn("phrase", F.lower("text"))
+    # Outer, because the inner form adds an emptiness filter that computes the spans again.
+    spans = staged.select(doc, F.inline_outer(F.concat(*runs)))
+    return spans.filter(F.col("text").isNotNull()).withColumn("phrase", F.lower("text"))
 
 
 def model_entities(
@@ -84,29 +88,25 @@ def categorize_entity(
 
     With ``strict`` an entity known only by its label is ``other``.
     """
-    lc = F.lower(text)
-    rules = [(patterns.group(g), CATEGORY_PREFIX + g) for g in patterns.groups]
-    rules += [
-        (option, f"{facet}_{name}") for facet in facets.groups for name, option in facets.group(facet).options().items()
-    ]
-    rule = None
-    for lexicon, name in rules:
-        if lexicon.entries:
-            hit = lexicon.any(lc)
-            rule = F.when(hit, name) if rule is None else rule.when(hit, name)
-    fallback = F.lit("other") if strict else F.lower(label)
-    return fallback if rule is None else rule.otherwise(fallback)
+    rules = [(patterns.group(g).keywords, CATEGORY_PREFIX + g) for g in patterns.groups]
+    rules += [(words, f"{facet}_{option}") for (facet, option), words in facets.options().items()]
+
+    def first(lc: Column) -> Column:
+        rule = F.lit("other") if strict else F.lower(label)
+        for words, name in reversed(rules):
+            if words:
+                rule = F.when(contains_any(lc, words), F.lit(name)).otherwise(rule)
+        return rule
+
+    return bind(F.lower(text), first)
 
 
 def with_categories(
     entities: DataFrame, patterns: Lexicon, facets: Lexicon, strict: bool = False
 ) -> DataFrame:
     """Add ``category`` and ``is_related`` to ``(…, text, label)`` rows."""
-    staged = entities.withColumn("_lc", F.lower("text"))
-    category = categorize_entity(F.col("_lc"), F.col("label"), patterns, facets, strict)
-    return (
-        staged.withColumn("category", category).withColumn("is_related", F.col("category") != "other").drop("_lc")
-    )
+    category = categorize_entity(F.col("text"), F.col("label"), patterns, facets, strict)
+    return entities.withColumn("category", category).withColumn("is_related", F.col("category") != "other")
 
 
 def nest_entities(found: DataFrame, doc: str = "doc_id", out: str = "model_entities") -> DataFrame:

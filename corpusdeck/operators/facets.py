@@ -5,39 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusdeck.functions.lexicon import Lexicon
+from corpusdeck.functions.arrays import bind
+from corpusdeck.functions.lexicon import Lexicon, word_array
 
 
-def _score(mentions: Column, size: int) -> Column:
-    hits = F.size(mentions)
-    return F.struct(
-        hits.alias("score"),
-        F.least(hits / F.lit(size), F.lit(1.0)).alias("confidence"),
-        mentions.alias("mentions"),
+def facet_hits(text: Column, lexicon: Lexicon) -> Column:
+    """The options that occur: ``array<struct<facet, option, score, confidence, mentions>>``."""
+    options = F.array(
+        *[
+            F.struct(F.lit(f).alias("facet"), F.lit(o).alias("option"), word_array(ks).alias("words"))
+            for (f, o), ks in lexicon.options().items()
+        ]
     )
 
+    def found(lc: Column) -> Column:
+        return F.transform(
+            options,
+            lambda o: F.struct(
+                o["facet"].alias("facet"),
+                o["option"].alias("option"),
+                F.size(o["words"]).alias("of"),
+                F.filter(o["words"], lambda k: F.contains(lc, k)).alias("mentions"),
+            ),
+        )
 
-def _with_mentions(df: DataFrame, lexicon: Lexicon, text: str) -> tuple[DataFrame, list[tuple[str, str, str, int]]]:
-    """Stage one mention array per option as ``_m<i>``; returns the frame and what each stands for."""
-    staged = df.withColumn("_lc", F.lower(text))
-    names, columns = [], {}
-    for facet in lexicon.groups:
-        for option, words in lexicon.group(facet).options().items():
-            column = f"_m{len(names)}"
-            columns[column] = words.matches(F.col("_lc"))
-            names.append((facet, option, column, len(words.entries)))
-    return staged.withColumns(columns) if columns else staged, names
+    hits = F.filter(bind(F.lower(text), found), lambda h: F.size(h["mentions"]) > 0)
+    return F.transform(
+        hits,
+        lambda h: F.struct(
+            h["facet"].alias("facet"),
+            h["option"].alias("option"),
+            F.size(h["mentions"]).alias("score"),
+            F.least(F.size(h["mentions"]) / h["of"], F.lit(1.0)).alias("confidence"),
+            h["mentions"].alias("mentions"),
+        ),
+    )
 
 
 def facet_scores(df: DataFrame, lexicon: Lexicon, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """Long form: one row per option that occurs, ``(doc, facet, option, score, confidence, mentions)``."""
-    staged, names = _with_mentions(df, lexicon, text)
-    rows = [
-        F.struct(F.lit(f).alias("facet"), F.lit(o).alias("option"), _score(F.col(m), n).alias("s"))
-        for f, o, m, n in names
-    ]
-    hit = staged.select(doc, F.inline(F.filter(F.array(*rows), lambda r: r["s"]["score"] > 0)))
-    return hit.select(doc, "facet", "option", "s.score", "s.confidence", "s.mentions")
+    # Outer, because the inner form adds an emptiness filter that computes the array a second time.
+    rows = df.select(doc, F.inline_outer(facet_hits(F.col(text), lexicon)))
+    return rows.filter(F.col("facet").isNotNull())
 
 
 def facet_map(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "facets") -> DataFrame:
@@ -45,9 +54,22 @@ def facet_map(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "f
 
     Options that do not occur are dropped, a facet's key always stays.
     """
-    staged, names = _with_mentions(df, lexicon, text)
-    facets = []
-    for facet in lexicon.groups:
-        options = [x for f, o, m, n in names if f == facet for x in (F.lit(o), _score(F.col(m), n))]
-        facets += [F.lit(facet), F.map_filter(F.create_map(*options), lambda _, s: s["score"] > 0)]
-    return staged.withColumn(out, F.create_map(*facets)).drop("_lc", *[m for _, _, m, _ in names])
+
+    def nested(hits: Column) -> Column:
+        def options_of(facet: Column) -> Column:
+            return F.map_from_entries(
+                F.transform(
+                    F.filter(hits, lambda h: h["facet"] == facet),
+                    lambda h: F.struct(h["option"], _score(h)),
+                )
+            )
+
+        return F.map_from_entries(F.transform(word_array(lexicon.groups), lambda f: F.struct(f, options_of(f))))
+
+    return df.withColumn(out, bind(facet_hits(F.col(text), lexicon), nested))
+
+
+def _score(hit: Column) -> Column:
+    return F.struct(
+        hit["score"].alias("score"), hit["confidence"].alias("confidence"), hit["mentions"].alias("mentions")
+    )

@@ -12,29 +12,22 @@ from corpusdeck.operators.skew import attach_by_key
 
 def relevance_gate(df: DataFrame, lexicon: Lexicon, k: int = 3, text: str = "text") -> DataFrame:
     """Keep texts that contain at least ``k`` lexicon entries; adds ``relevance``. Blank texts fail."""
-    scored = df.withColumn("_lc", F.lower(text)).withColumn("relevance", lexicon.score(F.col("_lc")))
-    return scored.filter((F.col("relevance") >= k) & not_blank(F.col(text))).drop("_lc")
+    scored = df.withColumn("relevance", lexicon.score(F.col(text)))
+    return scored.filter((F.col("relevance") >= k) & not_blank(F.col(text)))
 
 
 def not_blank(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]+", "") != ""
+    return F.regexp_like(c, F.lit(f"[^{SPACE}]"))
 
 
 def sentence_filter(c: Column, lexicon: Lexicon) -> Column:
     """Keep the ``.``-separated fragments that contain any entry, re-joined with ``". "``."""
-    return F.array_join(F.filter(F.split(c, r"\."), lambda s: _any_of(F.lower(s), lexicon)), ". ")
-
-
-def _any_of(lc: Column, lexicon: Lexicon) -> Column:
-    # Inside a lambda the lower-casing would be repeated per entry if the test were unrolled;
-    # an alternation of quoted words lower-cases and reads the fragment once.
-    quoted = "|".join(r"\Q" + k + r"\E" for k in dict.fromkeys(lexicon.keywords))
-    return F.regexp_like(lc, F.lit(quoted))
+    return F.array_join(F.filter(F.split(c, r"\."), lexicon.any), ". ")
 
 
 def keyword_filter(df: DataFrame, lexicon: Lexicon, keyword: str = "keyword") -> DataFrame:
     """Keep keywords that contain any term; case and repeats stay as they are."""
-    return df.filter(lexicon.any(F.lower(keyword)))
+    return df.filter(lexicon.any(F.col(keyword)))
 
 
 def min_rows_gate(df: DataFrame, k: int, by: str | None = None, salt: str | None = None) -> DataFrame:

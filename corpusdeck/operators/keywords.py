@@ -33,8 +33,9 @@ def term_frequencies(
     """``(doc, keyword, tf)``. The texts are partitioned by document *before* they fan out, which
     already satisfies the grouping by (document, keyword): the many term rows are not shuffled."""
     placed = df.select(doc, text).repartition(doc)
-    terms = ngram_candidates(placed, stops, n, text).select(doc, F.explode("candidates").alias("keyword"))
-    return terms.groupBy(doc, "keyword").agg(F.count("*").alias("tf"))
+    terms = ngram_candidates(placed, stops, n, text).select(doc, F.explode_outer("candidates").alias("keyword"))
+    # Outer, because the inner form adds an emptiness filter that computes the candidates again.
+    return terms.filter(F.col("keyword").isNotNull()).groupBy(doc, "keyword").agg(F.count("*").alias("tf"))
 
 
 def keyword_extract(

@@ -52,7 +52,8 @@ def _judge(h: Column) -> Column:
 def chunk_rows(df: DataFrame, text: str = "text", size: int = 500, cap: int | None = 3) -> DataFrame:
     """One row per chunk: all columns but the text, plus ``chunk_no`` and ``chunk``."""
     kept = [c for c in df.columns if c != text]
-    return df.select(*kept, F.posexplode(chunks(F.col(text), size, cap)).alias("chunk_no", "chunk"))
+    rows = df.select(*kept, F.posexplode_outer(chunks(F.col(text), size, cap)).alias("chunk_no", "chunk"))
+    return rows.filter(F.col("chunk").isNotNull())
 
 
 def chunk_sentiment(

@@ -45,9 +45,9 @@ def collect_training(analysis: DataFrame, as_of: Column) -> DataFrame:
         ),
     )
     rows = F.concat(F.when(sound, F.array(sentiment)).otherwise(none), F.coalesce(entities, none))
-    return analysis.select(
-        F.inline(rows), source.alias("source_file"), stamp.alias("timestamp")
-    )
+    # Outer, because the inner form adds an emptiness filter that computes the rows again.
+    listed = analysis.select(F.inline_outer(rows), source.alias("source_file"), stamp.alias("timestamp"))
+    return listed.filter(F.col("type").isNotNull())
 
 
 def sentiment_samples(df: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def vocabulary(df: DataFrame, size: int = 30_000, text: str = "text") -> DataFra
     """
     if size > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary takes at most {MAX_VOCABULARY} words")
-    words = df.select(F.explode(word_tokens(F.lower(text))).alias("word"))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    words = df.select(F.explode_outer(word_tokens(F.lower(text))).alias("word"))
+    top = words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     listed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("_v"))
     return listed.select(F.posexplode("_v").alias("pos", "_w")).select(
         F.col("_w.word").alias("word"), (F.col("pos") + FIRST_ID).alias("id")

@@ -84,7 +84,7 @@ def keyword_frequencies(insights: Insights, by: str | None = None) -> DataFrame:
     return insights.keywords.groupBy(*groups, "keyword").agg(
         F.count("*").alias("mentions"),
         F.min(F.struct(insights.doc, "rank")).alias("first_seen"),
-        F.bool_or(insights.terms.any(F.lower("keyword"))).alias("is_accessory"),
+        F.bool_or(insights.terms.any(F.col("keyword"))).alias("is_accessory"),
     )
 
 
@@ -131,19 +131,20 @@ def category_counts(mentions: DataFrame, categories: Lexicon, keyword: str = "ke
     Mentions are first counted per distinct keyword; each category is then one conditional sum, so
     neither side is multiplied.
     """
-    freq = mentions.groupBy(keyword).agg(F.count("*").alias("_n")).withColumn("_lc", F.lower(keyword))
-    hits = {f"_h{i}": categories.group(g).any(F.col("_lc")) for i, g in enumerate(categories.groups)}
-    counted = freq.withColumns(hits).agg(
-        *[F.sum(F.when(F.col(h), F.col("_n")).otherwise(0)).alias(f"{h}_n") for h in hits],
-        *[F.count_if(F.col(h)).alias(f"{h}_k") for h in hits],
+    freq = mentions.groupBy(keyword).agg(F.count("*").alias("_n"))
+    hit = freq.select("_n", categories.groups_hit(F.col(keyword)).alias("_groups"))
+    names = list(enumerate(categories.groups))
+    counted = hit.agg(
+        *[F.sum(F.when(F.array_contains("_groups", g), F.col("_n"))).alias(f"_n{i}") for i, g in names],
+        *[F.count_if(F.array_contains("_groups", g)).alias(f"_k{i}") for i, g in names],
     )
     rows = [
         F.struct(
             F.lit(g).alias("category"),
-            F.coalesce(F.col(f"_h{i}_n"), F.lit(0)).alias("mentions"),
-            F.col(f"_h{i}_k").alias("keywords"),
+            F.coalesce(F.col(f"_n{i}"), F.lit(0)).alias("mentions"),
+            F.col(f"_k{i}").alias("keywords"),
         )
-        for i, g in enumerate(categories.groups)
+        for i, g in names
     ]
     return counted.select(F.inline(F.array(*rows)))
 

@@ -8,6 +8,24 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Join strategies follow measured sizes only. A table that grows with the corpus is never broadcast
+# on the planner's estimate, which takes a few compressed megabytes of text for their keyword rows;
+# once a shuffle has been written its true size is known, and small ones are still broadcast or
+# hashed instead of sorted.
+JOIN_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+}
+
+
+def measured_joins(spark: SparkSession) -> SparkSession:
+    """Apply :data:`JOIN_SETTINGS` to a session created elsewhere."""
+    for key, value in JOIN_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(app: str = "corpusdeck", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on; ``conf`` overrides any of them."""
     settings = {
@@ -15,6 +33,7 @@ def build_session(app: str = "corpusdeck", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        **JOIN_SETTINGS,
         **conf,
     }
     builder = SparkSession.builder.appName(app)
