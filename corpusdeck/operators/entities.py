@@ -52,13 +52,14 @@ def pattern_entities(
 def token_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """All 1..max_words-gram spans: ``(doc, start, words, text, phrase)``, ``phrase`` lower-cased."""
     staged = df.select(doc, word_tokens(F.col(text)).alias("_words"))
-    runs = [
-        F.transform(
+
+    def runs_of(n: int) -> Column:
+        return F.transform(
             token_ngrams(F.col("_words"), n),
-            lambda t, i, n=n: F.struct(i.alias("start"), F.lit(n).alias("words"), t.alias("text")),
+            lambda t, i: F.struct(i.alias("start"), F.lit(n).alias("words"), t.alias("text")),
         )
-        for n in range(1, max_words + 1)
-    ]
+
+    runs = [runs_of(n) for n in range(1, max_words + 1)]
     # Outer, because the inner form adds an emptiness filter that computes the spans again.
     spans = staged.select(doc, F.inline_outer(F.concat(*runs)))
     return spans.filter(F.col("text").isNotNull()).withColumn("phrase", F.lower("text"))

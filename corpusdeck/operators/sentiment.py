@@ -66,22 +66,18 @@ def chunk_sentiment(
 ) -> DataFrame:
     """Add ``sentiment``: winning label, confidence over *all* chunks, the three sums, an error."""
     scored = df.withColumn("_scored", scorer(chunks(F.col(text), size, cap)))
-    sums = {
-        label: F.aggregate(
-            F.filter("_scored", lambda s, label=label: F.upper(s["label"]) == label),
-            F.lit(0.0),
-            lambda total, s: total + s["score"],
-        )
-        for label in LABELS
-    }
-    for label in LABELS:
-        scored = scored.withColumn(f"_{label}", sums[label])
+    scored = scored.withColumns({f"_{label}": _label_sum(F.col("_scored"), label) for label in LABELS})
     n = F.size("_scored")
     known = F.forall("_scored", lambda s: F.upper(s["label"]).isin(list(LABELS)))
     out = scored.withColumn("sentiment", _sentiment({l: F.col(f"_{l}") for l in LABELS}, n, known, model))
     return out.drop("_scored", *[f"_{label}" for label in LABELS])
 
 
+def _label_sum(scored: Column, label: str) -> Column:
+    own = F.filter(scored, lambda s: F.upper(s["label"]) == label)
+    return F.aggregate(own, F.lit(0.0), lambda total, s: total + s["score"])
+
+
 def roll_up_chunks(scored: DataFrame, by: str = "doc_id", model: str = "model") -> DataFrame:
     """Per-document ``sentiment`` from chunk rows with ``label`` and ``score``."""
     label = F.upper("label")

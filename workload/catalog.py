@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from workload import text_queries  # noqa: F401
+from workload import analysis_queries, rollup_queries, text_queries  # noqa: F401
 from workload.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

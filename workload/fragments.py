@@ -82,11 +82,6 @@ def category_case(lc: str) -> str:
     return f"CASE {whens} ELSE lower(label) END"
 
 
-_SPAN = " UNION ALL ".join(
-    f"""SELECT doc_id, {n} AS words, unnest(list_transform(range(0, len(w) - {n - 1}),
-        lambda i: {{'start': i, 'text': array_to_string(w[i + 1:i + {n}], ' ')}})) AS s FROM toks"""
-    for n in (1, 2, 3)
-)
 DICTIONARY = f"""
 dictionary AS (
   SELECT phrase, CASE WHEN max(pair) = 1 THEN 'PAIR' ELSE 'NAME' END AS label,
@@ -96,10 +91,17 @@ dictionary AS (
   GROUP BY phrase)"""
 MODEL_ENTITIES = f"""{DICTIONARY},
 toks AS (SELECT doc_id, regexp_extract_all(text, '[{WORD}]+') AS w FROM documents),
-spans AS ({_SPAN}),
+words AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS start FROM toks),
+near AS (
+  SELECT doc_id, start, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY start)),
+spans AS (
+  SELECT doc_id, start, 1 AS words, a AS text FROM near
+  UNION ALL SELECT doc_id, start, 2, a || ' ' || b FROM near WHERE b IS NOT NULL
+  UNION ALL SELECT doc_id, start, 3, a || ' ' || b || ' ' || c FROM near WHERE c IS NOT NULL),
 found AS (
-  SELECT doc_id, s.start AS start, words, s.text AS text, label, score
-  FROM spans JOIN dictionary ON phrase = lower(s.text)),
+  SELECT doc_id, start, words, text, label, score
+  FROM spans JOIN dictionary ON phrase = lower(text)),
 model_entities AS (SELECT *, {category_case("lower(text)")} AS category FROM found)"""
 
 _PATTERN_ROWS = ", ".join(
