@@ -23,7 +23,7 @@ def train_sentiment(
     df: DataFrame,
     as_of: Column,
     epochs: int = 3,
-    features: int = 1 << 16,
+    features: int = 1 << 14,
     key: str = "doc_id",
     test: float = 0.2,
     seed: int = 42,

@@ -32,7 +32,7 @@ def _join_pages(pages: DataFrame, doc: str, page: str, text: str, keep: Column)
 
 
 def html_title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def html_author(html: Column) -> Column:

@@ -52,7 +52,6 @@ acc AS (SELECT * FROM freq WHERE {fr.any_of("lower(keyword)", fx.TERMS)})"""
 )
 def extract_insights(spark, sf):
     analysis = analyze_documents(fx.docs(spark, sf), fx.config(spark, sf))
-    # One frame of all four kinds; they share the analysis, so it is kept while they are read.
     found = ins.extract_insights(analysis, fx.term_lexicon)
     frames = [
         (found.sentiments, "sentiment", F.lit(0), "sentiment"),
@@ -135,7 +134,7 @@ def top_keywords(spark, sf):
     """SELECT event_type, (rank)::INTEGER AS rank, keyword, mentions FROM (
          SELECT event_type, user_id::VARCHAR AS keyword, count(*) AS mentions,
            row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, min((event_id, 1))) AS rank
-         FROM events GROUP BY ALL) WHERE rank <= 5""",
+         FROM events GROUP BY event_type, user_id) WHERE rank <= 5""",
 )
 def top_events(spark, sf):
     from corpusdeck.sources.tables import read_table
