@@ -77,12 +77,13 @@ def truncate_text(c: Column, length: int = 512) -> Column:
 def chunks(c: Column, size: int = 500, cap: int | None = 3) -> Column:
     """Consecutive chunks of ``size`` code points, the first ``cap`` of them (``None``: all).
 
-    The empty text is one empty chunk.
+    The empty text is one empty chunk, a missing text none.
     """
     last = F.greatest(F.ceil(F.length(c) / F.lit(size)).cast("int"), F.lit(1)) - 1
     if cap is not None:
         last = F.least(last, F.lit(cap - 1))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(c, i * size + 1, F.lit(size)))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(c, i * size + 1, F.lit(size)))
+    return F.when(c.isNotNull(), cut)
 
 
 def title_case(c: Column) -> Column:
