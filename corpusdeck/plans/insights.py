@@ -78,14 +78,16 @@ def keyword_frequencies(insights: Insights, by: str | None = None) -> DataFrame:
     """``([by,] keyword, mentions, first_seen, is_accessory)``.
 
     ``first_seen`` orders ties: document, then rank. The accessory test is an aggregate, not a
-    filter, so every consumer sees the same plan and Spark reuses one shuffle for all of them.
+    filter that could be pushed down, and the closing filter, always true, needs every column: so
+    all consumers of a report have the same plan up to here and Spark reuses one shuffle.
     """
     groups = [by] if by else []
-    return insights.keywords.groupBy(*groups, "keyword").agg(
+    freq = insights.keywords.groupBy(*groups, "keyword").agg(
         F.count("*").alias("mentions"),
         F.min(F.struct(insights.doc, "rank")).alias("first_seen"),
         F.bool_or(insights.terms.any(F.col("keyword"))).alias("is_accessory"),
     )
+    return freq.filter(F.col("first_seen").isNotNull() & F.col("is_accessory").isNotNull())
 
 
 def top_keywords(freq: DataFrame, k: int, by: str | None = None) -> DataFrame:
@@ -128,10 +130,14 @@ def growth_flags(freq: DataFrame, by: str | None = None) -> DataFrame:
 def category_counts(mentions: DataFrame, categories: Lexicon, keyword: str = "keyword") -> DataFrame:
     """``(category, mentions, keywords)`` per category, zeros included.
 
-    Mentions are first counted per distinct keyword; each category is then one conditional sum, so
-    neither side is multiplied.
+    ``mentions`` holds one row per mention, or, with a ``mentions`` column, already counted
+    keywords. Each category is one conditional sum over distinct keywords, so nothing is
+    multiplied.
     """
-    freq = mentions.groupBy(keyword).agg(F.count("*").alias("_n"))
+    if "mentions" in mentions.columns:
+        freq = mentions.withColumnRenamed("mentions", "_n")
+    else:
+        freq = mentions.groupBy(keyword).agg(F.count("*").alias("_n"))
     hit = freq.select("_n", categories.groups_hit(F.col(keyword)).alias("_groups"))
     names = list(enumerate(categories.groups))
     counted = hit.agg(

@@ -63,7 +63,7 @@ def _sections(dims: DataFrame, leave_out: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _categories(insights: Insights, categories: Lexicon) -> DataFrame:
-    counted = category_counts(insights.mentions, categories)
+    counted = category_counts(keyword_frequencies(insights).filter("is_accessory"), categories)
     entry = F.struct("category", "mentions", "keywords")
     return counted.agg(F.sort_array(F.collect_list(entry)))
 

@@ -6,6 +6,7 @@ from corpusdeck.functions.text import label_id, truncate_text
 from corpusdeck.operators import metrics as mt
 from corpusdeck.operators import modeling as md
 from corpusdeck.operators import training as tr
+from corpusdeck.operators.entities import model_entities
 from corpusdeck.operators.sentiment import chunk_rows, roll_up_chunks
 from corpusdeck.sources.tables import read_table
 from workload import fixtures as fx
@@ -65,29 +66,28 @@ def tokenize_pad(spark, sf):
 
 
 def tag_input(spark, sf):
-    """Documents with the dictionary phrases they contain as entities, in phrase order."""
-    phrases = fx.dictionary(spark, sf).agg(F.sort_array(F.collect_list("phrase")).alias("ps"))
-    docs = fx.docs(spark, sf).select("doc_id", F.lower("text").alias("text"), phrases.scalar().alias("_ps"))
-    found = F.filter("_ps", lambda p: F.contains(F.col("text"), p))
-    return docs.select("doc_id", "text", found.alias("entities"))
+    """Lower-cased documents with the dictionary phrases found in them as entities."""
+    docs = fx.docs(spark, sf).select("doc_id", F.lower("text").alias("text"))
+    found = model_entities(docs, fx.dictionary(spark, sf))
+    return docs.join(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("text")).alias("entities")), "doc_id")
 
 
 def tagged(spark, sf):
     return tr.bio_tags(tag_input(spark, sf))
 
 
-_TAGGED = f"""{fr.DICTIONARY[1:]},
-input AS (SELECT doc_id, lower(text) AS text FROM documents),
-toks AS (SELECT doc_id, regexp_extract_all(substring(text, 1, 512), '[^{fr.SPACE}]+') AS w FROM input
-         WHERE EXISTS (SELECT 1 FROM dictionary WHERE contains(text, phrase))),
-words AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM toks),
-two AS (SELECT doc_id, p, t, lead(t) OVER (PARTITION BY doc_id ORDER BY p) AS u FROM words),
-hit AS (SELECT doc_id, p AS start, phrase, 2 AS n FROM two JOIN dictionary ON phrase = t || ' ' || u
-        UNION ALL SELECT doc_id, p, phrase, 1 FROM two JOIN dictionary ON phrase = t),
+_TAGGED = f"""{fr.MODEL_ENTITIES[1:]},
+ents AS (SELECT DISTINCT doc_id, lower(text) AS phrase FROM model_entities),
+wtoks AS (SELECT doc_id, regexp_extract_all(substring(lower(text), 1, 512), '[^{fr.SPACE}]+') AS w FROM documents
+          WHERE doc_id IN (SELECT doc_id FROM ents)),
+wwords AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM wtoks),
+two AS (SELECT doc_id, p, t, lead(t) OVER (PARTITION BY doc_id ORDER BY p) AS u FROM wwords),
+hit AS (SELECT doc_id, p AS start, phrase, 2 AS n FROM two JOIN ents USING (doc_id) WHERE phrase = t || ' ' || u
+        UNION ALL SELECT doc_id, p, phrase, 1 FROM two JOIN ents USING (doc_id) WHERE phrase = t),
 cover AS (SELECT doc_id, start + k AS p, phrase, start FROM hit, range(2) r(k) WHERE k < n),
 best AS (SELECT doc_id, p, max((phrase, start)) AS m FROM cover GROUP BY ALL),
 tags AS (SELECT doc_id, p, t, CASE WHEN m IS NULL THEN 'O' WHEN m[2] = p THEN 'B-FASHION' ELSE 'I-FASHION' END AS tag
-         FROM words LEFT JOIN best USING (doc_id, p))"""
+         FROM wwords LEFT JOIN best USING (doc_id, p))"""
 
 
 @query(
@@ -166,8 +166,8 @@ def train_embeddings(spark, sf):
     "train_tagger",
     f"""WITH {_TAGGED},
         inside AS (SELECT *, sum(CASE WHEN tag = 'B-FASHION' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM tags WHERE tag <> 'O'),
-        spans AS (SELECT doc_id, span, string_agg(t, ' ' ORDER BY p) AS phrase FROM inside GROUP BY doc_id, span)
-        SELECT phrase, 'FASHION' AS label, 1.0::DOUBLE AS score FROM spans GROUP BY phrase""",
+        runs AS (SELECT doc_id, span, string_agg(t, ' ' ORDER BY p) AS phrase FROM inside GROUP BY doc_id, span)
+        SELECT phrase, 'FASHION' AS label, 1.0::DOUBLE AS score FROM runs GROUP BY phrase""",
 )
 def train_tagger(spark, sf):
     return md.train_tagger(tagged(spark, sf))
