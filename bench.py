@@ -25,8 +25,6 @@ HEADLINE = [
     "model_entities",
     "entity_rollup",
     "analyze_documents",
-    "top_keywords",
-    "category_counts",
     "mine_patterns",
     "executive_summary",
     "forecast_report",

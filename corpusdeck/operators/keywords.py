@@ -6,10 +6,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Normalizer, Word2VecModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdeck.functions.text import drop_words, token_ngrams, word_tokens
+from corpusdeck.functions.vectors import dot
 from corpusdeck.operators.skew import attach_by_key
 
 MAX_QUERIES = 10_000
@@ -61,6 +64,42 @@ def keyword_extract(
     )
 
 
+def keyword_extract_by_vectors(
+    df: DataFrame,
+    model: Word2VecModel,
+    stops: Iterable[str] = (),
+    top_n: int = 20,
+    n: int = 2,
+    doc: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """Top candidates by cosine between the document's vector and the candidate's, both means of
+    word vectors: ``(doc, rank, keyword, score, embedding)``.
+
+    The document vector travels with the row while it fans out, and texts are placed by document
+    first, so there is neither a join nor a shuffle besides that placement.
+    """
+    placed = ngram_candidates(df.select(doc, text).repartition(doc), stops, n, text)
+    placed = placed.withColumn("_words", drop_words(word_tokens(F.lower(text), 2), stops)).drop(text)
+    whole = _with_vector(placed, model, "_words", "_doc").drop("_words")
+    each = whole.select(doc, "_doc", F.explode_outer(F.array_distinct("candidates")).alias("keyword"))
+    each = each.filter(F.col("keyword").isNotNull()).withColumn("_words", F.split("keyword", " "))
+    # Both sides have unit length, so the cosine is one product.
+    scored = _with_vector(each, model, "_words", "embedding").select(
+        doc, "keyword", "embedding", F.round(dot(F.col("_doc"), F.col("embedding")), 9).alias("score")
+    )
+    order = Window.partitionBy(doc).orderBy(F.desc("score"), "keyword")
+    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
+    return ranked.select(doc, "rank", "keyword", "score", "embedding")
+
+
+def _with_vector(df: DataFrame, model: Word2VecModel, words: str, out: str) -> DataFrame:
+    """Add the unit-length mean vector of an array of words."""
+    embedded = model.copy().setInputCol(words).setOutputCol("_mean").transform(df)
+    unit = Normalizer(inputCol="_mean", outputCol="_unit").transform(embedded)
+    return unit.withColumn(out, vector_to_array("_unit")).drop("_mean", "_unit")
+
+
 def nest_keywords(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
     """One row per document: ``keywords array<struct<keyword, score>>`` in rank order and
     ``total_keywords``. A document has at most ``top_n`` rows here."""
@@ -139,7 +178,7 @@ def _keep_best(kept, ids, items, sims, k, query_id, item_id):
 
 def keyword_mmr(
     ranked: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | None = None,
     top_n: int = 20,
     diversity: float = 0.7,
     query_id: str = "query_id",
@@ -148,12 +187,15 @@ def keyword_mmr(
 ) -> DataFrame:
     """Greedy maximal-marginal-relevance choice of ``top_n`` from the best ``2 * top_n`` per query.
 
-    ``ranked`` is the output of :func:`cosine_topk` with ``k = 2 * top_n``, so a group never has
-    more rows than that. Output: ``(query_id, rank, item_id, score)``, in the order chosen.
+    ``ranked`` has ``(query_id, rank, item_id, score)`` and either the vectors themselves, as
+    :func:`keyword_extract_by_vectors` gives them per document, or takes them from ``vectors``. A
+    group never has more than ``2 * top_n`` rows. Output: the same columns, in the order chosen.
     """
     pool = ranked.filter(F.col("rank") <= 2 * top_n)
-    # At most MAX_QUERIES * 2 * top_n narrow rows, hence safe to broadcast.
-    joined = vectors.select(item_id, vector).join(F.broadcast(pool.select(query_id, item_id, "score")), item_id)
+    if vectors is not None:
+        narrow = pool.select(query_id, item_id, "score")
+        # The output of cosine_topk: at most MAX_QUERIES * 2 * top_n rows of two ids and a score.
+        pool = vectors.select(item_id, vector).join(F.broadcast(narrow), item_id)
     schema = f"{query_id} {ranked.schema[query_id].dataType.simpleString()}, rank int, {item_id} " + (
         f"{ranked.schema[item_id].dataType.simpleString()}, score double"
     )
@@ -165,7 +207,7 @@ def keyword_mmr(
         out = pdf.loc[chosen, [query_id, item_id, "score"]]
         return out.assign(rank=np.arange(1, len(chosen) + 1))[[query_id, "rank", item_id, "score"]]
 
-    return joined.groupBy(query_id).applyInPandas(pick, schema)
+    return pool.select(query_id, item_id, "score", vector).groupBy(query_id).applyInPandas(pick, schema)
 
 
 def mmr_order(similarity: np.ndarray, relevance: np.ndarray, top_n: int, diversity: float) -> list[int]:

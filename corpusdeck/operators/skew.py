@@ -39,6 +39,14 @@ def attach_by_key(
     return salted_facts.join(salted_keys, [key, "_salt"]).drop("_salt")
 
 
+def fits(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> bool:
+    """Whether a table is small enough to broadcast; looks at ``max_rows + 1`` rows at most."""
+    row_chars = F.length(F.to_json(F.struct(*[F.col(c) for c in table.columns])))
+    counts = F.count("*").alias("rows"), F.coalesce(F.sum(row_chars), F.lit(0)).alias("chars")
+    size = table.limit(max_rows + 1).agg(*counts).first()
+    return size.rows <= max_rows and size.chars <= max_chars
+
+
 def lookup(
     facts: DataFrame,
     table: DataFrame,
@@ -53,10 +61,7 @@ def lookup(
     is broadcast and the facts do not move. Beyond them the keys are weighed by a map-side
     combined count and the join goes through :func:`attach_by_key`.
     """
-    probe = table.limit(max_rows + 1)
-    row_chars = F.length(F.to_json(F.struct(*[F.col(c) for c in table.columns])))
-    size = probe.agg(F.count("*").alias("rows"), F.coalesce(F.sum(row_chars), F.lit(0)).alias("chars")).first()
-    if size.rows <= max_rows and size.chars <= max_chars:
+    if fits(table, max_rows, max_chars):
         return facts.join(F.broadcast(table), key)
     weights = facts.groupBy(key).agg(F.count("*").alias("_weight"))
     return attach_by_key(facts, weights.join(table, key), key, "_weight", salt).drop("_weight")

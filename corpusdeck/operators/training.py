@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusdeck.functions.arrays import bind, pad
 from corpusdeck.functions.text import label_id, space_tokens, split_bucket, truncate_text, word_tokens
+from corpusdeck.operators.skew import fits
 
 IGNORED = -100
 MAX_VOCABULARY = 100_000
@@ -100,9 +101,12 @@ def vocabulary(df: DataFrame, size: int = 30_000, text: str = "text") -> DataFra
 def tokenize_pad(df: DataFrame, vocab: DataFrame, n: int = 256, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, input_ids, attention_mask)`` of exactly ``n`` positions.
 
-    Texts are placed by document before their words fan out, so regrouping needs no shuffle; the
-    vocabulary is bounded by :data:`MAX_VOCABULARY` and broadcast.
+    Texts are placed by document before their words fan out, so regrouping needs no shuffle. The
+    vocabulary is measured and then broadcast; one that does not fit is refused, since a model's
+    vocabulary is bounded and every other word has the unknown id anyway.
     """
+    if not fits(vocab):
+        raise ValueError("vocabulary too large: build it with a smaller size")
     words = F.slice(word_tokens(F.lower(text)), 1, n)
     rows = df.select(doc, text).repartition(doc).select(doc, F.posexplode_outer(words).alias("pos", "word"))
     found = rows.join(F.broadcast(vocab), "word", "left")

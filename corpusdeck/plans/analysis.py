@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ class AnalysisConfig:
     facets: Lexicon = field(default_factory=lambda: Lexicon.facets(defaults.FACETS))
     stops: tuple[str, ...] = ()
     top_n: int = 20
+    # Ranks keywords: texts to (doc, rank, keyword, score) rows. The default is TF-IDF.
+    ranker: Callable[[DataFrame], DataFrame] | None = None
     chunk_size: int = 500
     chunk_cap: int | None = 3
     strict_categories: bool = False
@@ -49,7 +52,8 @@ def analyze_documents(
         "sentiment",
         "facets",
     )
-    keywords = nest_keywords(keyword_extract(df, cfg.stops, cfg.top_n, doc=doc, text=text), doc)
+    ranked = cfg.ranker(df) if cfg.ranker else keyword_extract(df, cfg.stops, cfg.top_n, doc=doc, text=text)
+    keywords = nest_keywords(ranked, doc)
     entities = document_entities(df, cfg.dictionary, cfg.patterns, cfg.facets, cfg.strict_categories, doc, text)
     return (
         local.join(keywords, doc, "left")

@@ -9,8 +9,17 @@ from workload.catalog import ORACLES, QUERIES
 
 SF = "0.001"
 # Trained models and file listings: SQL has no counterpart, the unit tests check them.
-NO_SQL = {"keyword_mmr", "topics", "train_sentiment", "score_batch", "train_embeddings", "scan_files"}
-PYTHON_OPERATORS = {"cosine_topk", "keyword_mmr"}
+NO_SQL = {
+    "keyword_extract_vectors",
+    "keyword_mmr",
+    "keyword_mmr_documents",
+    "scan_files",
+    "score_batch",
+    "topics",
+    "train_embeddings",
+    "train_sentiment",
+}
+PYTHON_OPERATORS = {"cosine_topk", "keyword_mmr", "keyword_mmr_documents"}
 
 
 @pytest.fixture(scope="module")

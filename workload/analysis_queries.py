@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusdeck.operators import entities as en
 from corpusdeck.operators import keywords as kw
 from corpusdeck.operators.facets import facet_scores as facet_rows
+from corpusdeck.operators.modeling import train_embeddings
 from corpusdeck.operators.sentiment import chunk_rows, chunk_sentiment as document_sentiment, roll_up_chunks
 from corpusdeck.operators.topics import topics as corpus_topics
 from corpusdeck.plans.analysis import analyze_documents as analyze
@@ -102,6 +103,21 @@ def keyword_mmr(spark, sf):
     return kw.keyword_mmr(ranked, vectors, top_n=20, diversity=0.7)
 
 
+@query("keyword_extract_vectors")
+def keyword_extract_vectors(spark, sf):
+    docs = fx.raw_docs(spark, sf)
+    model = train_embeddings(fx.docs(spark, sf), fx.STOPS, size=32)
+    return kw.keyword_extract_by_vectors(docs, model, fx.STOPS).drop("embedding")
+
+
+@query("keyword_mmr_documents")
+def keyword_mmr_documents(spark, sf):
+    docs = fx.raw_docs(spark, sf)
+    model = train_embeddings(fx.docs(spark, sf), fx.STOPS, size=32)
+    ranked = kw.keyword_extract_by_vectors(docs, model, fx.STOPS, top_n=40)
+    return kw.keyword_mmr(ranked, top_n=20, diversity=0.7, query_id="doc_id", item_id="keyword")
+
+
 @query(
     "pattern_entities",
     f"WITH {fr.PATTERN_ENTITIES[1:]} SELECT doc_id, ord, text, label, score, category FROM pattern_entities",
