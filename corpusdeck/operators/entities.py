@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,9 @@ def pattern_entities(
     return df.withColumn(out, found.cast(f"array<{ENTITY}>"))
 
 
-def token_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """All 1..max_words-gram spans: ``(doc, start, words, text, phrase)``, ``phrase`` lower-cased."""
+def token_spans(df: DataFrame, lengths: Iterable[int], doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """All spans of the given numbers of words: ``(doc, start, words, text, phrase)``, ``phrase``
+    lower-cased."""
     staged = df.select(doc, word_tokens(F.col(text)).alias("_words"))
 
     def runs_of(n: int) -> Column:
@@ -59,7 +62,7 @@ def token_spans(df: DataFrame, doc: str = "doc_id", text: str = "text", max_word
             lambda t, i: F.struct(i.alias("start"), F.lit(n).alias("words"), t.alias("text")),
         )
 
-    runs = [runs_of(n) for n in range(1, max_words + 1)]
+    runs = [runs_of(n) for n in lengths]
     # Outer, because the inner form adds an emptiness filter that computes the spans again.
     spans = staged.select(doc, F.inline_outer(F.concat(*runs)))
     return spans.filter(F.col("text").isNotNull()).withColumn("phrase", F.lower("text"))
@@ -77,7 +80,10 @@ def model_entities(
     ``dictionary`` holds ``(phrase, label, score)``, one row per lower-cased phrase of blank-joined
     words. Spans meet it in a hash join, so the cost does not depend on the dictionary's length.
     """
-    spans = token_spans(df, doc, text, max_words)
+    words = F.size(F.split("phrase", " "))
+    # At most max_words numbers: only spans that can be a phrase are formed.
+    lengths = dictionary.select(words.alias("n")).filter(F.col("n") <= max_words).distinct().collect()
+    spans = token_spans(df, sorted(r.n for r in lengths) or [1], doc, text)
     found = lookup(spans, dictionary.select("phrase", "label", "score"), "phrase", F.struct(doc, "start"))
     return found.select(doc, "start", "words", "text", "label", "score")
 
