@@ -142,13 +142,13 @@ def label_name():
 
 @query(
     "label_to_id",
-    f"""SELECT doc_id, label, CASE label WHEN 'NEGATIVE' THEN 0 WHEN 'NEUTRAL' THEN 1 WHEN 'POSITIVE' THEN 2 END AS label_id
+    f"""SELECT doc_id, label, CASE label WHEN 'NEGATIVE' THEN 0 WHEN 'NEUTRAL' THEN 1 WHEN 'POSITIVE' THEN 2 ELSE -1 END AS label_id
         FROM (SELECT doc_id, coalesce({LABEL_SQL}, 'UNKNOWN') AS label FROM documents LEFT JOIN labels USING (doc_id))""",
 )
 def label_to_id(spark, sf):
     joined = fx.raw_docs(spark, sf).select("doc_id").join(read_table(spark, sf, "labels"), "doc_id", "left")
     named = joined.select("doc_id", F.coalesce(label_name(), F.lit("UNKNOWN")).alias("label"))
-    return named.select("doc_id", "label", tx.label_id(F.col("label")).alias("label_id"))
+    return named.select("doc_id", "label", F.coalesce(tx.label_id(F.col("label")), F.lit(-1)).alias("label_id"))
 
 
 @query(
