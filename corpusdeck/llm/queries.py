@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdeck.llm import simhash
+from corpusdeck.llm import simhash, substrings
 from corpusdeck.llm.common import table
 from corpusdeck.llm.shipping import ship
 
@@ -32,3 +32,9 @@ def query(run: Run) -> Run:
 def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.Routes.pigeonhole(2), shingle=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=13)
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
