@@ -8,9 +8,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdeck.llm import simhash, substrings
+from corpusdeck.llm import packing, simhash, substrings, tokenfile
 from corpusdeck.llm.common import table
 from corpusdeck.llm.shipping import ship
+from corpusdeck.session import scratch_path
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -38,3 +39,22 @@ def op6_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=13)
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, "blank_free", end=1, with_ids=False).drop("ids")
+
+
+@query
+def op7_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch_path(spark, "tokens")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), target, tokenizer_file("byte_bpe_50k.json"), "blank_led", end=2)
+    return tokenfile.read_tokens(spark, target)
