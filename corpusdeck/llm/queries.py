@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdeck.llm import packing, simhash, substrings, tokenfile
+from corpusdeck.llm import packing, quality, simhash, substrings, tokenfile, toxicity
 from corpusdeck.llm.common import table
 from corpusdeck.llm.shipping import ship
 from corpusdeck.session import scratch_path
@@ -58,3 +58,13 @@ def op7_ranked_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = scratch_path(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), target, tokenizer_file("byte_bpe_50k.json"), "blank_led", end=2)
     return tokenfile.read_tokens(spark, target)
+
+
+@query
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
