@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdeck.llm import decontamination, packing, quality, simhash, substrings, tokenfile, toxicity
+from corpusdeck.llm import decontamination, packing, pages, quality, simhash, substrings, tokenfile, toxicity
 from corpusdeck.llm.common import table
 from corpusdeck.llm.shipping import ship
 from corpusdeck.session import scratch_path
@@ -73,3 +73,8 @@ def op8_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))

@@ -204,24 +204,33 @@ class WaveletMatrix:
         return self.walk(symbol, at) - self.start[symbol]
 
 
+def sorted_suffixes(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array by prefix doubling, and each suffix's rank: equal for suffixes that share at least their
+    first ``depth`` symbols."""
+    n, rank, width = len(symbols), symbols.astype(np.int64), 1
+    most = max(n, int(rank.max(initial=0)) + 1) + 2
+    order = np.argsort(rank, kind="stable")
+    while width < depth:
+        step = min(width, depth - width)
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - step)] = rank[step:] + 1
+        key = rank * most + after
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
+        width += step
+        if rank[order[-1]] == n - 1:
+            break
+    return order, rank
+
+
 class FMIndex:
     """Over sequences of symbols from 1, laid end to end with the symbol 0 after each. Suffixes are
     sorted by their first ``depth`` symbols, which is all that patterns up to that length need."""
 
     def __init__(self, symbols: np.ndarray, depth: int) -> None:
-        n, self.sigma = len(symbols), int(symbols.max(initial=0)) + 1
-        rank, width = symbols.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
-        while width < depth:
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - width)] = rank[width:] + 1
-            key = rank * (max(n, self.sigma) + 2) + after
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-            width *= 2
-            if rank[order[-1]] == n - 1:
-                break
+        self.sigma = int(symbols.max(initial=0)) + 1
+        order, _ = sorted_suffixes(symbols, depth)
         self.suffix = order
         self.wavelets = WaveletMatrix(symbols[order - 1].astype(np.int64), self.sigma)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=self.sigma))])
