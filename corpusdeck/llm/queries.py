@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdeck.llm import decontamination, packing, pages, quality, simhash, substrings, tokenfile, toxicity
+from corpusdeck.llm import decontamination, neighbours, packing, pages, quality, simhash, substrings, tokenfile, toxicity
 from corpusdeck.llm.common import table
 from corpusdeck.llm.shipping import ship
 from corpusdeck.session import scratch_path
@@ -78,3 +78,8 @@ def op9_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
