@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdeck.llm import decontamination, neighbours, packing, pages, quality, simhash, substrings, tokenfile, toxicity
+from corpusdeck.llm import decontamination, fixity, neighbours, packing, pages, quality, simhash, substrings, tokenfile, toxicity
 from corpusdeck.llm.common import table
 from corpusdeck.llm.shipping import ship
 from corpusdeck.session import scratch_path
@@ -83,3 +83,28 @@ def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as a WARC store, audited against a replica in which about one record in 256 has another
+    byte and as many are gone."""
+    target = scratch_path(spark, "archives")
+    fixity.write_archives(table(spark, sf_dir, "pages"), target)
+    store = spark.read.schema(fixity.STORE).parquet(target)
+    sign = F.substr(F.md5(F.col("page_id").cast("string").cast("binary")), F.lit(1), F.lit(2))
+    replica = fixity.damaged(store, sign == "00", sign == "01")
+    found = fixity.audit(fixity.tree(store, "fixity-a"), fixity.tree(replica, "fixity-b"))
+    return found.select("page_id", "url", "n_bytes", "status")
+
+
+ORACLES["op1_merkle_fixity"] = """
+SELECT page_id, url,
+       CAST(strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+            || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+            || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+            || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10)
+            || html || chr(13) || chr(10) || chr(13) || chr(10)) AS BIGINT) AS n_bytes,
+       CASE substr(md5(CAST(page_id AS VARCHAR)), 1, 2) WHEN '00' THEN 'altered' ELSE 'missing' END AS status
+FROM pages WHERE substr(md5(CAST(page_id AS VARCHAR)), 1, 2) IN ('00', '01')
+"""
