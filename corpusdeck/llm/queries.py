@@ -108,3 +108,10 @@ SELECT page_id, url,
        CASE substr(md5(CAST(page_id AS VARCHAR)), 1, 2) WHEN '00' THEN 'altered' ELSE 'missing' END AS status
 FROM pages WHERE substr(md5(CAST(page_id AS VARCHAR)), 1, 2) IN ('00', '01')
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -281,3 +281,20 @@ def near_duplicates(
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     placed = named.join(smallest, "root").select("node", "component_id")
     return fps.join(placed, "node").select("doc_id", "fp", "node", "component_id")
+
+
+def keep_first(docs: DataFrame, routes: Routes, shingle: int, doc: str = "doc_id", text: str = "text", name: str = "dedup") -> DataFrame:
+    """``docs`` with all their columns, one row of each component: that with the smallest id (null last),
+    of several the one with the smallest text hash, of equal rows any one.
+
+    The winners are found on narrow rows; texts are shuffled once, to meet them."""
+    given = docs.withColumn("_place", F.xxhash64(doc, text))
+    fps = stored(fingerprints(given.withColumn("_id", F.col("_place")), shingle, routes.bits, "_id", text), f"{name}-fps")
+    ids = stored(given.select(F.col("_place"), F.col(doc).cast("long").alias("_doc")).distinct(), f"{name}-ids")
+    named = fps.select("node", F.col("doc_id").alias("_place")).distinct().join(ids, "_place")
+    roots = components(linked(fps, routes, name), name)
+    grouped = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_place"))
+    winners = grouped.groupBy("root").agg(least.alias("least")).select("least._place")
+    kept = given.join(winners, "_place", "left_semi")
+    return kept.dropDuplicates(["_place"]).drop("_place").select(*docs.columns)
