@@ -8,15 +8,14 @@ call; a text that a cut at blanks could change is encoded whole.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 
 #: Words that a worker remembers for each vocabulary, texts handled at once, words encoded in one call.
-ROOM = 500_000
+ROOM = 900_000
 TEXTS = 400
-WORDS = 500
+WORDS = 100
 
 
 class WordEncoder:
@@ -53,11 +52,11 @@ class WordEncoder:
         except TypeError:
             return self.ids([text.decode()])[0].tobytes()
 
-    def split_ids(self, calls: Iterable[list[bytes]], join: str, mark: int, keep: bool) -> list[bytes]:
+    def split_ids(self, calls: list[list[bytes]], join: str, mark: int, keep: bool, lead: str = "") -> list[bytes]:
         """Ids of the words of each call, which are encoded as one text and told apart by the id ``mark``."""
-        calls = list(calls)
         out = []
-        for ids, words in zip(self.ids([join.join([w.decode() for w in c]) for c in calls]), calls, strict=True):
+        texts = [lead + join.encode().join(c).decode() for c in calls]
+        for ids, words in zip(self.ids(texts), calls, strict=True):
             cuts = np.flatnonzero(ids == mark)
             starts, ends = (cuts, np.append(cuts[1:], len(ids))) if keep else (np.append(0, cuts + 1), np.append(cuts, len(ids)))
             raw = ids.tobytes()
@@ -108,20 +107,18 @@ class BlankLed(WordEncoder):
             return self.ids([text.decode()])[0].tobytes()
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes | None]:
-        regular = [w for w in words if self.regular(w)]
+        got: dict[bytes, bytes | None] = dict.fromkeys(words)
         (line,) = self.ids(["\n"])[0].tolist()
-        after_line = [w for w in regular if w[:1] == b"\n"]
-        after_blank = [w for w in regular if w[:1] != b"\n"]
-        got = dict(zip(after_line, self.split_ids(_calls(after_line), "", line, True), strict=True))
-        led = [[b" " + w for w in c] for c in _calls(after_blank)]
-        got |= dict(zip(after_blank, self.split_ids(led, "\n", line, False), strict=True))
-        return {w: got.get(w) for w in words}
+        after_line = [w for w in words if w[:1] == b"\n" and self.regular(w[1:].decode())]
+        got.update(zip(after_line, self.split_ids(_calls(after_line), "", line, True), strict=True))
+        after_blank = [w for w in words if w[:1] != b"\n" and self.regular(w.decode())]
+        got.update(zip(after_blank, self.split_ids(_calls(after_blank), "\n ", line, False, " "), strict=True))
+        return got
 
     @staticmethod
-    def regular(word: bytes) -> bool:
+    def regular(word: str) -> bool:
         """Not empty, and no white space of any kind at either end."""
-        text = word.decode().removeprefix("\n")
-        return bool(text) and not (text[0].isspace() or text[-1].isspace())
+        return word != "" and word == word.strip()
 
 
 ENCODERS: dict[tuple[str, str], WordEncoder] = {}
