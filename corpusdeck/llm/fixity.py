@@ -110,4 +110,4 @@ def damaged(store: DataFrame, altered: Column, lost: Column) -> DataFrame:
     byte, rest = F.substr("record", middle, F.lit(1)), F.substr("record", middle + 1)
     other = F.when(byte == F.lit(b"#"), F.lit(b"$")).otherwise(F.lit(b"#"))
     changed = F.concat(F.substr("record", F.lit(1), middle - 1), other, rest)
-    return store.filter(~lost).withColumn("record", F.when(altered, changed).otherwise(F.col("record")))
+    return store.filter(~F.coalesce(lost, F.lit(False))).withColumn("record", F.when(altered, changed).otherwise(F.col("record")))

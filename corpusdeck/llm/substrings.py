@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from corpusdeck.llm.common import gram_hashes, hashes_of, pieces_of, raw_text, volume
 
@@ -385,6 +386,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13, doc: str = "doc_id", tex
     segments = given.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_segments(window), SEGMENTS)
     dealt = segments.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(blocks)))
     removed = dealt.groupBy("shard").applyInArrow(_removals(window), REMOVED)
-    row = given.schema["row"].dataType.simpleString()
-    schema = f"row {row}, text string, kept string, n_words long, n_removed long, spans array<long>"
+    schema = StructType([given.schema["row"]])
+    for name, kind in (("text", StringType()), ("kept", StringType()), ("n_words", LongType()), ("n_removed", LongType())):
+        schema.add(name, kind)
+    schema.add("spans", ArrayType(LongType()))
     return given.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(_applied, schema)
