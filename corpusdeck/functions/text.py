@@ -74,8 +74,8 @@ def truncate_text(c: Column, length: int = 512) -> Column:
     return F.substring(c, 1, length)
 
 
-def chunks(c: Column, size: int = 500, cap: int | None = 3) -> Column:
-    """Consecutive chunks of ``size`` code points, the first ``cap`` of them (``None``: all).
+def chunks(c: Column, size: int = 500, cap: int | None = None) -> Column:
+    """Consecutive chunks of ``size`` code points: all, or the first ``cap`` of them.
 
     The empty text is one empty chunk, a missing text none.
     """

@@ -13,7 +13,6 @@ from corpusdeck.functions.lexicon import Lexicon, contains_any
 from corpusdeck.functions.text import token_ngrams, word_tokens
 from corpusdeck.operators.skew import lookup
 
-MAX_WORDS = 3
 ENTITY = (
     "struct<text:string,label:string,score:double,category:string,is_related:boolean,source:string>"
 )
@@ -54,6 +53,7 @@ def pattern_entities(
 def token_spans(df: DataFrame, lengths: Iterable[int], doc: str = "doc_id", text: str = "text") -> DataFrame:
     """All spans of the given numbers of words: ``(doc, start, words, text, phrase)``, ``phrase``
     lower-cased."""
+    lengths = list(lengths)
     staged = df.select(doc, word_tokens(F.col(text)).alias("_words"))
 
     def runs_of(n: int) -> Column:
@@ -64,7 +64,8 @@ def token_spans(df: DataFrame, lengths: Iterable[int], doc: str = "doc_id", text
 
     runs = [runs_of(n) for n in lengths]
     # Outer, because the inner form adds an emptiness filter that computes the spans again.
-    spans = staged.select(doc, F.inline_outer(F.concat(*runs)))
+    none = F.array().cast("array<struct<start:int,words:int,text:string>>")
+    spans = staged.select(doc, F.inline_outer(F.concat(none, *runs)))
     return spans.filter(F.col("text").isNotNull()).withColumn("phrase", F.lower("text"))
 
 
@@ -73,7 +74,6 @@ def model_entities(
     dictionary: DataFrame,
     doc: str = "doc_id",
     text: str = "text",
-    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """Every span that is a dictionary phrase: ``(doc, start, words, text, label, score)``.
 
@@ -81,9 +81,9 @@ def model_entities(
     words. Spans meet it in a hash join, so the cost does not depend on the dictionary's length.
     """
     words = F.size(F.split("phrase", " "))
-    # At most max_words numbers: only spans that can be a phrase are formed.
-    lengths = dictionary.select(words.alias("n")).filter(F.col("n") <= max_words).distinct().collect()
-    spans = token_spans(df, sorted(r.n for r in lengths) or [1], doc, text)
+    # Only spans as long as some phrase are formed; the numbers of words that occur are few.
+    lengths = dictionary.filter("phrase <> ''").select(words.alias("n")).distinct().collect()
+    spans = token_spans(df, sorted(r.n for r in lengths), doc, text)
     found = lookup(spans, dictionary.select("phrase", "label", "score"), "phrase", F.struct(doc, "start"))
     return found.select(doc, "start", "words", "text", "label", "score")
 

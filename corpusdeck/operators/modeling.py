@@ -75,12 +75,13 @@ def train_embeddings(
     size: int = 64,
     min_count: int = 5,
     seed: int = 42,
-    partitions: int | None = None,
+    partitions: int = 8,
     iterations: int = 1,
     text: str = "text",
     path: str | None = None,
 ) -> Word2VecModel:
-    """Word vectors of the corpus. ``min_count`` bounds the vocabulary, which Spark broadcasts."""
+    """Word vectors of the corpus. Spark keeps the vocabulary on the driver and broadcasts it: it grows with
+    the corpus, and ``min_count`` only slows that. The result depends on ``partitions``, not on the cores."""
     words = df.select(drop_words(word_tokens(F.lower(text), 2), stops).alias("words"))
     fitted = Word2Vec(
         vectorSize=size,
@@ -89,7 +90,7 @@ def train_embeddings(
         inputCol="words",
         outputCol="vector",
         maxIter=iterations,
-        numPartitions=partitions or df.sparkSession.sparkContext.defaultParallelism,
+        numPartitions=partitions,
     ).fit(words)
     if path:
         fitted.write().overwrite().save(path)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusdeck.functions.text import chunks, word_tokens
 
+DIGITS = 9
 # Order decides ties.
 LABELS = ("POSITIVE", "NEGATIVE", "NEUTRAL")
 
@@ -49,7 +50,7 @@ def _judge(h: Column) -> Column:
     )
 
 
-def chunk_rows(df: DataFrame, text: str = "text", size: int = 500, cap: int | None = 3) -> DataFrame:
+def chunk_rows(df: DataFrame, text: str = "text", size: int = 500, cap: int | None = None) -> DataFrame:
     """One row per chunk: all columns but the text, plus ``chunk_no`` and ``chunk``."""
     kept = [c for c in df.columns if c != text]
     rows = df.select(*kept, F.posexplode_outer(chunks(F.col(text), size, cap)).alias("chunk_no", "chunk"))
@@ -61,7 +62,7 @@ def chunk_sentiment(
     scorer: ChunkScorer,
     text: str = "text",
     size: int = 500,
-    cap: int | None = 3,
+    cap: int | None = None,
     model: str = "lexicon",
 ) -> DataFrame:
     """Add ``sentiment``: winning label, confidence over *all* chunks, the three sums, an error."""
@@ -91,6 +92,8 @@ def roll_up_chunks(scored: DataFrame, by: str = "doc_id", model: str = "model")
 
 
 def _sentiment(sums: dict[str, Column], n: Column, known: Column, model: str) -> Column:
+    # Sums of the same scores in another order differ in their last bits, which must not pick the winner.
+    sums = {label: F.round(s, DIGITS) for label, s in sums.items()}
     top = F.greatest(*sums.values())
     winner = F.lit(LABELS[-1])
     for label in reversed(LABELS[:-1]):

@@ -18,7 +18,7 @@ BROADCAST_CHARS = 32 << 20
 def attach_by_key(
     facts: DataFrame, keyed: DataFrame, key: str, weight: str, salt: Column, floor: int = HOT_FLOOR
 ) -> DataFrame:
-    """Inner join of ``facts`` with ``keyed``, one row per ``key``, where ``keyed[weight]`` is the
+    """Inner join of ``facts`` with ``keyed``, one row per ``key`` (null is a key as well), where ``keyed[weight]`` is the
     number of fact rows with that key (or a bound on it).
 
     Hot keys are spread over ``ceil(weight / limit)`` salts, so no task gets more than ``limit``
@@ -26,17 +26,18 @@ def attach_by_key(
     """
     total = keyed.agg(F.sum(weight)).scalar()
     limit = F.greatest(total / F.lit(HOT_SHARE), F.lit(float(floor)))
-    weighed = keyed.withColumn("_salts", F.ceil(F.col(weight) / limit).cast("int"))
-    hot = weighed.filter("_salts > 1").select(key, F.col("_salts").alias("_fact_salts"))
+    weighed = keyed.withColumn("_salts", F.ceil(F.col(weight) / limit).cast("int")).withColumnRenamed(key, "_key")
+    hot = weighed.filter("_salts > 1").select("_key", F.col("_salts").alias("_fact_salts"))
     salted_facts = (
-        facts.join(F.broadcast(hot), key, "left")
+        facts.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_key")), "left")
         .withColumn("_salt", F.pmod(F.xxhash64(salt), F.coalesce("_fact_salts", F.lit(1))).cast("int"))
-        .drop("_fact_salts")
+        .drop("_fact_salts", "_key")
     )
     salted_keys = weighed.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.greatest("_salts", F.lit(1)) - 1))
+        "_key_salt", F.explode(F.sequence(F.lit(0), F.greatest("_salts", F.lit(1)) - 1))
     ).drop("_salts")
-    return salted_facts.join(salted_keys, [key, "_salt"]).drop("_salt")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_key_salt"))
+    return salted_facts.join(salted_keys, same).drop("_salt", "_key", "_key_salt")
 
 
 def fits(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> bool:

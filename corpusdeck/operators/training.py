@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,6 @@ from corpusdeck.functions.text import label_id, space_tokens, split_bucket, trun
 from corpusdeck.operators.skew import fits
 
 IGNORED = -100
-MAX_VOCABULARY = 100_000
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
@@ -67,17 +66,20 @@ def with_synthetic(real: DataFrame, synthetic: DataFrame | None, floor: int, rep
     ``floor`` rows. The count is a scalar subquery, so nothing runs on the driver."""
     if synthetic is None:
         return real
-    count = real.agg(F.count("*")).scalar()
+    # Whether the floor is reached shows in its first rows.
+    count = real.limit(floor).agg(F.count("*")).scalar()
     extra = synthetic.select(*real.columns).filter(count < floor)
     kept = real.filter(count >= floor) if replace else real
     return kept.unionByName(extra)
 
 
 def sentiment_dataset(
-    df: DataFrame, synthetic: DataFrame | None = None, floor: int = 10, max_chars: int = 512, longer_than: int = 10
+    df: DataFrame, synthetic: DataFrame | None = None, floor: int = 10, max_chars: int | None = None, longer_than: int = 10
 ) -> DataFrame:
     """``(text, label)`` from records or analyses; label ids NEGATIVE 0, NEUTRAL 1, POSITIVE 2."""
-    cut = sentiment_samples(df).select(truncate_text(F.col("text"), max_chars).alias("text"), "sentiment")
+    cut = sentiment_samples(df)
+    if max_chars is not None:
+        cut = cut.withColumn("text", truncate_text(F.col("text"), max_chars))
     kept = cut.filter(F.length("text") > longer_than)
     both = with_synthetic(kept, synthetic, floor)
     return both.select("text", label_id(F.col("sentiment")).alias("label"))
@@ -88,8 +90,6 @@ def vocabulary(df: DataFrame, size: int = 30_000, text: str = "text") -> DataFra
 
     All other words share the unknown id, so no text loses a position.
     """
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary takes at most {MAX_VOCABULARY} words")
     words = df.select(F.explode_outer(word_tokens(F.lower(text))).alias("word"))
     top = words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     listed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("_v"))
@@ -101,15 +101,13 @@ def vocabulary(df: DataFrame, size: int = 30_000, text: str = "text") -> DataFra
 def tokenize_pad(df: DataFrame, vocab: DataFrame, n: int = 256, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, input_ids, attention_mask)`` of exactly ``n`` positions.
 
-    Texts are placed by document before their words fan out, so regrouping needs no shuffle. The
-    vocabulary is measured and then broadcast; one that does not fit is refused, since a model's
-    vocabulary is bounded and every other word has the unknown id anyway.
+    The first ``n`` words of a text are placed by document before they fan out, so regrouping needs no
+    shuffle where the vocabulary is small enough to broadcast; a larger one is joined by word.
     """
-    if not fits(vocab):
-        raise ValueError("vocabulary too large: build it with a smaller size")
     words = F.slice(word_tokens(F.lower(text)), 1, n)
-    rows = df.select(doc, text).repartition(doc).select(doc, F.posexplode_outer(words).alias("pos", "word"))
-    found = rows.join(F.broadcast(vocab), "word", "left")
+    placed = df.select(doc, words.alias("_words")).repartition(doc)
+    rows = placed.select(doc, F.posexplode_outer("_words").alias("pos", "word"))
+    found = rows.join(F.broadcast(vocab) if fits(vocab) else vocab, "word", "left")
     entry = F.struct("pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))
     grouped = found.groupBy(doc).agg(
         F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("_ids")
@@ -125,7 +123,7 @@ def bio_tags(
     df: DataFrame,
     synthetic: DataFrame | None = None,
     floor: int = 10,
-    max_chars: int | None = 512,
+    max_chars: int | None = None,
     kind: str = "FASHION",
     doc: str = "doc_id",
     text: str = "text",
@@ -166,17 +164,27 @@ def _bio(tokens: Column, phrases: Column, kind: str) -> Column:
         )
         return F.filter(found, lambda m: m["ord"] < 0)
 
-    def tags(matches: Column) -> Column:
-        def tag(p: Column) -> Column:
-            best = F.array_max(F.filter(matches, lambda m: (m["start"] <= p) & (p < m["end"])))
-            return bind(
-                best["start"],
-                lambda s: F.when(s.isNull(), "O").when(s == p, f"B-{kind}").otherwise(f"I-{kind}"),
-            )
+    def tags(covers: Column) -> Column:
+        # In order of position, then entity, then start: the last one of a position gives its tag.
+        best = F.filter(covers, lambda c, i: ~F.coalesce(F.get(covers, i + 1)["p"] == c["p"], F.lit(False)))
+        return bind(best, between)
 
-        return F.transform(tokens, lambda _, p: tag(p))
+    def between(best: Column) -> Column:
+        def run(c: Column, i: Column) -> Column:
+            gap = c["p"] - 1 - F.coalesce(F.get(best, i - 1)["p"], F.lit(-1))
+            tag = F.when(c["start"] == c["p"], f"B-{kind}").otherwise(f"I-{kind}")
+            return F.concat(F.array_repeat(F.lit("O"), gap), F.array(tag))
 
-    labelled = bind(F.flatten(F.transform(lengths, matches_of)), tags)
+        rest = F.size(tokens) - 1 - F.coalesce(F.get(best, F.size(best) - 1)["p"], F.lit(-1))
+        return F.concat(F.flatten(F.transform(best, run)), F.array_repeat(F.lit("O"), rest))
+
+    def covers_of(m: Column) -> Column:
+        places = F.sequence(m["start"], m["end"] - 1)
+        return F.transform(places, lambda p: F.struct(p.alias("p"), m["ord"].alias("ord"), m["start"].alias("start")))
+
+    matches = F.flatten(F.transform(lengths, matches_of))
+    covers = F.sort_array(F.flatten(F.transform(matches, covers_of)))
+    labelled = bind(covers, tags)
     return F.struct(tokens.alias("tokens"), labelled.alias("ner_tags"))
 
 
@@ -198,7 +206,7 @@ def tag_vocabulary(df: DataFrame, tags: str = "ner_tags") -> DataFrame:
 
 def align_subtokens(
     df: DataFrame,
-    tag_ids: DataFrame | None = None,
+    tag_ids: DataFrame | Sequence[str] | None = None,
     splitter: Callable[[Column], Column] | None = None,
     n: int = 128,
     tokens: str = "tokens",
@@ -206,11 +214,16 @@ def align_subtokens(
 ) -> DataFrame:
     """Replace word tags by sub-token ``pieces`` and ``labels`` of exactly ``n`` positions.
 
-    The first piece of a word carries its tag id, other pieces and padding get -100.
+    The first piece of a word carries its tag id, other pieces and padding get -100. ``tag_ids`` are the
+    tags in the order of their ids, as names or as a table; without them the input is read twice.
     """
     split = splitter or fixed_width_pieces()
-    ids = tag_ids if tag_ids is not None else tag_vocabulary(df, tags)
-    staged = df.withColumn("_tags", ids.select("tags").scalar())
+    if tag_ids is None or isinstance(tag_ids, DataFrame):
+        ids = tag_ids if tag_ids is not None else tag_vocabulary(df, tags)
+        known = ids.select("tags").scalar()
+    else:
+        known = F.array(*[F.lit(t) for t in tag_ids])
+    staged = df.withColumn("_tags", known)
     words = F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t"))
     expanded = F.flatten(
         F.transform(

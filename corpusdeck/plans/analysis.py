@@ -32,7 +32,7 @@ class AnalysisConfig:
     # Ranks keywords: texts to (doc, rank, keyword, score) rows. The default is TF-IDF.
     ranker: Callable[[DataFrame], DataFrame] | None = None
     chunk_size: int = 500
-    chunk_cap: int | None = 3
+    chunk_cap: int | None = None
     strict_categories: bool = False
 
 

@@ -19,17 +19,14 @@ from corpusdeck.plans.insights import (
     top_keywords,
 )
 
-MAX_DIM_ROWS = 10_000
 STRATEGY = "accessory_strategy"
 
 
 def dim_sections(dims: DataFrame) -> DataFrame:
     """``(section, content)`` with ``content`` a map item → attr → ordered values.
 
-    Dimension rows are the fixed wording of one report; tables that are not are refused.
+    Dimension rows are the fixed wording of one report, which a report holds in one row.
     """
-    if dims.limit(MAX_DIM_ROWS + 1).count() > MAX_DIM_ROWS:
-        raise ValueError(f"a report takes at most {MAX_DIM_ROWS} dimension rows")
     values = dims.groupBy("section", "item", "attr").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda v: v["value"]).alias("values")
     )

@@ -13,15 +13,16 @@ def assemble_pages(
 ) -> DataFrame:
     """``(doc, text)``: the non-empty pages in order, each followed by a newline.
 
-    A document that comes out blank is taken from ``fallback``, where *all* pages count. The pages
-    of one document end up in one string, so a document has to fit in a row.
+    A document that comes out blank is taken from ``fallback``, where *all* pages count. So are documents that
+    only ``fallback`` has. The pages of one document end up in one string, so a document has to fit in a row.
     """
     kept = _join_pages(pages, doc, page, text, F.col(text) != "")
     if fallback is None:
         return kept
-    other = _join_pages(fallback, doc, page, text, F.lit(True)).withColumnRenamed(text, "_other")
+    other = _join_pages(fallback, doc, page, text, F.lit(True)).select(F.col(doc).alias("_doc"), F.col(text).alias("_other"))
     chosen = F.when(not_blank(F.col(text)), F.col(text)).otherwise(F.coalesce("_other", F.col(text)))
-    return kept.join(other, doc, "left").select(doc, chosen.alias(text))
+    both = kept.join(other, F.col(doc).eqNullSafe(F.col("_doc")), "full")
+    return both.select(F.coalesce(doc, "_doc").alias(doc), chosen.alias(text))
 
 
 def _join_pages(pages: DataFrame, doc: str, page: str, text: str, keep: Column) -> DataFrame:

@@ -5,15 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, folder: str, name: str, spread_on: str | None = None) -> DataFrame:
-    """Scan ``folder/name.parquet``.
-
-    ``spread_on`` names a key to hash-partition by, used only when the scan has fewer splits than
-    there are cores (a small file with one row group is one task, whatever the CPU work behind
-    it). A large table already has more splits than cores and is left as it is: no shuffle.
-    """
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    if spread_on is None:
-        return df
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, spread_on) if df.rdd.getNumPartitions() < cores else df
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Scan ``folder/name.parquet``."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

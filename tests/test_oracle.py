@@ -8,12 +8,11 @@ from oracle_check import ROOT, compare, connect
 from workload.catalog import ORACLES, QUERIES
 
 SF = "0.001"
-# Trained models and file listings: SQL has no counterpart, the unit tests check them.
+# Trained models: SQL has no counterpart, the unit tests check them.
 NO_SQL = {
     "keyword_extract_vectors",
     "keyword_mmr",
     "keyword_mmr_documents",
-    "scan_files",
     "score_batch",
     "topics",
     "train_embeddings",

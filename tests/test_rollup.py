@@ -126,12 +126,6 @@ def test_forecast_report_json(spark):
     assert strong["sections"] == {"seasonal_outlook": {"summer": {"themes": ["sun", "light"]}, "winter": {"themes": ["wool"]}}}
 
 
-def test_dimension_tables_are_bounded(spark):
-    many = spark.range(rep.MAX_DIM_ROWS + 1).selectExpr("'s' section", "string(id) item", "'a' attr", "1 ord", "'v' value")
-    with pytest.raises(ValueError):
-        rep.dim_sections(many)
-
-
 def test_accessory_report_lists_five(spark):
     found = ins.extract_insights(analysis(spark, ("POSITIVE", [f"ring {i}" for i in range(8)])), TERMS)
     row = rep.accessory_report(found, dims(spark), CATEGORIES, as_of()).first()

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusdeck.sources import files, pages, patterns, records, runs
-from corpusdeck.sources.tables import read_table
 
 def as_of():
     return F.lit("2024-06-30 12:00:00").cast("timestamp")
@@ -77,9 +76,3 @@ def test_latest_run(spark, tmp_path):
         runs.append_run(runs.run_record(info, {"sentiment": model}, F.lit(stamp).cast("timestamp")), path)
     row = runs.latest_run(spark, path).first()
     assert (row.artifacts, row.samples, row.version) == ({"sentiment": "new"}, 15, "2.0")
-
-
-def test_small_scans_are_spread_over_the_cores(spark, tmp_path):
-    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
-    assert read_table(spark, str(tmp_path), "t").rdd.getNumPartitions() == 1
-    assert read_table(spark, str(tmp_path), "t", spread_on="id").rdd.getNumPartitions() == 8

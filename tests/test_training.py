@@ -49,7 +49,7 @@ def test_synthetic_rows_below_the_floor(spark, real, total):
 def test_sentiment_dataset_from_analyses(spark):
     df = analysis(spark, ("NEGATIVE", []), (None, [])).withColumn("text", F.repeat(F.lit("x"), 600))
     rows = tr.sentiment_dataset(df).collect()
-    assert [(len(r.text), r.label) for r in rows] == [(512, 0)]
+    assert [(len(r.text), r.label) for r in rows] == [(600, 0)]
 
 
 def test_pairs_are_replaced_below_the_floor(spark):
@@ -109,8 +109,24 @@ def test_vocabulary_and_padding(spark):
     assert sorted((r.id, r.word) for r in vocab.collect()) == [(2, "b"), (3, "a")]
     got = {r.doc_id: (r.input_ids, r.attention_mask) for r in tr.tokenize_pad(df, vocab, 3).collect()}
     assert got == {1: ([2, 3, 2], [1, 1, 1]), 2: ([0, 0, 0], [0, 0, 0]), 3: ([1, 2, 0], [1, 1, 0])}
-    with pytest.raises(ValueError):
-        tr.vocabulary(df, tr.MAX_VOCABULARY + 1)
+
+
+def test_large_vocabulary_is_joined(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "b a b c"), (2, ""), (3, "zz b")], "doc_id int, text string")
+    vocab = tr.vocabulary(df, 2)
+    want = sorted(map(tuple, tr.tokenize_pad(df, vocab, 3).collect()))
+    monkeypatch.setattr(tr, "fits", lambda _: False)
+    assert sorted(map(tuple, tr.tokenize_pad(df, vocab, 3).collect())) == want
+
+
+def test_whole_texts_and_long_phrases_are_tagged(spark):
+    words = ["w"] * 600 + "a b c d e".split() + ["x"]
+    df = spark.createDataFrame([(1, " ".join(words), ["a b c d e", "c", "b c"])], "doc_id int, text string, entities array<string>")
+    tags = tr.bio_tags(df).first().ner_tags
+    # Later entities win: "b c" over "c" over the long one.
+    assert tags == ["O"] * 600 + ["B-FASHION", "B-FASHION", "I-FASHION", "I-FASHION", "I-FASHION", "O"]
+    ids = tr.align_subtokens(tr.bio_tags(df), ("B-FASHION", "I-FASHION", "O"), n=607).first().labels
+    assert ids[600:606] == [0, 0, 1, 1, 1, 2]
 
 
 def test_train_tagger_takes_the_majority(spark):

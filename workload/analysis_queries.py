@@ -30,17 +30,18 @@ def _sentiment_sql(cap):
       round(positive, 6) AS positive, round(negative, 6) AS negative, round(neutral, 6) AS neutral FROM sentiments"""
 
 
-@query("chunk_sentiment", _sentiment_sql(3))
+@query("chunk_sentiment", _sentiment_sql(None))
 def chunk_sentiment(spark, sf):
     return flat_sentiment(document_sentiment(fx.docs(spark, sf), fx.scorer))
 
 
-@query("chunk_sentiment_whole", _sentiment_sql(None))
-def chunk_sentiment_whole(spark, sf):
-    return flat_sentiment(document_sentiment(fx.docs(spark, sf), fx.scorer, cap=None))
+@query("chunk_sentiment_first", _sentiment_sql(3))
+def chunk_sentiment_first(spark, sf):
+    """The cap as an argument that a caller gives."""
+    return flat_sentiment(document_sentiment(fx.docs(spark, sf), fx.scorer, cap=3))
 
 
-@query("chunk_sentiment_rows", _sentiment_sql(3))
+@query("chunk_sentiment_rows", _sentiment_sql(None))
 def chunk_sentiment_rows(spark, sf):
     rows = chunk_rows(fx.docs(spark, sf).select("doc_id", "text"))
     judged = rows.withColumn("_s", F.element_at(fx.scorer(F.array("chunk")), 1)).select("doc_id", "_s.*")

@@ -46,7 +46,7 @@ keywords AS (SELECT doc_id, rank, keyword, weight / norm AS score FROM ranked WH
 mentions AS (SELECT * FROM keywords WHERE {any_of("lower(keyword)", fx.TERMS)})"""
 
 
-def sentiment(cap: int | None = 3) -> str:
+def sentiment(cap: int | None = None) -> str:
     chunks = "greatest(1, CAST(ceil(length(text) / 500.0) AS INTEGER))"
     n = chunks if cap is None else f"least({cap}, {chunks})"
     return f"""
@@ -63,9 +63,9 @@ judged AS (
   FROM counted),
 summed AS (
   SELECT doc_id, count(*) AS chunks,
-         sum(CASE WHEN label = 'POSITIVE' THEN score ELSE 0 END) AS positive,
-         sum(CASE WHEN label = 'NEGATIVE' THEN score ELSE 0 END) AS negative,
-         sum(CASE WHEN label = 'NEUTRAL' THEN score ELSE 0 END) AS neutral
+         round(sum(CASE WHEN label = 'POSITIVE' THEN score ELSE 0 END), 9) AS positive,
+         round(sum(CASE WHEN label = 'NEGATIVE' THEN score ELSE 0 END), 9) AS negative,
+         round(sum(CASE WHEN label = 'NEUTRAL' THEN score ELSE 0 END), 9) AS neutral
   FROM judged GROUP BY doc_id),
 sentiments AS (
   SELECT doc_id, positive, negative, neutral,

@@ -11,11 +11,6 @@ from workload.registry import ORACLES, query
 from workload.rollup_queries import RECORDS, records
 
 
-@query("scan_files")
-def scan_files(spark, sf):
-    return files.scan_files(spark, sf, ".PARQUET").select("name", "size_kb")
-
-
 @query(
     "assemble_pages",
     """SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations WHERE text <> '' GROUP BY conv_id""",
@@ -27,12 +22,15 @@ def assemble_pages(spark, sf):
 
 @query(
     "assemble_pages_fallback",
-    """SELECT conv_id, coalesce(nullif(string_agg(CASE WHEN role = 'assistant' THEN text || chr(10) END, '' ORDER BY turn), ''),
-         string_agg(text || chr(10), '' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id""",
+    """WITH answers AS (SELECT conv_id, coalesce(string_agg(CASE WHEN role = 'assistant' THEN text || chr(10) END, '' ORDER BY turn), '') AS text
+           FROM conversations WHERE turn > 0 GROUP BY conv_id),
+         everything AS (SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)
+       SELECT conv_id, coalesce(nullif(a.text, ''), e.text) AS text FROM answers a FULL JOIN everything e USING (conv_id)""",
 )
 def assemble_pages_fallback(spark, sf):
     turns = read_table(spark, sf, "conversations")
-    answers = turns.withColumn("text", F.when(F.col("role") == "assistant", F.col("text")).otherwise(""))
+    # Without the first turns some conversations are in the fallback only.
+    answers = turns.filter("turn > 0").withColumn("text", F.when(F.col("role") == "assistant", F.col("text")).otherwise(""))
     return pages.assemble_pages(answers, turns, doc="conv_id", page="turn")
 
 

@@ -71,18 +71,19 @@ def _chunk_sql(cap):
     return f"WITH {fr.sentiment(cap)} SELECT doc_id, chunk_no::INTEGER AS chunk_no, chunk FROM chunks"
 
 
-@query("chunk_text", _chunk_sql(3))
+@query("chunk_text", _chunk_sql(None))
 def chunk_text(spark, sf):
     from corpusdeck.operators.sentiment import chunk_rows
 
     return chunk_rows(fx.docs(spark, sf).select("doc_id", "text"))
 
 
-@query("chunk_text_whole", _chunk_sql(None))
-def chunk_text_whole(spark, sf):
+@query("chunk_text_first", _chunk_sql(3))
+def chunk_text_first(spark, sf):
+    """The cap as an argument that a caller gives."""
     from corpusdeck.operators.sentiment import chunk_rows
 
-    return chunk_rows(fx.docs(spark, sf).select("doc_id", "text"), cap=None)
+    return chunk_rows(fx.docs(spark, sf).select("doc_id", "text"), cap=3)
 
 
 @query("truncate_text", "SELECT doc_id, substring(text, 1, 512) AS model_text, substring(text, 1, 500) AS record_text FROM documents")
@@ -211,7 +212,7 @@ _BARE = r"""trim(regexp_replace(regexp_replace(regexp_replace(html,
           FROM (SELECT page_id, html, {_BARE} AS body FROM pages))""",
 )
 def split_errors(spark, sf):
-    pages = read_table(spark, sf, "pages", spread_on="page_id").withColumn("body", html_text(F.col("html")))
+    pages = read_table(spark, sf, "pages").withColumn("body", html_text(F.col("html")))
     checks = {
         "too little text": (F.col("body") != "") & (F.length("body") > 200),
         "page is cut off": F.contains(F.lower("html"), F.lit("</html>")),

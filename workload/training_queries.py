@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusdeck.functions.text import label_id, truncate_text
+from corpusdeck.functions.text import label_id
 from corpusdeck.operators import metrics as mt
 from corpusdeck.operators import modeling as md
 from corpusdeck.operators import training as tr
@@ -33,7 +33,7 @@ _LABEL_ID = "CASE sentiment WHEN 'NEGATIVE' THEN 0 WHEN 'NEUTRAL' THEN 1 WHEN 'P
 
 @query(
     "sentiment_dataset",
-    f"""WITH {_LABELLED}, kept AS (SELECT substring(text, 1, 512) AS text, sentiment FROM labelled WHERE length(text) > 10),
+    f"""WITH {_LABELLED}, kept AS (SELECT text, sentiment FROM labelled WHERE length(text) > 10),
         few AS (SELECT text, sentiment FROM kept WHERE contains(text, 'qqq'))
         SELECT 'enough' AS sample, text, {_LABEL_ID} AS label FROM kept
         UNION ALL SELECT 'few', text, {_LABEL_ID} FROM few
@@ -44,7 +44,7 @@ def sentiment_dataset(spark, sf):
     rows = labelled(spark, sf).select("text", "sentiment")
     synthetic = spark.createDataFrame(fx.SYNTHETIC_SENTIMENT, "text string, sentiment string")
     enough = tr.sentiment_dataset(rows, synthetic)
-    few = tr.sentiment_dataset(rows.filter(F.contains(truncate_text(F.col("text")), F.lit("qqq"))), synthetic)
+    few = tr.sentiment_dataset(rows.filter(F.contains("text", F.lit("qqq"))), synthetic)
     return enough.withColumn("sample", F.lit("enough")).unionByName(few.withColumn("sample", F.lit("few")))
 
 
@@ -72,13 +72,16 @@ def tag_input(spark, sf):
     return docs.join(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("text")).alias("entities")), "doc_id")
 
 
+TAGS = ("B-FASHION", "I-FASHION", "O")
+
+
 def tagged(spark, sf):
     return tr.bio_tags(tag_input(spark, sf))
 
 
 _TAGGED = f"""{fr.MODEL_ENTITIES[1:]},
 ents AS (SELECT DISTINCT doc_id, lower(text) AS phrase FROM model_entities),
-wtoks AS (SELECT doc_id, regexp_extract_all(substring(lower(text), 1, 512), '[^{fr.SPACE}]+') AS w FROM documents
+wtoks AS (SELECT doc_id, regexp_extract_all(lower(text), '[^{fr.SPACE}]+') AS w FROM documents
           WHERE doc_id IN (SELECT doc_id FROM ents)),
 wwords AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM wtoks),
 two AS (SELECT doc_id, p, t, lead(t) OVER (PARTITION BY doc_id ORDER BY p) AS u FROM wwords),
@@ -113,7 +116,7 @@ kept AS (SELECT * FROM numbered WHERE i <= 128)"""
           string_agg(label::VARCHAR, ' ' ORDER BY i) || repeat(' -100', 128 - count(*)::INTEGER) AS labels FROM kept GROUP BY doc_id""",
 )
 def align_subtokens(spark, sf):
-    rows = tr.align_subtokens(tagged(spark, sf))
+    rows = tr.align_subtokens(tagged(spark, sf), TAGS)
     return rows.select("doc_id", F.array_join("pieces", " ").alias("pieces"), F.array_join("labels", " ").alias("labels"))
 
 
@@ -140,14 +143,14 @@ def positive_pairs(spark, sf):
 @query("train_sentiment")
 def train_sentiment(spark, sf):
     rows = labelled(spark, sf)
-    ids = rows.select("doc_id", truncate_text(F.col("text")).alias("text"), label_id(F.col("sentiment")).alias("label"))
+    ids = rows.select("doc_id", "text", label_id(F.col("sentiment")).alias("label"))
     return md.train_sentiment(ids, fx.as_of())[1]
 
 
 @query("score_batch")
 def score_batch(spark, sf):
     rows = labelled(spark, sf)
-    ids = rows.select("doc_id", truncate_text(F.col("text")).alias("text"), label_id(F.col("sentiment")).alias("label"))
+    ids = rows.select("doc_id", "text", label_id(F.col("sentiment")).alias("label"))
     model, _ = md.train_sentiment(ids, fx.as_of(), epochs=1)
     chunks = chunk_rows(fx.docs(spark, sf).select("doc_id", "text")).withColumnRenamed("chunk", "text")
     return roll_up_chunks(md.score_batch(chunks, model)).select("doc_id", "sentiment.overall_sentiment", "sentiment.confidence")
@@ -195,7 +198,7 @@ def classification_metrics(spark, sf):
         FROM kept WHERE label <> -100""",
 )
 def token_accuracy(spark, sf):
-    rows = tr.align_subtokens(tagged(spark, sf))
+    rows = tr.align_subtokens(tagged(spark, sf), TAGS)
     # Class scores of a fixed rule: short pieces open a phrase, all others are outside.
     scores = F.transform(
         "pieces", lambda p: F.array(F.when(F.length(p) < 3, 1.0).otherwise(0.0), F.lit(0.2), F.lit(0.5))
