@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,8 @@ from corpusdeck.functions.text import drop_words, token_ngrams, word_tokens
 from corpusdeck.functions.vectors import dot
 from corpusdeck.operators.skew import attach_by_key
 
-MAX_QUERIES = 10_000
+#: Query vectors that travel with the tasks of one pass over the items.
+BLOCK = 10_000
 
 
 def ngram_candidates(
@@ -127,37 +129,39 @@ def cosine_topk(
 ) -> DataFrame:
     """The ``k`` most similar items per query: ``(query_id, rank, item_id, score)``.
 
-    The query set is a parameter of at most ``MAX_QUERIES`` vectors and travels with the tasks.
-    Each partition keeps its own ``k`` best per query, batch by batch, so only
-    ``queries * k`` rows per partition are shuffled and ranked; every item is scored. Scores are
-    rounded to 9 digits, equal ones rank by item id.
+    Queries travel with the tasks, ``BLOCK`` of them in one pass over the items. Each partition keeps
+    its own ``k`` best per query, batch by batch, so only ``queries * k`` rows per partition are
+    shuffled and ranked; every item is scored. Scores are rounded to 9 digits, equal ones rank by
+    item id.
     """
-    rows = queries.select(query_id, vector).orderBy(query_id).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors: rank them in several calls")
     schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {item_id} " + (
         f"{items.schema[item_id].dataType.simpleString()}, score double"
     )
-    if not rows:
-        ranked = items.sparkSession.createDataFrame([], schema)
-    else:
-        ids = [r[0] for r in rows]
-        unit = _unit_rows(np.array([r[1] for r in rows], dtype="float64"))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept = None
-            for batch in batches:
-                if len(batch):
-                    sims = _unit_rows(np.stack(batch[vector].to_numpy()).astype("float64")) @ unit.T
-                    kept = _keep_best(kept, ids, batch[item_id].to_numpy(), sims, k, query_id, item_id)
-            if kept is not None:
-                yield kept
-
-        ranked = items.select(item_id, vector).filter(F.col(vector).isNotNull()).mapInPandas(best, schema)
+    given = items.select(item_id, vector).filter(F.col(vector).isNotNull())
+    ranked = items.sparkSession.createDataFrame([], schema)
+    rest = queries.select(query_id, vector).toLocalIterator()
+    while rows := list(islice(rest, BLOCK)):
+        ranked = ranked.union(given.mapInPandas(_best_of(rows, k, query_id, item_id, vector), schema))
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), item_id)
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _best_of(rows: list, k: int, query_id: str, item_id: str, vector: str):
+    ids = [r[0] for r in rows]
+    unit = _unit_rows(np.array([r[1] for r in rows], dtype="float64"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            if len(batch):
+                sims = _unit_rows(np.stack(batch[vector].to_numpy()).astype("float64")) @ unit.T
+                kept = _keep_best(kept, ids, batch[item_id].to_numpy(), sims, k, query_id, item_id)
+        if kept is not None:
+            yield kept
+
+    return best
+
+
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
@@ -194,8 +198,8 @@ def keyword_mmr(
     pool = ranked.filter(F.col("rank") <= 2 * top_n)
     if vectors is not None:
         narrow = pool.select(query_id, item_id, "score")
-        # The output of cosine_topk: at most MAX_QUERIES * 2 * top_n rows of two ids and a score.
-        pool = vectors.select(item_id, vector).join(F.broadcast(narrow), item_id)
+        # No hint: whether one side is broadcast follows from its measured size.
+        pool = vectors.select(item_id, vector).join(narrow, item_id)
     schema = f"{query_id} {ranked.schema[query_id].dataType.simpleString()}, rank int, {item_id} " + (
         f"{ranked.schema[item_id].dataType.simpleString()}, score double"
     )

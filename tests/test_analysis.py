@@ -181,10 +181,11 @@ def vectors(spark, n=200, d=8, seed=3):
     return m, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
 
 
-def test_cosine_topk_against_brute_force(spark):
+def test_cosine_topk_against_brute_force(spark, monkeypatch):
     m, df = vectors(spark)
     m = m.astype("float32").astype("float64")
     queries = df.filter("vec_id < 7").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(kw, "BLOCK", 2)
     got = kw.cosine_topk(queries, df.repartition(5), 6)
     rows = sorted((r.query_id, r.rank, r.vec_id) for r in got.collect())
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
