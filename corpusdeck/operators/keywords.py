@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusdeck.defaults import STOPS
 from corpusdeck.functions.text import drop_words, token_ngrams, word_tokens
 from corpusdeck.functions.vectors import dot
 from corpusdeck.operators.skew import attach_by_key
@@ -21,7 +22,7 @@ BLOCK = 10_000
 
 
 def ngram_candidates(
-    df: DataFrame, stops: Iterable[str] = (), n: int = 2, text: str = "text", out: str = "candidates"
+    df: DataFrame, stops: Iterable[str] = STOPS, n: int = 2, text: str = "text", out: str = "candidates"
 ) -> DataFrame:
     """Add the 1..n-grams of lower-cased words of two or more characters, in order, with repeats.
 
@@ -33,7 +34,7 @@ def ngram_candidates(
 
 
 def term_frequencies(
-    df: DataFrame, stops: Iterable[str] = (), n: int = 2, doc: str = "doc_id", text: str = "text"
+    df: DataFrame, stops: Iterable[str] = STOPS, n: int = 2, doc: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """``(doc, keyword, tf)``. The texts are partitioned by document *before* they fan out, which
     already satisfies the grouping by (document, keyword): the many term rows are not shuffled."""
@@ -44,7 +45,7 @@ def term_frequencies(
 
 
 def keyword_extract(
-    df: DataFrame, stops: Iterable[str] = (), top_n: int = 20, n: int = 2, doc: str = "doc_id", text: str = "text"
+    df: DataFrame, stops: Iterable[str] = STOPS, top_n: int = 20, n: int = 2, doc: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Top ``top_n`` candidates per document: ``(doc, rank, keyword, score)``.
 
@@ -69,7 +70,7 @@ def keyword_extract(
 def keyword_extract_by_vectors(
     df: DataFrame,
     model: Word2VecModel,
-    stops: Iterable[str] = (),
+    stops: Iterable[str] = STOPS,
     top_n: int = 20,
     n: int = 2,
     doc: str = "doc_id",

@@ -27,7 +27,7 @@ class AnalysisConfig:
     dictionary: DataFrame
     patterns: Lexicon = field(default_factory=lambda: Lexicon.categories(defaults.PATTERNS))
     facets: Lexicon = field(default_factory=lambda: Lexicon.facets(defaults.FACETS))
-    stops: tuple[str, ...] = ()
+    stops: tuple[str, ...] = defaults.STOPS
     top_n: int = 20
     # Ranks keywords: texts to (doc, rank, keyword, score) rows. The default is TF-IDF.
     ranker: Callable[[DataFrame], DataFrame] | None = None

@@ -269,7 +269,7 @@ def test_analysis_row_per_document(spark):
     df = docs(spark, "good Silk dress in summer", "", "x").withColumn("source", F.lit("f.pdf"))
     rows = {r.doc_id: r for r in analyze_documents(df, cfg).collect()}
     assert set(rows) == {0, 1, 2}
-    assert rows[0].sentiment.overall_sentiment == "POSITIVE" and rows[0].total_keywords == 9
+    assert rows[0].sentiment.overall_sentiment == "POSITIVE" and rows[0].total_keywords == 7
     assert {e.category for e in rows[0].entities} == {"fashion_materials", "fashion_garments"}
     assert rows[0].facets["season"]["summer"].mentions == ["summer"]
     assert rows[1].keywords == [] and rows[1].entities == []

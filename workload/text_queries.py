@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusdeck import defaults
 from corpusdeck.functions import text as tx
 from corpusdeck.operators import filters as fl
 from corpusdeck.operators.keywords import keyword_extract
@@ -62,6 +63,35 @@ def stopword_filter(spark, sf):
     return kept.select("doc_id", F.size("t").cast("bigint").alias("tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
+def _default_lexicons_sql():
+    lc = "lower(text)"
+    counts = [f"len({fr.hits(lc, sorted(set(words)))}) AS {name}" for name, words in _DEFAULT_LEXICONS.items()]
+    tokens = f"regexp_extract_all(lower(text), '[{W}]+')"
+    kept = f"list_filter({tokens}, lambda w: NOT list_contains({fr.listing(defaults.STOPS)}, w))"
+    return f"SELECT doc_id, {', '.join(counts)}, len({kept}) AS content_words FROM documents"
+
+
+_DEFAULT_LEXICONS = {
+    "gate": defaults.GATE,
+    "sentence": defaults.SENTENCE,
+    "facets": [w for options in defaults.FACETS.values() for words in options.values() for w in words],
+    "accessories": [w for words in defaults.ACCESSORIES.values() for w in words] + defaults.ACCESSORY_EXTRAS,
+    "patterns": [w for words in defaults.PATTERNS.values() for w in words],
+}
+
+
+@query("default_lexicons", _default_lexicons_sql())
+def default_lexicons(spark, sf):
+    """Distinct words of each default lexicon in a text, and its words without default stop words."""
+    lc = F.lower("text")
+    counts = [
+        F.size(F.filter(F.array(*[F.lit(w) for w in sorted(set(words))]), lambda w: F.contains(lc, w))).cast("bigint").alias(name)
+        for name, words in _DEFAULT_LEXICONS.items()
+    ]
+    kept = F.size(tx.drop_words(tx.word_tokens(lc), defaults.STOPS)).cast("bigint").alias("content_words")
+    return fx.docs(spark, sf).select("doc_id", *counts, kept)
+
+
 @query("preview", f"SELECT doc_id, {fr.PREVIEW} AS text_preview FROM documents")
 def preview(spark, sf):
     return fx.raw_docs(spark, sf).select("doc_id", tx.preview(F.col("text")).alias("text_preview"))
