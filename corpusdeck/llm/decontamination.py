@@ -7,7 +7,7 @@ each block's values that near finds every item within the radius. Items found ar
 weighted-shingle similarity: the sum of the smaller over the sum of the larger shingle counts.
 
 A window as similar as asked for shares most of its shingles with its item, so only windows with that many
-shingles of any item are fingerprinted; that bound loses none.
+shingles of some item of their size are fingerprinted; that bound loses none.
 
 Words are runs of letters, digits and underscores, in lower case. A null text, of a document or an item,
 has no words, and is never part of a leak. Items of fewer than five words have one shingle, all their words.
@@ -62,30 +62,40 @@ class Items:
         words = [words_of(t) for _, t in items]
         self.shingles = [shingles(w) for w in words]
         self.by_size: dict[int, list[dict[int, list[int]]]] = {}
-        grams: dict[int, list[np.ndarray]] = {}
+        grams: dict[int, list[tuple[np.ndarray, int]]] = {}
+        self.sizes = [len(w) for w in words]
         self.prints = np.zeros(len(items), np.uint64)
         for k, w in enumerate(words):
             if not w:
                 continue
             own = gram_hashes(hashes_of(w), min(SHINGLE, len(w)))
-            grams.setdefault(min(SHINGLE, len(w)), []).append(own)
+            grams.setdefault(min(SHINGLE, len(w)), []).append((own, k))
             fp = majority(own, 64)
             self.prints[k] = np.frombuffer(fp, np.uint64)[0]
             tables = self.by_size.setdefault(len(w), [{} for _ in range(BLOCKS)])
             for block, value in enumerate(fp):
                 tables[block].setdefault(value, []).append(k)
-        # For each shingle length: the hashes in order, and a table over their first bits that most others miss.
-        self.grams = {n: np.unique(np.concatenate(g)) for n, g in grams.items()}
-        self.first = {n: np.zeros(1 << 22, bool) for n in self.grams}
+        # For each shingle length: the hashes in order, the items of each, and a table over their first bits
+        # that most others miss.
+        self.grams, self.holders, self.first = {}, {}, {n: np.zeros(1 << 22, bool) for n in grams}
+        for n, parts in grams.items():
+            values = np.concatenate([g for g, _ in parts])
+            holder = np.repeat([k for _, k in parts], [len(g) for g, _ in parts])
+            pairs = np.unique(np.stack([values, holder.astype(np.uint64)]), axis=1)
+            self.grams[n], starts = np.unique(pairs[0], return_index=True)
+            self.holders[n] = np.split(pairs[1].astype(np.int64), starts[1:])
         for n, g in self.grams.items():
             self.first[n][(g >> np.uint64(42)).astype(np.int64)] = True
 
-    def known(self, grams: np.ndarray, n: int) -> np.ndarray:
-        """Which shingles belong to any item."""
-        out = self.first[n][(grams >> np.uint64(42)).astype(np.int64)]
-        at = np.flatnonzero(out)
-        values = self.grams[n]
-        out[at] = values[np.minimum(np.searchsorted(values, grams[at]), len(values) - 1)] == grams[at]
+    def places(self, grams: np.ndarray, n: int) -> dict[int, list[int]]:
+        """Where the shingles of each item stand."""
+        at = np.flatnonzero(self.first[n][(grams >> np.uint64(42)).astype(np.int64)])
+        number = np.minimum(np.searchsorted(self.grams[n], grams[at]), len(self.grams[n]) - 1)
+        known = self.grams[n][number] == grams[at]
+        out: dict[int, list[int]] = {}
+        for place, k in zip(at[known].tolist(), number[known].tolist(), strict=True):
+            for item in self.holders[n][k].tolist():
+                out.setdefault(item, []).append(place)
         return out
 
     def candidates(self, fp: bytes, size: int) -> list[int]:
@@ -106,17 +116,23 @@ class Items:
         hashes, best = hashes_of(words), {}
         for n in self.grams:
             grams = gram_hashes(hashes, n)
-            known = self.known(grams, n) if len(grams) else np.zeros(0, bool)
-            if not known.any():
-                continue
-            upto = np.concatenate([[0], np.cumsum(known)])
-            for size in self.by_size:
+            done: set[tuple[int, int]] = set()
+            for item, places in self.places(grams, n).items():
+                size = self.sizes[item]
                 span = size - n + 1
-                if min(size, SHINGLE) != n or span > len(grams):
+                if span > len(grams):
                     continue
                 # similarity s needs s / (1 + s) of both windows' shingles in common
-                least = np.ceil(2 * span * self.least / (1 + self.least) - 1e-9)
+                least = max(1, int(np.ceil(2 * span * self.least / (1 + self.least) - 1e-9)))
+                if len(places) < least:
+                    continue
+                flags = np.zeros(len(grams) + 1, np.int64)
+                flags[np.array(places) + 1] = 1
+                upto = np.cumsum(flags)
                 for start in np.flatnonzero(upto[span:] - upto[:-span] >= least).tolist():
+                    if (size, start) in done:
+                        continue
+                    done.add((size, start))
                     near = self.candidates(majority(grams[start : start + span], 64), size)
                     own = shingles(words[start : start + size]) if near else None
                     for k in near:
