@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,18 @@ def pieces_of(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
+_MEMORY: dict[str, Any] = {}
+
+
+def worker_memory(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker remembers from task to task, under one name at a time: workers live on through
+    all stages of a job, and the next stage's memory takes the place of the last one's."""
+    if name not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[name] = make()
+    return _MEMORY[name]
+
+
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash; misses are worked out, and kept while there is room."""
 
@@ -53,11 +66,9 @@ class WordHashes(dict):
         return got
 
 
-WORD_HASHES = WordHashes()
-
-
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    known = worker_memory("hashes", WordHashes)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusdeck.llm.common import CACHE_WORDS, fold, raw_text
+from corpusdeck.llm.common import CACHE_WORDS, fold, raw_text, worker_memory
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int
 #: Fixed point of a word's margin, beside its feature count in the low bits of one integer.
 COUNT_BITS = 24
 SCALE = 1 << 12
-_KEPT: dict[str, "WordMargins"] = {}
 
 
 class WordMargins(dict):
@@ -162,11 +161,8 @@ class WordMargins(dict):
 
 
 def word_margins(key: str, margins: np.ndarray, settings: Settings) -> WordMargins:
-    """The worker's memory for a model; that of another model is dropped."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = WordMargins(margins, settings)
-    return _KEPT[key]
+    """The worker's memory for a model."""
+    return worker_memory(f"margins {key}", lambda: WordMargins(margins, settings))
 
 
 def parts_of(known: WordMargins, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -12,6 +12,8 @@ from itertools import chain
 
 import numpy as np
 
+from corpusdeck.llm.common import worker_memory
+
 #: Words that a worker remembers for each vocabulary, texts handled at once, words encoded in one call.
 ROOM = 900_000
 TEXTS = 400
@@ -121,11 +123,7 @@ class BlankLed(WordEncoder):
         return word != "" and word == word.strip()
 
 
-ENCODERS: dict[tuple[str, str], WordEncoder] = {}
-
-
 def encoder(kind: str, path: str) -> WordEncoder:
     """The worker's encoder for a vocabulary file; ``kind`` is ``blank_free`` or ``blank_led``."""
-    if (kind, path) not in ENCODERS:
-        ENCODERS[kind, path] = {"blank_free": BlankFree, "blank_led": BlankLed}[kind](path)
-    return ENCODERS[kind, path]
+    make = {"blank_free": BlankFree, "blank_led": BlankLed}[kind]
+    return worker_memory(f"tokens {kind} {path}", lambda: make(path))
