@@ -14,8 +14,7 @@ import numpy as np
 
 from corpusdeck.llm.common import worker_memory
 
-#: Words that a worker remembers for each vocabulary, texts handled at once, words encoded in one call.
-ROOM = 900_000
+#: Texts handled at once, words encoded in one call.
 TEXTS = 400
 WORDS = 100
 
@@ -23,6 +22,9 @@ WORDS = 100
 class WordEncoder:
     """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit integers."""
 
+    #: Words that a worker remembers.
+    room = 900_000
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -43,7 +45,7 @@ class WordEncoder:
             new = list(set(chain.from_iterable(words)).difference(self.known))
             self.known.update(self.learn(new))
             out += [self.joined(w, t) for w, t in zip(words, part, strict=True)]
-            if len(self.known) > ROOM:
+            if len(self.known) > self.room:
                 for w in new:
                     del self.known[w]
         return out
@@ -81,6 +83,7 @@ class BlankFree(WordEncoder):
     """For vocabularies that drop white space. A control character, with one id, stands between words."""
 
     MARK = "\x01"
+    room = 500_000
 
     def cut(self, text: bytes) -> list[bytes]:
         return text.split()
