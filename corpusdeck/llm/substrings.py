@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from corpusdeck.llm.common import gram_hashes, hashes_of, pieces_of, raw_text, volume
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
 #: Distinct segments of one anchor that go to one shard; beyond, its windows are dealt one by one.
 CROWD = 2048
 LAST = np.iinfo(np.int64).max
