@@ -240,8 +240,8 @@ def linked(fps: DataFrame, routes: Routes, name: str = "simhash", tree_size: int
     """Edges ``(a, b)`` between ``node`` names whose fingerprints are within the radius.
 
     Routes with more than ``tree_size`` fingerprints are split. Exact routes get longer until they have
-    few fingerprints: any pair still agrees on one, so no link is lost. Sampled routes are dealt to
-    several trees that share random pivots, about an eighth of a tree.
+    few fingerprints: any pair still agrees on one, so no link is lost. Sampled routes are dealt to parts
+    with a tree for each pair of parts, so that any two fingerprints of the route meet.
     """
     rows = stored(_routed(fps.select("fp").distinct(), routes), f"{name}-routes")
     edges = None
@@ -262,8 +262,7 @@ def linked(fps: DataFrame, routes: Routes, name: str = "simhash", tree_size: int
         else:
             trees = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / tree_size)
             own = F.pmod(F.xxhash64("fp", "route"), trees)
-            pivot = F.pmod(F.xxhash64("route", "fp"), F.col("n")) < tree_size // 8
-            spread = F.when((trees > 1) & pivot, F.sequence(F.lit(0).cast("long"), trees - 1)).otherwise(F.array(own))
+            spread = F.transform(F.sequence(F.lit(0).cast("long"), trees - 1), lambda k: F.struct(F.least(own, k), F.greatest(own, k)))
             dealt = tagged.withColumn("part", F.explode(spread)).withColumn("tree", F.xxhash64("route", "part"))
             return _tree_links(dealt, routes, shards)
 
