@@ -4,7 +4,8 @@ For each size of benchmark items, the windows of that many words slide over a do
 (of its five-word shingles) is looked up in a multi-index: fingerprints are cut into blocks, and two that
 differ in at most ``RADIUS`` bits differ in at most ``RADIUS // BLOCKS`` bits of some block, so probing
 each block's values that near finds every item within the radius. Items found are verified by exact
-weighted-shingle similarity: the sum of the smaller over the sum of the larger shingle counts.
+weighted-shingle similarity: the sum of the smaller over the sum of the larger shingle counts. A document
+shorter than an item is compared with it as a whole.
 
 A window as similar as asked for shares most of its shingles with its item, so only windows with that many
 shingles of some item of their size are fingerprinted; that bound loses none.
@@ -113,7 +114,7 @@ class Items:
         words = words_of(text)
         if not words or not self.by_size:
             return []
-        hashes, best = hashes_of(words), {}
+        hashes, best, whole = hashes_of(words), {}, None
         for n in self.grams:
             grams = gram_hashes(hashes, n)
             done: set[tuple[int, int]] = set()
@@ -121,6 +122,12 @@ class Items:
                 size = self.sizes[item]
                 span = size - n + 1
                 if span > len(grams):
+                    # A document shorter than the item is its one window.
+                    if len(places) >= (span + len(grams)) * self.least / (1 + self.least) - 1e-9:
+                        whole = whole or shingles(words)
+                        s = similarity(whole, self.shingles[item])
+                        if s >= self.least:
+                            best[item] = (s, 0, len(words))
                     continue
                 # similarity s needs s / (1 + s) of both windows' shingles in common
                 least = max(1, int(np.ceil(2 * span * self.least / (1 + self.least) - 1e-9)))
