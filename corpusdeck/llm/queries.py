@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdeck.llm import decontamination, fixity, neighbours, packing, pages, quality, simhash, substrings, tokenfile, toxicity
+from corpusdeck.llm import decontamination, fixity, neighbours, packing, pages, pieces, quality, simhash, substrings, tokenfile, toxicity
 from corpusdeck.llm.common import table
 from corpusdeck.llm.shipping import ship
 from corpusdeck.session import scratch_path
@@ -110,6 +110,14 @@ FROM pages WHERE substr(md5(CAST(page_id AS VARCHAR)), 1, 2) IN ('00', '01')
 """
 
 
+@query
+def op11_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("piece_bpe_32k.model")
+    found = pieces.encode_texts(table(spark, sf_dir, "documents"), path, decoded=True)
+    digests = (F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("ids", "decoded"))
+    return found.select("doc_id", "n_tokens", *digests)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
