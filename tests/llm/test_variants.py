@@ -86,7 +86,7 @@ def test_a_word_of_a_million_letters(spark):
     words = {word: 20, word[:-1]: 2, word[:-2] + "b": 1}
     frame = spark.createDataFrame(list(words.items()), "word string, n long")
     got = variants.spelling_variants(frame).selectExpr("length(word) l", "n", "n_near", "form_n").collect()
-    assert sorted(map(tuple, got), key=str) == [(999_999, 1, 1, None), (999_999, 2, 2, 20), (1_000_000, 20, 1, None)]
+    assert sorted(map(tuple, got), key=lambda r: r[:3]) == [(999_999, 1, 1, None), (999_999, 2, 2, 20), (1_000_000, 20, 1, None)]
 
 
 def test_odd_rows(spark, odd, none):
