@@ -38,3 +38,38 @@ WITH RECURSIVE runs AS (
 )
 SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chains c ON c.word = f.word AND c.next IS NULL
 """
+
+PREFIX_TRIE = f"""
+WITH ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (SELECT conv_id, conv_id - conv_id % 5 AS base, count(*) AS size FROM ordered GROUP BY ALL
+), convs AS (
+  SELECT s.conv_id, s.base, s.size, {crc32("CAST(s.conv_id AS VARCHAR)")} % 9 AS h, coalesce(b.size, 0) AS base_size
+  FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.base
+), turns AS (
+  SELECT c.conv_id, pos AS depth, role, text FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, pos - h + least(h, base_size), role, text FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.pos > c.h
+), paths AS (
+  SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS n_bytes FROM convs
+  UNION ALL
+  SELECT conv_id, depth, sha256(string_agg(strlen(role) || ':' || strlen(text) || ':' || role || text, '') OVER (PARTITION BY conv_id ORDER BY depth)), strlen(text) FROM turns
+), nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n_bytes) AS saved FROM paths GROUP BY depth, prefix
+), linked AS (
+  SELECT n.*, up.prefix AS above FROM nodes n LEFT JOIN paths up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1
+), children AS (SELECT depth - 1 AS depth, above AS prefix, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL
+), valued AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM linked n LEFT JOIN children USING (depth, prefix)
+), totals AS (
+  SELECT up.depth, up.prefix, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(v.saved) AS saved_tokens
+  FROM valued v JOIN paths up ON up.conv_id = v.conv_id AND up.depth <= v.depth GROUP BY ALL
+), lengths AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id
+), ends AS (
+  SELECT depth, prefix, sha256(string_agg(conv_id, ',' ORDER BY conv_id)) AS ends_sha256 FROM paths JOIN lengths USING (conv_id, depth) GROUP BY ALL
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM valued v JOIN totals USING (depth, prefix) LEFT JOIN ends USING (depth, prefix)
+LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.prefix = v.above
+"""

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdeck.llm import decontamination, fixity, neighbours, oracle_sql, packing, pages, pieces, quality, simhash, substrings, tokenfile, toxicity, variants
+from corpusdeck.llm import decontamination, fixity, neighbours, oracle_sql, packing, pages, pieces, quality, simhash, substrings, tokenfile, toxicity, tries, variants
 from corpusdeck.llm.common import table
 from corpusdeck.llm.shipping import ship
 from corpusdeck.session import scratch_path
@@ -118,6 +118,15 @@ def op11_piece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *digests)
 
 
+@query
+def op12_centroid_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = tries.rebuilt(tries.turns_of(table(spark, sf_dir, "conversations")))
+    return tries.prefix_trie(turns, convs)
+
+
+ORACLES["op12_centroid_prefix_trie"] = oracle_sql.PREFIX_TRIE
+
+
 @query
 def op13_trie_pair_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(variants.word_counts(table(spark, sf_dir, "documents")))
