@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -15,11 +14,9 @@ from pyspark.sql import functions as F
 from corpusdeck.defaults import STOPS
 from corpusdeck.functions.text import drop_words, token_ngrams, word_tokens
 from corpusdeck.functions.vectors import dot
+from corpusdeck.operators.nearest import unit_rows
 from corpusdeck.operators.skew import attach_by_key
 
-#: Query vectors that travel with the tasks of one pass over the items.
-BLOCK = 10_000
-
 
 def ngram_candidates(
     df: DataFrame, stops: Iterable[str] = STOPS, n: int = 2, text: str = "text", out: str = "candidates"
@@ -120,67 +117,6 @@ def nest_keywords(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
     )
 
 
-def cosine_topk(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int,
-    query_id: str = "query_id",
-    item_id: str = "vec_id",
-    vector: str = "embedding",
-) -> DataFrame:
-    """The ``k`` most similar items per query: ``(query_id, rank, item_id, score)``.
-
-    Queries travel with the tasks, ``BLOCK`` of them in one pass over the items. Each partition keeps
-    its own ``k`` best per query, batch by batch, so only ``queries * k`` rows per partition are
-    shuffled and ranked; every item is scored. Scores are rounded to 9 digits, equal ones rank by
-    item id.
-    """
-    schema = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {item_id} " + (
-        f"{items.schema[item_id].dataType.simpleString()}, score double"
-    )
-    given = items.select(item_id, vector).filter(F.col(vector).isNotNull())
-    ranked = items.sparkSession.createDataFrame([], schema)
-    rest = queries.select(query_id, vector).toLocalIterator()
-    while rows := list(islice(rest, BLOCK)):
-        ranked = ranked.union(given.mapInPandas(_best_of(rows, k, query_id, item_id, vector), schema))
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), item_id)
-    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _best_of(rows: list, k: int, query_id: str, item_id: str, vector: str):
-    ids = [r[0] for r in rows]
-    unit = _unit_rows(np.array([r[1] for r in rows], dtype="float64"))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            if len(batch):
-                sims = _unit_rows(np.stack(batch[vector].to_numpy()).astype("float64")) @ unit.T
-                kept = _keep_best(kept, ids, batch[item_id].to_numpy(), sims, k, query_id, item_id)
-        if kept is not None:
-            yield kept
-
-    return best
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-
-
-def _keep_best(kept, ids, items, sims, k, query_id, item_id):
-    sims = np.round(sims, 9)
-    if len(items) > k:
-        # All items at or above the k-th value, so that ties are settled by id below.
-        row, col = np.nonzero(sims >= np.partition(sims, len(items) - k, axis=0)[len(items) - k])
-    else:
-        row, col = (a.ravel() for a in np.indices(sims.shape))
-    fresh = pd.DataFrame({query_id: np.asarray(ids)[col], item_id: items[row], "score": sims[row, col]})
-    pool = fresh if kept is None else pd.concat([kept, fresh], ignore_index=True)
-    pool = pool.sort_values([query_id, "score", item_id], ascending=[True, False, True])
-    return pool.groupby(query_id, sort=False).head(k)
-
-
 def keyword_mmr(
     ranked: DataFrame,
     vectors: DataFrame | None = None,
@@ -207,7 +143,7 @@ def keyword_mmr(
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", item_id], ascending=[False, True]).reset_index(drop=True)
-        unit = _unit_rows(np.stack(pdf[vector].to_numpy()).astype("float64"))
+        unit = unit_rows(np.stack(pdf[vector].to_numpy()).astype("float64"))
         chosen = mmr_order(unit @ unit.T, pdf["score"].to_numpy(), top_n, diversity)
         out = pdf.loc[chosen, [query_id, item_id, "score"]]
         return out.assign(rank=np.arange(1, len(chosen) + 1))[[query_id, "rank", item_id, "score"]]

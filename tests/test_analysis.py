@@ -11,6 +11,7 @@ from corpusdeck.functions.lexicon import Lexicon
 from corpusdeck.operators import entities as en
 from corpusdeck.operators import filters as fl
 from corpusdeck.operators import keywords as kw
+from corpusdeck.operators import nearest as nr
 from corpusdeck.operators.facets import facet_map, facet_scores
 from corpusdeck.operators.modeling import train_embeddings
 from corpusdeck.operators.patterns import keyword_documents, mine_patterns
@@ -181,25 +182,59 @@ def vectors(spark, n=200, d=8, seed=3):
     return m, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
 
 
-def test_cosine_topk_against_brute_force(spark, monkeypatch):
+def brute_topk(m, queries, k):
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+    sims = np.round(unit @ unit.T, 9)
+    return [(q, rank, int(v)) for q in queries for rank, v in enumerate(np.lexsort((np.arange(len(m)), -sims[q]))[:k], 1)]
+
+
+def test_cosine_topk_against_brute_force(spark):
     m, df = vectors(spark)
     m = m.astype("float32").astype("float64")
     queries = df.filter("vec_id < 7").withColumnRenamed("vec_id", "query_id")
-    monkeypatch.setattr(kw, "BLOCK", 2)
-    got = kw.cosine_topk(queries, df.repartition(5), 6)
-    rows = sorted((r.query_id, r.rank, r.vec_id) for r in got.collect())
-    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    sims = np.round(unit @ unit.T, 9)
-    want = [
-        (q, rank, int(v)) for q in range(7) for rank, v in enumerate(np.lexsort((np.arange(len(m)), -sims[q]))[:6], 1)
-    ]
-    assert rows == want
+    for few in (7, 6):
+        got = nr.cosine_topk(queries, df.repartition(5), 6, few=few)
+        assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == brute_topk(m, range(7), 6)
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_cells_leave_out_only_items_that_cannot_be_found(spark, monkeypatch, spread):
+    monkeypatch.setattr(nr, "QUERIES", 9)
+    rng = np.random.default_rng(5)
+    m = (rng.normal(size=(12, 6))[rng.integers(0, 12, 400)] + spread * rng.normal(size=(400, 6))).astype("float32")
+    m[:150] = m[0]  # one vector holds a third of all rows
+    m[150:153] = 0
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(m)] + [(999, None, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell string").repartition(4)
+    index = nr.cosine_cells(df, cells=30, block=11)
+    assert index.total == 400
+    queries = df.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    best, tally = nr.nearest_in_cells(queries, index, 5)
+    want = brute_topk(m.astype("float64"), range(0, 400, 3), 5)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in best.collect()) == want
+    scored = {r.query_id: r.scored for r in tally.collect()}
+    assert set(scored) == set(range(0, 400, 3)) and all(5 <= n <= 400 for n in scored.values())
+    if spread < 1:
+        assert sum(scored.values()) < 0.6 * 400 * len(scored)
+
+
+def test_cells_of_odd_tables(spark):
+    _, df = vectors(spark, n=3)
+    queries = df.withColumnRenamed("vec_id", "query_id")
+    assert nr.nearest_in_cells(queries, nr.cosine_cells(df.limit(0)), 5)[0].count() == 0
+    assert nr.nearest_in_cells(queries.limit(0), nr.cosine_cells(df), 5)[0].count() == 0
+    assert nr.nearest_in_cells(queries, nr.cosine_cells(df), 5)[0].count() == 9
+    zeros = df.selectExpr("vec_id", "transform(embedding, x -> float(0)) as embedding")
+    got = nr.nearest_in_cells(queries, nr.cosine_cells(zeros), 2)[0].collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(q, v, 0.0) for q in range(3) for v in range(2)]
+    assert nr.cosine_topk(queries.limit(0), df, 5).count() == 0
 
 
 def test_mmr_first_choice_is_best_and_diversity_zero_keeps_the_order(spark):
     m, df = vectors(spark)
     queries = df.filter("vec_id < 3").withColumnRenamed("vec_id", "query_id")
-    ranked = kw.cosine_topk(queries, df, 20)
+    ranked = nr.cosine_topk(queries, df, 20)
     plain = kw.keyword_mmr(ranked, df, top_n=10, diversity=0.0)
     best = sorted((r.query_id, r.rank, r.vec_id) for r in ranked.filter("rank <= 10").collect())
     assert sorted((r.query_id, r.rank, r.vec_id) for r in plain.collect()) == best

@@ -18,7 +18,7 @@ NO_SQL = {
     "train_embeddings",
     "train_sentiment",
 }
-PYTHON_OPERATORS = {"cosine_topk", "keyword_mmr", "keyword_mmr_documents"}
+PYTHON_OPERATORS = {"cosine_topk", "cosine_topk_items", "keyword_mmr", "keyword_mmr_documents"}
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusdeck.operators import entities as en
 from corpusdeck.operators import keywords as kw
+from corpusdeck.operators import nearest as nr
 from corpusdeck.operators.facets import facet_scores as facet_rows
 from corpusdeck.operators.modeling import train_embeddings
 from corpusdeck.operators.sentiment import chunk_rows, chunk_sentiment as document_sentiment, roll_up_chunks
@@ -93,14 +94,30 @@ def centroids(spark, sf):
        WHERE rank <= 10""",
 )
 def cosine_topk(spark, sf):
-    best = kw.cosine_topk(centroids(spark, sf), read_table(spark, sf, "embeddings"), 10)
+    best = nr.cosine_topk(centroids(spark, sf), read_table(spark, sf, "embeddings"), 10)
+    return best.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "cosine_topk_items",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+       s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.v, e.v) AS score FROM e q, e)
+       SELECT query_id, rank::INTEGER AS rank, vec_id, round(round(score, 9), 6) AS score FROM (
+         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+       WHERE rank <= 10""",
+)
+def cosine_topk_items(spark, sf):
+    """The most similar items of every item, itself included: both sides grow with the data."""
+    items = read_table(spark, sf, "embeddings")
+    queries = items.select(F.col("vec_id").alias("query_id"), "embedding")
+    best, _ = nr.nearest_in_cells(queries, nr.cosine_cells(items), 10)
     return best.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query("keyword_mmr")
 def keyword_mmr(spark, sf):
     vectors = read_table(spark, sf, "embeddings")
-    ranked = kw.cosine_topk(centroids(spark, sf), vectors, 40)
+    ranked = nr.cosine_topk(centroids(spark, sf), vectors, 40)
     return kw.keyword_mmr(ranked, vectors, top_n=20, diversity=0.7)
 
 
