@@ -6,16 +6,16 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Normalizer, Word2VecModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdeck.defaults import STOPS
+from corpusdeck.functions.arrays import bind
 from corpusdeck.functions.text import drop_words, token_ngrams, word_tokens
 from corpusdeck.functions.vectors import dot
+from corpusdeck.operators.embeddings import unit
 from corpusdeck.operators.nearest import unit_rows
-from corpusdeck.operators.skew import attach_by_key
+from corpusdeck.operators.skew import attach_by_key, lookup
 
 
 def ngram_candidates(
@@ -66,7 +66,8 @@ def keyword_extract(
 
 def keyword_extract_by_vectors(
     df: DataFrame,
-    model: Word2VecModel,
+    vectors: DataFrame,
+    size: int,
     stops: Iterable[str] = STOPS,
     top_n: int = 20,
     n: int = 2,
@@ -74,30 +75,36 @@ def keyword_extract_by_vectors(
     text: str = "text",
 ) -> DataFrame:
     """Top candidates by cosine between the document's vector and the candidate's, both means of
-    word vectors: ``(doc, rank, keyword, score, embedding)``.
+    word vectors ``(word, vector)`` of ``size`` dimensions: ``(doc, rank, keyword, score, embedding)``.
 
-    The document vector travels with the row while it fans out, and texts are placed by document
-    first, so there is neither a join nor a shuffle besides that placement.
+    ``doc`` is a key. A document's distinct words meet their vectors in one join and come back to it as a
+    map, in which its candidates are looked up row by row. Words without a vector count as zero.
     """
-    placed = ngram_candidates(df.select(doc, text).repartition(doc), stops, n, text)
-    placed = placed.withColumn("_words", drop_words(word_tokens(F.lower(text), 2), stops)).drop(text)
-    whole = _with_vector(placed, model, "_words", "_doc").drop("_words")
-    each = whole.select(doc, "_doc", F.explode_outer(F.array_distinct("candidates")).alias("keyword"))
-    each = each.filter(F.col("keyword").isNotNull()).withColumn("_words", F.split("keyword", " "))
-    # Both sides have unit length, so the cosine is one product.
-    scored = _with_vector(each, model, "_words", "embedding").select(
-        doc, "keyword", "embedding", F.round(dot(F.col("_doc"), F.col("embedding")), 9).alias("score")
+    words = drop_words(word_tokens(F.lower(text), 2), stops)
+    placed = df.select(doc, text).repartition(doc)
+    each = placed.select(doc, F.explode_outer(F.array_distinct(words)).alias("word")).filter("word is not null")
+    known = lookup(each, vectors.select("word", "vector"), "word", F.col(doc)).groupBy(doc).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "vector"))).alias("_known")
     )
-    order = Window.partitionBy(doc).orderBy(F.desc("score"), "keyword")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
-    return ranked.select(doc, "rank", "keyword", "score", "embedding")
+    zero = F.array_repeat(F.lit(0.0), size)
+
+    def mean_of(own: Column, of: Column) -> Column:
+        added = F.aggregate(of, zero, lambda a, w: F.zip_with(a, F.coalesce(own[w], zero), lambda x, y: x + y))
+        return unit(added)
 
+    staged = ngram_candidates(placed, stops, n, text).withColumn("_words", words).drop(text).join(known, doc, "left")
+    whole = staged.withColumn("_doc", mean_of(F.col("_known"), F.col("_words")))
 
-def _with_vector(df: DataFrame, model: Word2VecModel, words: str, out: str) -> DataFrame:
-    """Add the unit-length mean vector of an array of words."""
-    embedded = model.copy().setInputCol(words).setOutputCol("_mean").transform(df)
-    unit = Normalizer(inputCol="_mean", outputCol="_unit").transform(embedded)
-    return unit.withColumn(out, vector_to_array("_unit")).drop("_mean", "_unit")
+    def scored(keyword: Column) -> Column:
+        own = mean_of(F.col("_known"), F.split(keyword, " "))
+        score = bind(own, lambda v: F.struct(F.round(dot(F.col("_doc"), v), 9).alias("score"), v.alias("embedding")))
+        return F.struct((-score["score"]).alias("less"), keyword.alias("keyword"), score["embedding"].alias("embedding"))
+
+    best = F.slice(F.array_sort(F.transform(F.array_distinct("candidates"), scored)), 1, top_n)
+    rows = whole.select(doc, F.posexplode(best).alias("_at", "_x"))
+    return rows.select(
+        doc, (F.col("_at") + 1).alias("rank"), "_x.keyword", (-F.col("_x.less")).alias("score"), "_x.embedding"
+    )
 
 
 def nest_keywords(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -159,7 +166,7 @@ def mmr_order(similarity: np.ndarray, relevance: np.ndarray, top_n: int, diversi
     chosen = [0]
     closest = similarity[0].copy()
     while len(chosen) < min(top_n, len(relevance)):
-        value = (1 - diversity) * relevance - diversity * closest
+        value = np.round((1 - diversity) * relevance - diversity * closest, 9)
         value[chosen] = -np.inf
         best = int(np.argmax(value))
         chosen.append(best)

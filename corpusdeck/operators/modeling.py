@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, Word2Vec, Word2VecModel
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdeck.defaults import SENTIMENT_LABELS
-from corpusdeck.functions.text import WORD, drop_words, word_tokens
+from corpusdeck.functions.text import WORD
 from corpusdeck.operators.metrics import classification_metrics
 from corpusdeck.operators.training import train_test_split
 
@@ -69,43 +67,6 @@ def score_batch(df: DataFrame, model: PipelineModel, labels: tuple[str, ...] = S
     return scored.select(*df.columns, named.alias("label"), F.array_max("_p").alias("score"))
 
 
-def train_embeddings(
-    df: DataFrame,
-    stops: Iterable[str] = (),
-    size: int = 64,
-    min_count: int = 5,
-    seed: int = 42,
-    partitions: int = 8,
-    iterations: int = 1,
-    text: str = "text",
-    path: str | None = None,
-) -> Word2VecModel:
-    """Word vectors of the corpus. Spark keeps the vocabulary on the driver and broadcasts it: it grows with
-    the corpus, and ``min_count`` only slows that. The result depends on ``partitions``, not on the cores."""
-    words = df.select(drop_words(word_tokens(F.lower(text), 2), stops).alias("words"))
-    fitted = Word2Vec(
-        vectorSize=size,
-        minCount=min_count,
-        seed=seed,
-        inputCol="words",
-        outputCol="vector",
-        maxIter=iterations,
-        numPartitions=partitions,
-    ).fit(words)
-    if path:
-        fitted.write().overwrite().save(path)
-    return fitted
-
-
-def embed_documents(
-    df: DataFrame, model: Word2VecModel, stops: Iterable[str] = (), text: str = "text", out: str = "embedding"
-) -> DataFrame:
-    """Add the document vector: the mean of its words' vectors."""
-    words = df.withColumn("words", drop_words(word_tokens(F.lower(text), 2), stops))
-    embedded = model.transform(words)
-    return embedded.withColumn(out, vector_to_array("vector")).drop("words", "vector")
-
-
 def train_tagger(tagged: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Phrase dictionary ``(phrase, label, score)`` from ``(doc, tokens, ner_tags)`` rows.
 

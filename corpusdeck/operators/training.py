@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusdeck.functions.arrays import bind, pad
 from corpusdeck.functions.text import label_id, space_tokens, split_bucket, truncate_text, word_tokens
+from corpusdeck.operators.similar import similar_partners
 from corpusdeck.operators.skew import fits
 
 IGNORED = -100
@@ -262,15 +263,26 @@ def positive_pairs(
     floor: int = 10,
     longer_than: int = 20,
     batch: int = 8,
+    similar: float | None = 0.8,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``(key, anchor, positive, batch)``: each usable text paired with itself, in about
-    ``rows / batch`` hash batches. Fewer than ``floor`` usable texts are replaced by ``synthetic``."""
+    """``(key, anchor, positive, positive_key, similarity, batch)``: each usable text with the most similar
+    other text found, if one reaches ``similar`` (:func:`corpusdeck.operators.similar.similar_partners`), else
+    with itself, in about ``rows / batch`` hash batches. Without ``similar`` all are paired with themselves.
+    Fewer than ``floor`` usable texts are replaced by ``synthetic``."""
     kept = df.select(key, text).filter(F.length(text) > longer_than)
     chosen = with_synthetic(kept, synthetic, floor, replace=True)
     batches = F.greatest(F.ceil(chosen.agg(F.count("*")).scalar() / batch), F.lit(1))
     digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return chosen.select(
-        key, F.col(text).alias("anchor"), F.col(text).alias("positive"), F.pmod(digest, batches).alias("batch")
-    )
+    numbered = chosen.select(key, F.col(text).alias("anchor"), F.pmod(digest, batches).alias("batch"))
+    alone = [F.col(key).alias("positive_key"), F.lit(1.0).alias("similarity")]
+    order = [key, "anchor", "positive", "positive_key", "similarity", "batch"]
+    if similar is None:
+        return numbered.select("*", F.col("anchor").alias("positive"), *alone).select(*order)
+    partners = similar_partners(chosen, similar, key=key, text=text)
+    texts = chosen.select(F.col(key).alias("other"), F.col(text).alias("positive"))
+    # Only texts with a partner meet another text.
+    paired = numbered.join(partners, key).join(texts, "other").withColumnRenamed("other", "positive_key")
+    single = numbered.join(partners.select(key), key, "left_anti").select("*", F.col("anchor").alias("positive"), *alone)
+    return paired.select(*order).unionByName(single.select(*order))

@@ -13,7 +13,7 @@ from corpusdeck.operators import filters as fl
 from corpusdeck.operators import keywords as kw
 from corpusdeck.operators import nearest as nr
 from corpusdeck.operators.facets import facet_map, facet_scores
-from corpusdeck.operators.modeling import train_embeddings
+from corpusdeck.operators.embeddings import train_embeddings
 from corpusdeck.operators.patterns import keyword_documents, mine_patterns
 from corpusdeck.operators.sentiment import chunk_rows, chunk_sentiment, polarity_scorer, roll_up_chunks
 from corpusdeck.operators.skew import attach_by_key, lookup
@@ -248,9 +248,9 @@ def test_vector_keywords_against_brute_force(spark):
     words = ["silk", "wool", "moon", "sun", "tide"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(2, 15))) for _ in range(20)]
     df = docs(spark, *texts)
-    model = train_embeddings(df, size=6, min_count=1, partitions=1)
-    vec = {r.word: np.array(r.vector.toArray()) for r in model.getVectors().collect()}
-    got = {(r.doc_id, r.keyword): r.score for r in kw.keyword_extract_by_vectors(df, model, top_n=1_000).collect()}
+    vectors = train_embeddings(df, size=6, min_count=1)
+    vec = {r.word: np.array(r.vector) for r in vectors.collect()}
+    got = {(r.doc_id, r.keyword): r.score for r in kw.keyword_extract_by_vectors(df, vectors, 6, top_n=1_000).collect()}
     want = {}
     for i, t in enumerate(texts):
         w = t.split()
@@ -259,7 +259,7 @@ def test_vector_keywords_against_brute_force(spark):
             v = np.mean([vec[x] for x in g.split()], axis=0)
             want[i, g] = whole @ v / np.linalg.norm(whole) / np.linalg.norm(v)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
-    short = kw.keyword_extract_by_vectors(df, model, top_n=4)
+    short = kw.keyword_extract_by_vectors(df, vectors, 6, top_n=4)
     diverse = kw.keyword_mmr(short, top_n=2, query_id="doc_id", item_id="keyword")
     assert diverse.groupBy("doc_id").count().filter("count > 2").count() == 0
 

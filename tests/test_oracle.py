@@ -10,15 +10,11 @@ from workload.catalog import ORACLES, QUERIES
 SF = "0.001"
 # Trained models: SQL has no counterpart, the unit tests check them.
 NO_SQL = {
-    "keyword_extract_vectors",
-    "keyword_mmr",
-    "keyword_mmr_documents",
     "score_batch",
     "topics",
-    "train_embeddings",
     "train_sentiment",
 }
-PYTHON_OPERATORS = {"cosine_topk", "cosine_topk_items", "keyword_mmr", "keyword_mmr_documents"}
+PYTHON_OPERATORS = {"cosine_topk", "cosine_topk_items", "keyword_mmr", "keyword_mmr_documents", "positive_pairs", "positive_pairs_floor"}
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusdeck.operators import metrics as mt
+from corpusdeck.operators import embeddings as em
 from corpusdeck.operators import modeling as md
+from corpusdeck.operators import similar as sm
 from corpusdeck.operators import training as tr
 from corpusdeck.operators.filters import flag_errors, min_rows_gate, split_errors, usable_text
 from corpusdeck.operators.topics import fit_topics, topics, with_outliers
@@ -201,8 +203,88 @@ def test_sentiment_model_beats_the_majority_and_scores(spark, tmp_path):
     assert scored.filter("label not in ('NEGATIVE','NEUTRAL','POSITIVE') or score > 1").count() == 0
 
 
-def test_embeddings_are_seeded(spark):
-    df = corpus(spark)
-    model = md.train_embeddings(df, size=8, min_count=1, partitions=1)
-    got = md.embed_documents(df, model).collect()
-    assert all(len(r.embedding) == 8 for r in got) and "words" not in got[0]
+def test_embeddings_do_not_depend_on_partitions(spark):
+    df = corpus(spark).unionByName(spark.createDataFrame([(500, None), (501, ""), (502, "lonely")], "doc_id bigint, text string"))
+    one = {r.word: (r.n, r.vector) for r in em.train_embeddings(df.repartition(1), size=40, min_count=2).collect()}
+    many = {r.word: (r.n, r.vector) for r in em.train_embeddings(df.repartition(8), size=40, min_count=2).collect()}
+    assert one == many and len(one) == 12 and "lonely" not in one
+    assert all(sum(x * x for x in v) == pytest.approx(1) for _, v in one.values())
+    words = [t for r in df.collect() if r.text for t in r.text.split()]
+    assert all(n == words.count(w) for w, (n, _) in one.items())
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(one[a][1], one[b][1]))
+
+    assert cosine("silk", "dress") > cosine("silk", "engine") and cosine("bread", "oven") > cosine("bread", "road")
+    with pytest.raises(ValueError):
+        em.train_embeddings(df, size=200)
+
+
+def test_a_hot_word_is_joined_over_salts(spark, monkeypatch):
+    from corpusdeck.operators import skew
+
+    df = corpus(spark).withColumn("text", F.concat(F.lit("hot hot "), F.regexp_replace("text", " ", " hot ")))
+    plain = {r.word: r.vector for r in em.train_embeddings(df, size=16, min_count=1).collect()}
+    monkeypatch.setattr(skew.attach_by_key, "__defaults__", (1,))
+    assert {r.word: r.vector for r in em.train_embeddings(df, size=16, min_count=1).collect()} == plain
+
+
+def test_document_vectors_are_means(spark):
+    df = corpus(spark).withColumn("embedding", F.lit("clash"))
+    df = df.unionByName(spark.createDataFrame([(500, None, "x"), (501, "unknown words", "x")], "doc_id bigint, text string, embedding string"))
+    vectors = em.train_embeddings(corpus(spark), size=8, min_count=1)
+    known = {r.word: r.vector for r in vectors.collect()}
+    got = {r.doc_id: r for r in em.embed_documents(df, vectors, 8).collect()}
+    assert got[500].embedding is None and got[501].embedding is None and len(got) == 122
+    for k in (0, 7):
+        words = got[k].text.split()
+        want = [sum(known[w][j] for w in words) / len(words) for j in range(8)]
+        assert got[k].embedding == pytest.approx(want)
+
+
+def shingles(text, size=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + size]) for i in range(len(w) - size + 1)} or ({" ".join(w)} if w else set())
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_partners_by_band_of_similarity(spark):
+    rng = random.Random(2)
+    texts, bands = {}, {}
+    for k, changed in enumerate([2, 4, 6, 8, 10, 14, 20] * 20):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(300), changed):
+            other[at] = f"v{rng.randrange(10**9)}"
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(other)
+        bands.setdefault(round(jaccard(texts[2 * k], texts[2 * k + 1]), 1), []).append(k)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.other, r.similarity) for r in sm.similar_partners(df).collect()}
+    for k in range(140):
+        s = jaccard(texts[2 * k], texts[2 * k + 1])
+        want = {2 * k: (2 * k + 1, pytest.approx(s)), 2 * k + 1: (2 * k, pytest.approx(s))} if s >= 0.8 else {}
+        assert {j: got[j] for j in (2 * k, 2 * k + 1) if j in got} == want
+    assert {0.7, 0.8, 0.9} <= set(bands)
+
+
+def test_partners_of_copies_templates_and_odd_rows(spark):
+    template = " ".join(f"t{k}" for k in range(200))
+    rows = [(k, f"{template} own{k} words{k}") for k in range(60)]  # similar to each other, one bucket
+    rows += [(100 + k, "Same five words in all") for k in range(40)]
+    rows += [(200, None), (201, ""), (202, "..."), (203, "two words"), (204, "TWO words"), (None, template), (300, "lonely text of some six words")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, other string, band int")
+    got = {r.doc_id: (r.other, round(r.similarity, 3)) for r in sm.similar_partners(df).collect()}
+    assert set(got) == {*range(60), *range(100, 140), 203, 204}
+    assert all(other != k and s >= 0.8 for k, (other, s) in got.items())
+    assert all(got[k][0] == 0 for k in range(1, 60)) and got[0][0] == 1
+    assert got[100] == (101, 1.0) and got[139] == (100, 1.0) and got[203] == (204, 1.0)
+    assert sm.similar_partners(df.limit(0)).count() == 0
+    pairs = {r.doc_id: r for r in tr.positive_pairs(df.filter("doc_id is not null"), longer_than=0).collect()}
+    assert pairs[300].positive == pairs[300].anchor and pairs[300].positive_key == 300 and pairs[59].positive == rows[0][1]
+    assert set(pairs) == {r[0] for r in rows if r[0] is not None and r[1]}
+    alone = tr.positive_pairs(df, longer_than=0, similar=None).collect()
+    assert all(r.anchor == r.positive for r in alone)

@@ -6,7 +6,7 @@ from corpusdeck.operators import entities as en
 from corpusdeck.operators import keywords as kw
 from corpusdeck.operators import nearest as nr
 from corpusdeck.operators.facets import facet_scores as facet_rows
-from corpusdeck.operators.modeling import train_embeddings
+from corpusdeck.operators.embeddings import train_embeddings
 from corpusdeck.operators.sentiment import chunk_rows, chunk_sentiment as document_sentiment, roll_up_chunks
 from corpusdeck.operators.topics import topics as corpus_topics
 from corpusdeck.plans.analysis import analyze_documents as analyze
@@ -114,26 +114,48 @@ def cosine_topk_items(spark, sf):
     return best.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("keyword_mmr")
+@query(
+    "keyword_mmr",
+    f"""WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+       c AS (SELECT label, list(m ORDER BY i) AS v FROM (
+               SELECT label, i, avg(v[i]) AS m FROM (SELECT label, v, unnest(range(1, 65)) AS i FROM e) GROUP BY ALL)
+             GROUP BY label),
+       found AS (SELECT c.label AS query_id, vec_id AS item, round(list_cosine_similarity(e.v, c.v), 9) AS score, {fr.unit("e.v")} AS v FROM e, c),
+       pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM found) WHERE rank <= 40),
+       {fr.mmr("pool", 20, 0.7)}
+       SELECT query_id, rank, item AS vec_id, round(score, 6) AS score FROM picked""",
+)
 def keyword_mmr(spark, sf):
     vectors = read_table(spark, sf, "embeddings")
     ranked = nr.cosine_topk(centroids(spark, sf), vectors, 40)
-    return kw.keyword_mmr(ranked, vectors, top_n=20, diversity=0.7)
+    picked = kw.keyword_mmr(ranked, vectors, top_n=20, diversity=0.7)
+    return picked.withColumn("score", F.round("score", 6))
 
 
-@query("keyword_extract_vectors")
+@query(
+    "keyword_extract_vectors",
+    f"WITH {fr.VECTOR_KEYWORDS} SELECT doc_id, rank::INTEGER AS rank, keyword, round(score, 6) AS score FROM vranked WHERE rank <= 20",
+)
 def keyword_extract_vectors(spark, sf):
     docs = fx.raw_docs(spark, sf)
-    model = train_embeddings(fx.docs(spark, sf), fx.STOPS, size=32)
-    return kw.keyword_extract_by_vectors(docs, model, fx.STOPS).drop("embedding")
+    vectors = train_embeddings(fx.docs(spark, sf), fx.STOPS, size=fr.DIMENSIONS)
+    ranked = kw.keyword_extract_by_vectors(docs, vectors, fr.DIMENSIONS, fx.STOPS)
+    return ranked.select("doc_id", "rank", "keyword", F.round("score", 6).alias("score"))
 
 
-@query("keyword_mmr_documents")
+@query(
+    "keyword_mmr_documents",
+    f"""WITH RECURSIVE {fr.VECTOR_KEYWORDS},
+        pool AS (SELECT doc_id AS query_id, rank, keyword AS item, score, u AS v FROM vranked WHERE rank <= 40),
+        {fr.mmr("pool", 20, 0.7)}
+        SELECT query_id AS doc_id, rank, item AS keyword, round(score, 6) AS score FROM picked""",
+)
 def keyword_mmr_documents(spark, sf):
     docs = fx.raw_docs(spark, sf)
-    model = train_embeddings(fx.docs(spark, sf), fx.STOPS, size=32)
-    ranked = kw.keyword_extract_by_vectors(docs, model, fx.STOPS, top_n=40)
-    return kw.keyword_mmr(ranked, top_n=20, diversity=0.7, query_id="doc_id", item_id="keyword")
+    vectors = train_embeddings(fx.docs(spark, sf), fx.STOPS, size=fr.DIMENSIONS)
+    ranked = kw.keyword_extract_by_vectors(docs, vectors, fr.DIMENSIONS, fx.STOPS, top_n=40)
+    picked = kw.keyword_mmr(ranked, top_n=20, diversity=0.7, query_id="doc_id", item_id="keyword")
+    return picked.withColumn("score", F.round("score", 6))
 
 
 @query(

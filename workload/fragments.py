@@ -131,3 +131,65 @@ FACETS = "facets AS (" + " UNION ALL ".join(
         FROM documents WHERE {any_of("lower(text)", ks)}"""
     for f, o, ks in facet_options()
 ) + ")"
+
+
+DIMENSIONS = 32
+_SIGN = "(1 - 2 * ((h >> {j}) & 1))"
+
+WORD_VECTORS = f"""
+vtoks AS (SELECT doc_id, {without_stops(f"regexp_extract_all(lower(text), '[{WORD}]{{2,}}')")} AS w FROM documents),
+vsteps AS (
+  SELECT unnest(list_transform(range(1, len(w)), lambda i: {{'a': w[i], 'b': w[i + 1]}})) AS p FROM vtoks
+  UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: {{'a': w[i], 'b': w[i + 2]}})) FROM vtoks),
+near AS (
+  SELECT word, context, count(*) AS n FROM (SELECT p.a AS word, p.b AS context FROM vsteps UNION ALL SELECT p.b, p.a FROM vsteps) GROUP BY ALL),
+mass AS (SELECT word, sum(n) AS m FROM near GROUP BY word),
+frequent AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM vtoks) GROUP BY word HAVING count(*) >= 5),
+ppmi AS (
+  SELECT near.word, context, f.n, ('0x' || substr(md5('42:' || context), 1, 8))::BIGINT AS h,
+    round(1048576 * ln(near.n::DOUBLE * (SELECT sum(m) FROM mass) / (a.m::DOUBLE * b.m)))::BIGINT AS weight
+  FROM near JOIN frequent f ON f.word = near.word JOIN frequent g ON g.word = context
+  JOIN mass a ON a.word = near.word JOIN mass b ON b.word = context),
+summed AS (
+  SELECT word, n, [{", ".join(f"sum(weight * {_SIGN.format(j=j)})::DOUBLE" for j in range(DIMENSIONS))}] AS v
+  FROM ppmi WHERE weight > 0 GROUP BY word, n),
+vectors AS (
+  SELECT word, n, list_transform(v, lambda x: x / norm) AS vector
+  FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM summed) WHERE norm > 0)"""
+
+
+def unit(v: str) -> str:
+    return f"list_transform({v}, lambda x: x / greatest(sqrt(list_sum(list_transform({v}, lambda y: y * y))), 1e-300))"
+
+
+_SUMS = ", ".join(f"sum(vector[{j + 1}])" for j in range(DIMENSIONS))
+
+VECTOR_KEYWORDS = f"""{CANDIDATES},{WORD_VECTORS},
+dsum AS (SELECT doc_id, [{_SUMS}] AS v FROM (SELECT doc_id, unnest(w) AS word FROM vtoks) JOIN vectors USING (word) GROUP BY doc_id),
+each AS (SELECT DISTINCT doc_id, keyword FROM grams),
+parts AS (SELECT keyword, unnest(string_split(keyword, ' ')) AS word FROM (SELECT DISTINCT keyword FROM each)),
+ksum AS (SELECT keyword, [{_SUMS}] AS v FROM parts JOIN vectors USING (word) GROUP BY keyword),
+dunit AS (SELECT doc_id, {unit("v")} AS d FROM dsum),
+kunit AS (SELECT keyword, {unit("v")} AS u FROM ksum),
+scored AS (
+  SELECT doc_id, keyword, coalesce(u, list_transform(range({DIMENSIONS}), lambda x: 0.0::DOUBLE)) AS u, round(coalesce(list_dot_product(d, u), 0), 9) AS score
+  FROM each LEFT JOIN dunit USING (doc_id) LEFT JOIN kunit USING (keyword)),
+vranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, keyword) AS rank FROM scored)"""
+
+
+def mmr(pool: str, top_n: int, diversity: float) -> str:
+    """CTEs that end in ``picked (query_id, rank, item, score)``: greedy choice from ``pool`` (query_id,
+    rank, item, score, v)."""
+    value = f"round({1 - diversity:.1f} * s[p] - {diversity} * list_max(list_transform(chosen, lambda c: list_dot_product(vs[p], vs[c]))), 9)"
+    values = f"list_transform(range(1, len(s) + 1), lambda p: CASE WHEN list_contains(chosen, p) THEN -9.0 ELSE {value} END)"
+    return f"""
+lists AS (SELECT query_id, list(item ORDER BY rank) AS items, list(score ORDER BY rank) AS s, list(v ORDER BY rank) AS vs FROM {pool} GROUP BY query_id),
+steps AS (
+  SELECT query_id, items, s, vs, [1::BIGINT] AS chosen FROM lists
+  UNION ALL
+  SELECT query_id, items, s, vs, list_append(chosen, list_position(vals, list_max(vals))::BIGINT) FROM (
+    SELECT *, {values} AS vals FROM steps WHERE len(chosen) < least({top_n}, len(s)))),
+done AS (SELECT * FROM steps WHERE len(chosen) = least({top_n}, len(s))),
+picked AS (
+  SELECT query_id, unnest(range(1, len(chosen) + 1))::INTEGER AS rank, unnest(list_transform(chosen, lambda c: items[c])) AS item,
+         unnest(list_transform(chosen, lambda c: s[c])) AS score FROM done)"""

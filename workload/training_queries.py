@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from corpusdeck.functions.text import label_id
+from corpusdeck.operators import embeddings as em
 from corpusdeck.operators import metrics as mt
 from corpusdeck.operators import modeling as md
+from corpusdeck.operators import similar as sm
 from corpusdeck.operators import training as tr
 from corpusdeck.operators.entities import model_entities
 from corpusdeck.operators.sentiment import chunk_rows, roll_up_chunks
@@ -129,15 +131,70 @@ def train_test_split(spark, sf):
     return tr.train_test_split(fx.raw_docs(spark, sf).select("doc_id"))
 
 
+_HASHES = sm.hash_factors(sm.BANDS * sm.ROWS)
+_MINS = ", ".join(f"min(({a} * x + {b}) % {sm.PRIME}) AS m{j}" for j, (a, b) in enumerate(_HASHES))
+_BAND_MINS = ", ".join(
+    "m%d || ',' || m%d || ',' || m%d" % tuple(range(b * sm.ROWS, (b + 1) * sm.ROWS)) for b in range(sm.BANDS)
+)
+
+_PARTNERS = f"""
+texts AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[{fr.WORD}]+') AS w FROM documents WHERE length(text) > 20),
+shingles AS (
+  SELECT DISTINCT doc_id, ('0x' || substr(md5(g), 1, 15))::BIGINT AS s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                               ELSE [array_to_string(w, ' ')] END) AS g FROM texts WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, ',' ORDER BY s)) AS digest FROM shingles GROUP BY doc_id),
+members AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY digest) AS head FROM sizes),
+equals AS (
+  SELECT doc_id, head AS other, 1.0::DOUBLE AS similarity FROM members WHERE doc_id > head
+  UNION ALL SELECT head, min(doc_id), 1.0 FROM members WHERE doc_id > head GROUP BY head),
+signs AS (SELECT doc_id, {_MINS} FROM (SELECT doc_id, s % {sm.PRIME} AS x FROM shingles) GROUP BY doc_id),
+bands AS (SELECT doc_id, unnest(range({sm.BANDS})) AS band, unnest([{_BAND_MINS}]) AS mins FROM signs WHERE doc_id IN (SELECT head FROM members)),
+heads AS (SELECT band, mins, min(doc_id) AS other FROM bands GROUP BY ALL),
+met AS (SELECT DISTINCT doc_id, other FROM bands JOIN heads USING (band, mins) WHERE doc_id > other),
+shared AS (SELECT m.doc_id, m.other, count(*) AS n FROM met m JOIN shingles a ON a.doc_id = m.doc_id JOIN shingles b ON b.doc_id = m.other AND b.s = a.s GROUP BY ALL),
+verified AS (
+  SELECT h.doc_id, h.other, h.n / (a.n + b.n - h.n)::DOUBLE AS similarity FROM shared h JOIN sizes a ON a.doc_id = h.doc_id JOIN sizes b ON b.doc_id = h.other),
+linked AS (
+  SELECT * FROM equals UNION ALL SELECT doc_id, other, similarity FROM verified WHERE similarity >= 0.8
+  UNION ALL SELECT other, doc_id, similarity FROM verified WHERE similarity >= 0.8),
+partners AS (SELECT doc_id, min((-similarity, other)) AS b FROM linked GROUP BY doc_id)"""
+
+
 @query(
     "positive_pairs",
-    """WITH kept AS (SELECT doc_id, text FROM documents WHERE length(text) > 20)
-       SELECT doc_id, md5(text) AS anchor, md5(text) AS positive,
-         ('0x' || substring(md5(doc_id::VARCHAR), 1, 8))::BIGINT % greatest(ceil((SELECT count(*) FROM kept) / 8.0)::BIGINT, 1) AS batch FROM kept""",
+    f"""WITH {_PARTNERS}
+       SELECT t.doc_id, md5(t.text) AS anchor, md5(coalesce(o.text, t.text)) AS positive, coalesce(b[2], t.doc_id) AS positive_key,
+         round(coalesce(-b[1], 1), 6) AS similarity,
+         ('0x' || substring(md5(t.doc_id::VARCHAR), 1, 8))::BIGINT % greatest(ceil((SELECT count(*) FROM texts) / 8.0)::BIGINT, 1) AS batch
+       FROM texts t LEFT JOIN partners p USING (doc_id) LEFT JOIN texts o ON o.doc_id = b[2]""",
 )
 def positive_pairs(spark, sf):
-    pairs = tr.positive_pairs(fx.raw_docs(spark, sf))
-    return pairs.select("doc_id", F.md5("anchor").alias("anchor"), F.md5("positive").alias("positive"), "batch")
+    return digested(tr.positive_pairs(fx.raw_docs(spark, sf)))
+
+
+def digested(pairs):
+    return pairs.select(
+        "doc_id", F.md5("anchor").alias("anchor"), F.md5("positive").alias("positive"), "positive_key", F.round("similarity", 6).alias("similarity"), "batch"
+    )
+
+
+_SYNTHETIC_PAIRS = [(-1 - k, t) for k, (t, _) in enumerate(fx.SYNTHETIC_SENTIMENT)]
+
+
+@query(
+    "positive_pairs_floor",
+    f"""WITH few AS (SELECT doc_id, text FROM documents WHERE length(text) > 20 AND contains(text, 'qqq')),
+       chosen AS (SELECT * FROM few WHERE (SELECT count(*) FROM few) >= 10
+         UNION ALL SELECT * FROM (VALUES {", ".join(f"({k}, '{t}')" for k, t in _SYNTHETIC_PAIRS)}) v(doc_id, text) WHERE (SELECT count(*) FROM few) < 10)
+       SELECT doc_id::BIGINT AS doc_id, md5(text) AS anchor, md5(text) AS positive, doc_id::BIGINT AS positive_key, 1.0::DOUBLE AS similarity,
+         ('0x' || substring(md5(doc_id::VARCHAR), 1, 8))::BIGINT % greatest(ceil((SELECT count(*) FROM chosen) / 8.0)::BIGINT, 1) AS batch FROM chosen""",
+)
+def positive_pairs_floor(spark, sf):
+    """The synthetic texts stand in where fewer than ten documents are usable."""
+    synthetic = spark.createDataFrame(_SYNTHETIC_PAIRS, "doc_id long, text string")
+    few = fx.raw_docs(spark, sf).filter(F.contains("text", F.lit("qqq")))
+    return digested(tr.positive_pairs(few, synthetic))
 
 
 @query("train_sentiment")
@@ -156,13 +213,42 @@ def score_batch(spark, sf):
     return roll_up_chunks(md.score_batch(chunks, model)).select("doc_id", "sentiment.overall_sentiment", "sentiment.confidence")
 
 
-@query("train_embeddings")
+@query(
+    "cooccurrence",
+    f"""WITH {fr.WORD_VECTORS} SELECT word, count(*) AS contexts, sum(n)::BIGINT AS total, max(n) AS most, max((n, context))[2] AS context FROM near GROUP BY word""",
+)
+def cooccurrence(spark, sf):
+    near = em.cooccurrence(em.word_pairs(fx.docs(spark, sf), fx.STOPS))
+    top = F.max(F.struct("n", "context"))
+    return near.groupBy("word").agg(F.count("*").alias("contexts"), F.sum("n").alias("total"), F.max("n").alias("most"), top["context"].alias("context"))
+
+
+def word_vectors(spark, sf):
+    return em.train_embeddings(fx.docs(spark, sf), fx.STOPS, size=fr.DIMENSIONS)
+
+
+@query(
+    "train_embeddings",
+    f"""WITH {fr.WORD_VECTORS} SELECT word, n, round(sqrt(list_sum(list_transform(vector, lambda x: x * x))), 6) AS norm,
+          list_transform(vector, lambda x: round(x, 6)) AS vector FROM vectors""",
+)
 def train_embeddings(spark, sf):
-    docs = fx.docs(spark, sf)
-    model = md.train_embeddings(docs, fx.STOPS, size=32)
-    vectors = md.embed_documents(docs.select("doc_id", "text"), model, fx.STOPS)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return vectors.select("doc_id", F.size("embedding").alias("size"), norm.alias("norm"))
+    vectors = word_vectors(spark, sf)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    return vectors.select("word", "n", F.round(norm, 6).alias("norm"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query(
+    "embed_documents",
+    f"""WITH {fr.WORD_VECTORS},
+        met AS (SELECT doc_id, count(*) AS known, [{", ".join(f"round(avg(vector[{j + 1}]), 6)" for j in range(fr.DIMENSIONS))}] AS embedding
+                FROM (SELECT doc_id, unnest(w) AS word FROM vtoks) JOIN vectors USING (word) GROUP BY doc_id)
+        SELECT doc_id, embedding FROM documents LEFT JOIN met USING (doc_id)""",
+)
+def embed_documents(spark, sf):
+    docs = fx.docs(spark, sf).select("doc_id", "text")
+    found = em.embed_documents(docs, word_vectors(spark, sf), fr.DIMENSIONS, fx.STOPS)
+    return found.select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query(
