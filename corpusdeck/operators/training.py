@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,61 +136,45 @@ def bio_tags(
 
     Every exact token match of an entity is tagged, later entities and later matches overwriting
     earlier ones: a position takes the tag of the covering match with the greatest (entity
-    position, start). Row-local. Entities without a token are ignored.
+    position, start). Row-local: at every token the entities that begin with it are looked up, so the
+    cost is that of the tokens and matches, however many entities there are. Entities without a token, and
+    nulls, are ignored.
     """
     kept = df.filter((F.length(text) > 0) & (F.size(entities) > 0))
     cut = F.col(text) if max_chars is None else truncate_text(F.col(text), max_chars)
-    tokens = space_tokens(cut)
-    # Reversed, so that the first position found is an entity's last occurrence.
-    phrases = F.transform(F.reverse(entities), lambda e: F.array_join(space_tokens(e), " "))
-    tagged = bind(F.struct(tokens.alias("t"), phrases.alias("p")), lambda s: _bio(s["t"], s["p"], kind))
-    real = kept.select(doc, tagged.alias("_x")).select(
-        doc, F.col("_x.tokens").alias("tokens"), F.col("_x.ner_tags").alias("ner_tags")
-    )
+    phrases = F.transform(entities, lambda e: F.coalesce(space_tokens(e), F.array().cast("array<string>")))
+    given = kept.select(doc, space_tokens(cut).alias("tokens"), phrases.alias("phrases"))
+    tags = ("O", f"B-{kind}", f"I-{kind}")
+
+    def tag(tokens: list[str], phrases: list[list[str]]) -> list[str]:
+        # By first token, then by length: a phrase's last place among the entities.
+        known: dict[str, dict[int, dict[tuple[str, ...], int]]] = {}
+        for at, phrase in enumerate(phrases):
+            if phrase:
+                known.setdefault(phrase[0], {}).setdefault(len(phrase), {})[tuple(phrase)] = at
+        best: dict[int, tuple[int, int]] = {}
+        for start, token in enumerate(tokens):
+            for size, there in known.get(token, {}).items():
+                found = there.get(tuple(tokens[start : start + size]))
+                if found is not None:
+                    for place in range(start, start + size):
+                        best[place] = max(best.get(place, (-1, -1)), (found, start))
+        out = [tags[0]] * len(tokens)
+        for place, (_, start) in best.items():
+            out[place] = tags[1] if start == place else tags[2]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            tagged = pa.array([tag(t, p) for t, p in both], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tagged], names=[doc, "tokens", "ner_tags"])
+
+    kind_of = df.schema[doc].dataType.simpleString()
+    real = given.mapInArrow(run, f"{doc} {kind_of}, tokens array<string>, ner_tags array<string>")
     return with_synthetic(real, synthetic, floor)
 
 
-def _bio(tokens: Column, phrases: Column, kind: str) -> Column:
-    lengths = F.array_distinct(F.transform(phrases, lambda p: F.size(F.split(p, " "))))
-
-    def matches_of(n: Column) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(
-            F.array().cast("array<int>")
-        )
-        found = F.transform(
-            starts,
-            lambda i: F.struct(
-                (-F.array_position(phrases, F.array_join(F.slice(tokens, i + 1, n), " "))).alias("ord"),
-                i.alias("start"),
-                (i + n).alias("end"),
-            ),
-        )
-        return F.filter(found, lambda m: m["ord"] < 0)
-
-    def tags(covers: Column) -> Column:
-        # In order of position, then entity, then start: the last one of a position gives its tag.
-        best = F.filter(covers, lambda c, i: ~F.coalesce(F.get(covers, i + 1)["p"] == c["p"], F.lit(False)))
-        return bind(best, between)
-
-    def between(best: Column) -> Column:
-        def run(c: Column, i: Column) -> Column:
-            gap = c["p"] - 1 - F.coalesce(F.get(best, i - 1)["p"], F.lit(-1))
-            tag = F.when(c["start"] == c["p"], f"B-{kind}").otherwise(f"I-{kind}")
-            return F.concat(F.array_repeat(F.lit("O"), gap), F.array(tag))
-
-        rest = F.size(tokens) - 1 - F.coalesce(F.get(best, F.size(best) - 1)["p"], F.lit(-1))
-        return F.concat(F.flatten(F.transform(best, run)), F.array_repeat(F.lit("O"), rest))
-
-    def covers_of(m: Column) -> Column:
-        places = F.sequence(m["start"], m["end"] - 1)
-        return F.transform(places, lambda p: F.struct(p.alias("p"), m["ord"].alias("ord"), m["start"].alias("start")))
-
-    matches = F.flatten(F.transform(lengths, matches_of))
-    covers = F.sort_array(F.flatten(F.transform(matches, covers_of)))
-    labelled = bind(covers, tags)
-    return F.struct(tokens.alias("tokens"), labelled.alias("ner_tags"))
-
-
 def fixed_width_pieces(width: int = 4) -> Callable[[Column], Column]:
     """Splitter that cuts a word into pieces of ``width`` characters."""
 
@@ -199,6 +185,17 @@ def fixed_width_pieces(width: int = 4) -> Callable[[Column], Column]:
     return split
 
 
+def longest_match_pieces(pieces: Sequence[str]) -> Callable[[Column], Column]:
+    """Splitter by a given vocabulary of pieces: the longest that fits at each place, else one character."""
+    ordered = sorted({p for p in pieces if p}, key=lambda p: (-len(p), p))
+    pattern = "|".join([*(re.sub(r"(\W)", r"\\\1", p) for p in ordered), r"[\s\S]"])
+
+    def split(word: Column) -> Column:
+        return F.when(F.length(word) > 0, F.regexp_extract_all(word, F.lit(pattern), F.lit(0))).otherwise(F.array(F.lit("")))
+
+    return split
+
+
 def tag_vocabulary(df: DataFrame, tags: str = "ner_tags") -> DataFrame:
     """One row with the sorted distinct tags: a tag's id is its position."""
     each = df.select(F.explode(tags).alias("tag")).distinct()
@@ -225,7 +222,8 @@ def align_subtokens(
     else:
         known = F.array(*[F.lit(t) for t in tag_ids])
     staged = df.withColumn("_tags", known)
-    words = F.arrays_zip(F.col(tokens).alias("w"), F.col(tags).alias("t"))
+    # A word has at least one piece, so no word after the first n has one that is kept.
+    words = F.arrays_zip(F.slice(tokens, 1, n).alias("w"), F.slice(tags, 1, n).alias("t"))
     expanded = F.flatten(
         F.transform(
             words,

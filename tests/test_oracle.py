@@ -15,6 +15,8 @@ NO_SQL = {
     "train_sentiment",
 }
 PYTHON_OPERATORS = {"cosine_topk", "cosine_topk_items", "keyword_mmr", "keyword_mmr_documents", "positive_pairs", "positive_pairs_floor"}
+# Tags are looked up row by row in Python.
+PYTHON_OPERATORS |= {"bio_tags", "bio_tags_floor", "align_subtokens", "align_subtokens_pieces", "token_accuracy", "train_tagger"}
 
 
 @pytest.fixture(scope="module")

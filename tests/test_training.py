@@ -288,3 +288,35 @@ def test_partners_of_copies_templates_and_odd_rows(spark):
     assert set(pairs) == {r[0] for r in rows if r[0] is not None and r[1]}
     alone = tr.positive_pairs(df, longer_than=0, similar=None).collect()
     assert all(r.anchor == r.positive for r in alone)
+
+
+def test_a_thousand_phrases_cost_no_more_than_their_tokens(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(300)]
+    tokens = [rng.choice(words) for _ in range(20_000)]
+    entities = [" ".join(tokens[at : at + rng.randint(1, 5)]) for at in rng.sample(range(19_000), 1_000)] + ["", "none such"]
+    df = spark.createDataFrame([(1, " ".join(tokens), entities)], "doc_id long, text string, entities array<string>")
+    assert tr.bio_tags(df).first().ner_tags == last_write_wins(tokens, entities)
+
+
+def test_tags_of_odd_rows(spark):
+    rows = [(1, None, ["a"]), (2, "", ["a"]), (3, "a b", None), (4, "a b", []), (5, "a b", [None, "b", " "]), (None, "a", ["a"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, entities array<string>").withColumn("tokens", F.lit("clash"))
+    got = {r.doc_id: (r.tokens, r.ner_tags) for r in tr.bio_tags(df).collect()}
+    assert got == {5: (["a", "b"], ["O", "B-FASHION"]), None: (["a"], ["B-FASHION"])}
+    assert tr.bio_tags(df.limit(0)).count() == 0
+
+
+def test_longest_pieces_come_first(spark):
+    pieces = ["a", "ab", "abc", "c+", "(x)", "é", "\\"]
+    words = ["abcab", "", "c+c(x)", "zé\\\n", "aabc"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select(tr.longest_match_pieces(pieces)(F.col("w")).alias("p"))
+    want = [["abc", "ab"], [""], ["c+", "c", "(x)"], ["z", "é", "\\", "\n"], ["a", "abc"]]
+    assert [r.p for r in df.collect()] == want
+
+
+def test_tagger_learns_two_labels(spark):
+    from workload.catalog import QUERIES
+
+    rows = QUERIES["train_tagger"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.label for r in rows} == {"FASHION", "STYLE"} and any(r.score < 1 for r in rows)

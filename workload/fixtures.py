@@ -39,6 +39,9 @@ TERMS = [k for ks in CATEGORIES.values() for k in ks] + EXTRAS
 PATTERNS = {"joined": [" the", " of"], "strong": ["thre", "erin"], "rare": ["zzqx"]}
 MATERIALS = {"materials": ["ther", "erin", "sch", "eau", "ment", "zzqx"]}
 PAIRS = ["of the", "in the", "on the", "and the"]
+# A vocabulary of sub-word pieces; other letters stand alone.
+PIECES = "the and ther thon tion ment with sch und chen que eau ing er es en on re st th an in ed ly ble".split()
+SYNTHETIC_TAGS = [(-1, ["silk", "coat"], ["B-FASHION", "O"])]
 SYNTHETIC_SENTIMENT = [("a calm and useful text", "POSITIVE"), ("a dull and broken text", "NEGATIVE")]
 
 gate_lexicon = Lexicon.words(GATE)

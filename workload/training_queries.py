@@ -122,6 +122,40 @@ def align_subtokens(spark, sf):
     return rows.select("doc_id", F.array_join("pieces", " ").alias("pieces"), F.array_join("labels", " ").alias("labels"))
 
 
+_LEARNED = "|".join(sorted(fx.PIECES, key=lambda p: (-len(p), p))) + "|[\\s\\S]"
+
+_PIECES_GIVEN = f"""{_TAGGED},
+split AS (SELECT doc_id, p, tag, regexp_extract_all(t, '{_LEARNED}') AS w FROM tags WHERE p < 128),
+pieces AS (SELECT doc_id, p, tag, unnest(w) AS piece, unnest(range(len(w))) AS j FROM split),
+numbered AS (SELECT doc_id, piece, CASE WHEN j > 0 THEN -100 WHEN tag = 'B-FASHION' THEN 0 WHEN tag = 'I-FASHION' THEN 1 ELSE 2 END AS label,
+   row_number() OVER (PARTITION BY doc_id ORDER BY p, j) AS i FROM pieces),
+kept AS (SELECT * FROM numbered WHERE i <= 128)"""
+
+
+@query(
+    "align_subtokens_pieces",
+    f"""WITH {_PIECES_GIVEN} SELECT doc_id, string_agg(piece, ' ' ORDER BY i) || repeat(' [PAD]', 128 - count(*)::INTEGER) AS pieces,
+          string_agg(label::VARCHAR, ' ' ORDER BY i) || repeat(' -100', 128 - count(*)::INTEGER) AS labels FROM kept GROUP BY doc_id""",
+)
+def align_subtokens_pieces(spark, sf):
+    """Words split by a given vocabulary of pieces, longest first."""
+    rows = tr.align_subtokens(tagged(spark, sf), TAGS, tr.longest_match_pieces(fx.PIECES))
+    return rows.select("doc_id", F.array_join("pieces", " ").alias("pieces"), F.array_join("labels", " ").alias("labels"))
+
+
+@query(
+    "bio_tags_floor",
+    f"""WITH {_TAGGED}, few AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS tokens, string_agg(tag, ' ' ORDER BY p) AS ner_tags FROM tags
+          JOIN documents USING (doc_id) WHERE contains(text, 'qqq') GROUP BY doc_id)
+        SELECT * FROM few UNION ALL SELECT -1, 'silk coat', 'B-FASHION O' WHERE (SELECT count(*) FROM few) < 10""",
+)
+def bio_tags_floor(spark, sf):
+    """Synthetic rows are added where fewer than ten documents have tags."""
+    synthetic = spark.createDataFrame(fx.SYNTHETIC_TAGS, "doc_id long, tokens array<string>, ner_tags array<string>")
+    rows = tr.bio_tags(tag_input(spark, sf).filter(F.contains("text", F.lit("qqq"))), synthetic)
+    return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.array_join("ner_tags", " ").alias("ner_tags"))
+
+
 @query(
     "train_test_split",
     """SELECT doc_id, CASE WHEN ('0x' || substring(md5('42:' || doc_id), 1, 8))::BIGINT % 100 < 20 THEN 'test' ELSE 'train' END AS split
@@ -255,11 +289,15 @@ def embed_documents(spark, sf):
     "train_tagger",
     f"""WITH {_TAGGED},
         inside AS (SELECT *, sum(CASE WHEN tag = 'B-FASHION' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM tags WHERE tag <> 'O'),
-        runs AS (SELECT doc_id, span, string_agg(t, ' ' ORDER BY p) AS phrase FROM inside GROUP BY doc_id, span)
-        SELECT phrase, 'FASHION' AS label, 1.0::DOUBLE AS score FROM runs GROUP BY phrase""",
+        runs AS (SELECT doc_id, span, string_agg(t, ' ' ORDER BY p) AS phrase FROM inside GROUP BY doc_id, span),
+        counts AS (SELECT phrase, CASE WHEN source < 'src2' THEN 'FASHION' ELSE 'STYLE' END AS label, count(*) AS n FROM runs JOIN documents USING (doc_id) GROUP BY ALL)
+        SELECT phrase, max((n, label))[2] AS label, round(max(n)::DOUBLE / sum(n), 6) AS score FROM counts GROUP BY phrase""",
 )
 def train_tagger(spark, sf):
-    return md.train_tagger(tagged(spark, sf))
+    """Phrases whose tag depends on the source: a phrase may have both, and takes the more frequent."""
+    rows = tag_input(spark, sf).join(fx.docs(spark, sf).select("doc_id", "source"), "doc_id")
+    kinds = [tr.bio_tags(rows.filter(own), kind=k) for k, own in (("FASHION", F.col("source") < "src2"), ("STYLE", F.col("source") >= "src2"))]
+    return md.train_tagger(kinds[0].unionByName(kinds[1])).withColumn("score", F.round("score", 6))
 
 
 _PRED = """WITH p AS (SELECT label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS predicted FROM embeddings),
