@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from corpusdeck.defaults import CATEGORY_PREFIX, PATTERN_LABEL, PATTERN_SCORE, PATTERN_SOURCE
 from corpusdeck.functions.arrays import bind
 from corpusdeck.functions.lexicon import Lexicon, contains_any
-from corpusdeck.functions.text import token_ngrams, word_tokens
-from corpusdeck.operators.skew import lookup
+from corpusdeck.functions.text import word_tokens
+from corpusdeck.operators.skew import attach_by_key, fits
 
+#: Rows and characters of a dictionary that travels with the tasks; documents by which words count as rare.
+SMALL, SMALL_CHARS, SAMPLE = 2_000, 1 << 18, 1_000
+HITS = "array<struct<start:int,words:int,text:string,label:string,score:double>>"
 ENTITY = (
     "struct<text:string,label:string,score:double,category:string,is_related:boolean,source:string>"
 )
@@ -50,23 +53,106 @@ def pattern_entities(
     return df.withColumn(out, found.cast(f"array<{ENTITY}>"))
 
 
-def token_spans(df: DataFrame, lengths: Iterable[int], doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """All spans of the given numbers of words: ``(doc, start, words, text, phrase)``, ``phrase``
-    lower-cased."""
-    lengths = list(lengths)
-    staged = df.select(doc, word_tokens(F.col(text)).alias("_words"))
+@dataclass(frozen=True)
+class Phrase:
+    """A dictionary phrase and its anchor: the place of its rarest word."""
 
-    def runs_of(n: int) -> Column:
+    words: tuple[str, ...]
+    label: str | None
+    score: float | None
+    anchor: int
+
+
+def small_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text") -> list[Phrase] | None:
+    """The phrases of a dictionary of at most ``SMALL`` rows and ``SMALL_CHARS`` characters, else None.
+
+    How rare a word is comes from ``SAMPLE`` documents; it changes the work and not what is found."""
+    given = dictionary.filter("phrase <> ''").select("phrase", "label", "score")
+    if not fits(given, SMALL, SMALL_CHARS):
+        return None
+    rows = given.collect()
+    names = sorted({w for r in rows for w in r.phrase.split(" ")})
+    tokens = df.limit(SAMPLE).select(F.explode_outer(word_tokens(F.lower(text))).alias("word"))
+    counted = tokens.filter(F.col("word").isin(names)).groupBy("word").agg(F.count("*").alias("n")).collect() if names else []
+    seen = {r.word: r.n for r in counted}
+
+    def phrase(r) -> Phrase:
+        words = tuple(r.phrase.split(" "))
+        return Phrase(words, r.label, r.score, min(range(len(words)), key=lambda k: (seen.get(words[k], 0), k)))
+
+    return [phrase(r) for r in rows]
+
+
+def phrase_hits(text: Column, phrases: list[Phrase]) -> Column:
+    """Array of ``struct<start, words, text, label, score>`` of every span that is a phrase, in text order.
+
+    Row-local: spans are formed only where a word is the anchor of a phrase of that length."""
+    if not phrases:
+        return F.array().cast(HITS)
+    shapes: dict[tuple[int, int], list[Phrase]] = {}
+    for p in phrases:
+        shapes.setdefault((len(p.words), p.anchor), []).append(p)
+    anchors = sorted({p.words[p.anchor] for p in phrases})
+    entries = {" ".join(p.words): F.struct(F.lit(p.label).cast("string").alias("label"), F.lit(p.score).cast("double").alias("score")) for p in phrases}
+    table = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
+
+    def found(words: Column) -> Column:
+        def with_lower(lower: Column) -> Column:
+            places = F.filter(F.transform(lower, lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull())
+            return F.array_sort(F.flatten(F.transform(places, lambda at: F.concat(*(spans(lower, at, *shape) for shape in shapes)))))
+
+        def spans(lower: Column, at: Column, n: int, anchor: int) -> Column:
+            start = at - anchor
+            known = sorted(" ".join(p.words) for p in shapes[n, anchor])
+            inside = (start >= 0) & (start + n <= F.size(lower))
+            phrase = F.when(inside, F.array_join(F.slice(lower, F.greatest(start, F.lit(0)) + 1, n), " "))
+            hit = bind(phrase, lambda p: F.when(p.isin(known), hit_of(start, n, p)))
+            return F.filter(F.array(hit), lambda h: h.isNotNull())
+
+        def hit_of(start: Column, n: int, phrase: Column) -> Column:
+            entry = F.element_at(table, phrase)
+            spelled = F.array_join(F.slice(words, start + 1, n), " ")
+            return F.struct(start.alias("start"), F.lit(n).alias("words"), spelled.alias("text"), entry["label"].alias("label"), entry["score"].alias("score"))
+
+        return bind(F.transform(words, lambda w: F.lower(w)), with_lower)
+
+    return bind(word_tokens(text), found)
+
+
+def anchored_hits(df: DataFrame, dictionary: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc, hits)`` as :func:`phrase_hits`, for a dictionary of any size.
+
+    Words of the texts meet the phrases that they anchor; a phrase's anchor is its rarest word by count, so
+    few meet. Texts are placed by document once and come back to their candidates there, where the other
+    words of a phrase are compared. ``doc`` is a key."""
+    phrases = dictionary.filter("phrase <> ''").select("phrase", "label", "score", F.split("phrase", " ").alias("own"))
+    placed = df.select(doc, word_tokens(F.col(text)).alias("_words")).repartition(doc)
+    tokens = placed.select(doc, F.posexplode_outer(F.transform("_words", lambda w: F.lower(w))).alias("_at", "_word")).filter("_word is not null")
+    each = phrases.select("phrase", F.posexplode("own").alias("anchor", "_word"))
+    needed = each.groupBy("_word").agg(F.count("*").alias("_phrases"))
+    counts = tokens.groupBy("_word").agg(F.count("*").alias("n"))
+    rare = each.join(needed.join(counts, "_word", "left"), "_word").groupBy("phrase").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("anchor"), F.col("_word"))).alias("_a")
+    )
+    anchors = phrases.join(rare, "phrase").select(F.col("_a._word").alias("_word"), F.struct("own", "label", "score", "_a.anchor").alias("_p"), F.col("_a.n").alias("n"))
+    by_word = anchors.groupBy("_word").agg(F.collect_list("_p").alias("_phrases"), F.max("n").alias("n"))
+    met = attach_by_key(tokens, by_word, "_word", "n", F.col("_at")).select(doc, "_at", F.explode("_phrases").alias("_p"))
+    candidate = F.struct((F.col("_at") - F.col("_p.anchor")).alias("start"), F.col("_p"))
+    candidates = met.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(candidate["start"].alias("start"), F.size("_p.own").alias("words"), F.col("_p")))).alias("_c"))
+
+    def hits(words: Column) -> Column:
+        def spelled(c: Column) -> Column:
+            return F.slice(words, F.greatest(c["start"], F.lit(0)) + 1, c["words"])
+
+        real = F.filter(F.col("_c"), lambda c: (c["start"] >= 0) & (F.transform(spelled(c), lambda w: F.lower(w)) == c["_p"]["own"]))
         return F.transform(
-            token_ngrams(F.col("_words"), n),
-            lambda t, i: F.struct(i.alias("start"), F.lit(n).alias("words"), t.alias("text")),
+            real,
+            lambda c: F.struct(
+                c["start"].alias("start"), c["words"].alias("words"), F.array_join(spelled(c), " ").alias("text"), c["_p"]["label"].alias("label"), c["_p"]["score"].alias("score")
+            ),
         )
 
-    runs = [runs_of(n) for n in lengths]
-    # Outer, because the inner form adds an emptiness filter that computes the spans again.
-    none = F.array().cast("array<struct<start:int,words:int,text:string>>")
-    spans = staged.select(doc, F.inline_outer(F.concat(none, *runs)))
-    return spans.filter(F.col("text").isNotNull()).withColumn("phrase", F.lower("text"))
+    return placed.join(candidates, doc).select(doc, bind(F.col("_words"), hits).cast(HITS).alias("hits"))
 
 
 def model_entities(
@@ -78,14 +164,16 @@ def model_entities(
     """Every span that is a dictionary phrase: ``(doc, start, words, text, label, score)``.
 
     ``dictionary`` holds ``(phrase, label, score)``, one row per lower-cased phrase of blank-joined
-    words. Spans meet it in a hash join, so the cost does not depend on the dictionary's length.
+    words. A small one travels with the tasks and only hits become rows; a large one is joined at the
+    anchors of its phrases.
     """
-    words = F.size(F.split("phrase", " "))
-    # Only spans as long as some phrase are formed; the numbers of words that occur are few.
-    lengths = dictionary.filter("phrase <> ''").select(words.alias("n")).distinct().collect()
-    spans = token_spans(df, sorted(r.n for r in lengths), doc, text)
-    found = lookup(spans, dictionary.select("phrase", "label", "score"), "phrase", F.struct(doc, "start"))
-    return found.select(doc, "start", "words", "text", "label", "score")
+    phrases = small_dictionary(df, dictionary, text)
+    if phrases is None:
+        found = anchored_hits(df, dictionary, doc, text)
+    else:
+        found = df.select(doc, phrase_hits(F.col(text), phrases).alias("hits"))
+    # Outer, because the inner form adds an emptiness filter that computes the hits again.
+    return found.select(doc, F.inline_outer("hits")).filter(F.col("start").isNotNull())
 
 
 def categorize_entity(
@@ -116,23 +204,43 @@ def with_categories(
     return entities.withColumn("category", category).withColumn("is_related", F.col("category") != "other")
 
 
-def nest_entities(found: DataFrame, doc: str = "doc_id", out: str = "model_entities") -> DataFrame:
-    """One row per document: categorised model entities in text order."""
-    entry = F.struct("start", "words", "text", "label", "score", "category", "is_related")
-    return found.groupBy(doc).agg(F.sort_array(F.collect_list(entry)).alias("_e")).select(
-        doc,
-        F.transform(
-            "_e",
-            lambda e: F.struct(
-                e["text"].alias("text"),
-                e["label"].alias("label"),
-                e["score"].alias("score"),
-                e["category"].alias("category"),
-                e["is_related"].alias("is_related"),
-                F.lit("model").alias("source"),
+def model_entity_column(hits: Column, patterns: Lexicon, facets: Lexicon, strict: bool = False) -> Column:
+    """Categorised model entities of ``hits``, in text order."""
+
+    def entity(h: Column) -> Column:
+        category = categorize_entity(h["text"], h["label"], patterns, facets, strict)
+        return bind(
+            category,
+            lambda c: F.struct(
+                h["text"].alias("text"), h["label"].alias("label"), h["score"].alias("score"), c.alias("category"),
+                (c != "other").alias("is_related"), F.lit("model").alias("source"),
             ),
-        ).alias(out),
-    )
+        )
+
+    return F.transform(hits, entity).cast(f"array<{ENTITY}>")
+
+
+def with_entities(
+    df: DataFrame,
+    dictionary: DataFrame,
+    patterns: Lexicon,
+    facets: Lexicon,
+    strict: bool = False,
+    doc: str = "doc_id",
+    text: str = "text",
+    out: str = "entities",
+) -> DataFrame:
+    """``df`` with its entities: model entities in text order, then patterns. With a small dictionary the
+    row is not left; the hits of a large one are joined by document."""
+    phrases = small_dictionary(df, dictionary, text)
+    if phrases is None:
+        found = anchored_hits(df, dictionary, doc, text).withColumnRenamed("hits", "_hits")
+        staged = df.join(found, doc, "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(HITS)))
+    else:
+        staged = df.withColumn("_hits", phrase_hits(F.col(text), phrases))
+    staged = pattern_entities(staged, patterns, text, "_patterns")
+    model = F.coalesce(model_entity_column(F.col("_hits"), patterns, facets, strict), F.array().cast(f"array<{ENTITY}>"))
+    return staged.withColumn(out, F.concat(model, F.coalesce("_patterns", F.array().cast(f"array<{ENTITY}>")))).drop("_hits", "_patterns")
 
 
 def document_entities(
@@ -145,12 +253,7 @@ def document_entities(
     text: str = "text",
 ) -> DataFrame:
     """``(doc, entities)`` for every document: model entities in text order, then patterns."""
-    found = with_categories(model_entities(df, dictionary, doc, text), patterns, facets, strict)
-    local = pattern_entities(df.select(doc, text), patterns, text).drop(text)
-    both = local.join(nest_entities(found, doc), doc, "left")
-    none = F.array().cast(f"array<{ENTITY}>")
-    model = F.coalesce(F.col("model_entities").cast(f"array<{ENTITY}>"), none)
-    return both.select(doc, F.concat(model, F.col("pattern_entities")).alias("entities"))
+    return with_entities(df.select(doc, text), dictionary, patterns, facets, strict, doc, text).select(doc, "entities")
 
 
 def entity_rollup(df: DataFrame, entities: str = "entities") -> DataFrame:

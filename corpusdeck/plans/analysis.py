@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusdeck import defaults
 from corpusdeck.functions.lexicon import Lexicon
 from corpusdeck.functions.text import preview
-from corpusdeck.operators.entities import ENTITY, document_entities
+from corpusdeck.operators.entities import with_entities
 from corpusdeck.operators.facets import facet_map
 from corpusdeck.operators.keywords import keyword_extract, nest_keywords
 from corpusdeck.operators.sentiment import ChunkScorer, chunk_sentiment
@@ -41,33 +41,30 @@ def analyze_documents(
 ) -> DataFrame:
     """``(doc, filename, text_preview, sentiment, keywords, total_keywords, entities, facets)``.
 
-    Sentiment, facets, preview and pattern entities are computed inside the row, so the text itself
-    is not carried through the joins. Keywords and model entities come back keyed by document.
+    Sentiment, facets, preview and, with a small dictionary, entities are computed inside the row, so the
+    text itself is not carried through the join. Keywords come back keyed by document.
     """
     local = chunk_sentiment(df, cfg.scorer, text, cfg.chunk_size, cfg.chunk_cap)
-    local = facet_map(local, cfg.facets, text).select(
+    local = facet_map(local, cfg.facets, text)
+    local = with_entities(local, cfg.dictionary, cfg.patterns, cfg.facets, cfg.strict_categories, doc, text)
+    local = local.select(
         doc,
         F.col(filename).alias("filename"),
         preview(F.col(text)).alias("text_preview"),
         "sentiment",
+        "entities",
         "facets",
     )
     ranked = cfg.ranker(df) if cfg.ranker else keyword_extract(df, cfg.stops, cfg.top_n, doc=doc, text=text)
-    keywords = nest_keywords(ranked, doc)
-    entities = document_entities(df, cfg.dictionary, cfg.patterns, cfg.facets, cfg.strict_categories, doc, text)
-    return (
-        local.join(keywords, doc, "left")
-        .join(entities, doc, "left")
-        .select(
-            doc,
-            "filename",
-            "text_preview",
-            "sentiment",
-            F.coalesce("keywords", F.array().cast(KEYWORDS)).alias("keywords"),
-            F.coalesce("total_keywords", F.lit(0)).alias("total_keywords"),
-            F.coalesce("entities", F.array().cast(f"array<{ENTITY}>")).alias("entities"),
-            "facets",
-        )
+    return local.join(nest_keywords(ranked, doc), doc, "left").select(
+        doc,
+        "filename",
+        "text_preview",
+        "sentiment",
+        F.coalesce("keywords", F.array().cast(KEYWORDS)).alias("keywords"),
+        F.coalesce("total_keywords", F.lit(0)).alias("total_keywords"),
+        "entities",
+        "facets",
     )
 
 

@@ -271,6 +271,37 @@ def dictionary(spark, *rows):
     return spark.createDataFrame([(p, l, s) for p, l, s in rows], "phrase string, label string, score double")
 
 
+def test_phrases_at_their_anchors(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["the", "THE", "of", "silk", "É", "road", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "the " * 3_000 + "silk road"]
+    phrases = ["the", "the of", "of the of", "silk road", "road silk é", "é é", "x x x x", "none here", "the silk"]
+    names = dictionary(spark, *[(p, p.upper(), len(p) / 10) for p in phrases], ("", "EMPTY", 0.5), (None, "NULL", 0.5))
+    df = docs(spark, *texts).repartition(3).withColumn("words", F.lit("clash"))
+    want = set()
+    for i, t in enumerate(texts):
+        own = (t or "").split()
+        for at in range(len(own)):
+            for n in range(1, 5):
+                span = own[at : at + n]
+                if len(span) == n and " ".join(span).lower() in phrases:
+                    p = " ".join(span).lower()
+                    want.add((i, at, n, " ".join(span), p.upper(), len(p) / 10))
+
+    def rows():
+        return [tuple(r) for r in en.model_entities(df, names).select("doc_id", "start", "words", "text", "label", "score").collect()]
+
+    small = rows()
+    assert set(small) == want and len(small) == len(want)
+    listed = {r.doc_id: r.entities for r in en.document_entities(df, names, Lexicon.categories({}), Lexicon.facets({})).collect()}
+    monkeypatch.setattr(en, "SMALL", 3)
+    assert en.small_dictionary(df, names) is None
+    assert sorted(rows()) == sorted(small)
+    assert {r.doc_id: r.entities for r in en.document_entities(df, names, Lexicon.categories({}), Lexicon.facets({})).collect()} == listed
+    assert len(listed) == len(texts) and listed[60] == []
+    assert en.model_entities(df, names.limit(0)).count() == 0 and en.model_entities(df.limit(0), names).count() == 0
+
+
 def test_entities_order_categories_and_rollup(spark):
     patterns = Lexicon.categories({"materials": ["silk"], "none": ["zzz"]})
     facets = Lexicon.facets({"season": {"winter": ["snow"]}})
