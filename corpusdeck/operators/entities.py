@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from corpusdeck.defaults import CATEGORY_PREFIX, PATTERN_LABEL, PATTERN_SCORE, PATTERN_SOURCE
 from corpusdeck.functions.arrays import bind
 from corpusdeck.functions.lexicon import Lexicon, contains_any
-from corpusdeck.functions.text import word_tokens
-from corpusdeck.operators.skew import attach_by_key, fits
+from corpusdeck.functions.text import WORD, word_tokens
+from corpusdeck.operators.skew import attach_by_key
 
-#: Rows and characters of a dictionary that travels with the tasks; documents by which words count as rare.
-SMALL, SMALL_CHARS, SAMPLE = 2_000, 1 << 18, 1_000
+#: Rows and characters of a dictionary that travels with the tasks.
+SMALL, SMALL_CHARS = 2_000, 1 << 18
 HITS = "array<struct<start:int,words:int,text:string,label:string,score:double>>"
 ENTITY = (
     "struct<text:string,label:string,score:double,category:string,is_related:boolean,source:string>"
@@ -63,60 +64,66 @@ class Phrase:
     anchor: int
 
 
-def small_dictionary(df: DataFrame, dictionary: DataFrame, text: str = "text") -> list[Phrase] | None:
+def small_dictionary(dictionary: DataFrame) -> list[Phrase] | None:
     """The phrases of a dictionary of at most ``SMALL`` rows and ``SMALL_CHARS`` characters, else None.
 
-    How rare a word is comes from ``SAMPLE`` documents; it changes the work and not what is found."""
+    Here the rarest word is the one that the fewest phrases have; it changes the work and not what is found."""
     given = dictionary.filter("phrase <> ''").select("phrase", "label", "score")
-    if not fits(given, SMALL, SMALL_CHARS):
+    # A row more than may come shows that there are more.
+    rows = given.limit(SMALL + 1).collect()
+    if len(rows) > SMALL or sum(len(r.phrase) for r in rows) > SMALL_CHARS:
         return None
-    rows = given.collect()
-    names = sorted({w for r in rows for w in r.phrase.split(" ")})
-    tokens = df.limit(SAMPLE).select(F.explode_outer(word_tokens(F.lower(text))).alias("word"))
-    counted = tokens.filter(F.col("word").isin(names)).groupBy("word").agg(F.count("*").alias("n")).collect() if names else []
-    seen = {r.word: r.n for r in counted}
+    seen = Counter(w for r in rows for w in set(r.phrase.split(" ")))
 
     def phrase(r) -> Phrase:
         words = tuple(r.phrase.split(" "))
-        return Phrase(words, r.label, r.score, min(range(len(words)), key=lambda k: (seen.get(words[k], 0), k)))
+        return Phrase(words, r.label, r.score, min(range(len(words)), key=lambda k: (seen[words[k]], -len(words[k]), k)))
 
     return [phrase(r) for r in rows]
 
 
-def phrase_hits(text: Column, phrases: list[Phrase]) -> Column:
-    """Array of ``struct<start, words, text, label, score>`` of every span that is a phrase, in text order.
+def _quoted(word: str | None) -> str:
+    return "CAST(NULL AS STRING)" if word is None else "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Row-local: spans are formed only where a word is the anchor of a phrase of that length."""
+
+def phrase_hits(text: str, phrases: list[Phrase]) -> Column:
+    """Array of ``struct<start, words, text, label, score>`` of every span of the column ``text`` that is a
+    phrase, in text order.
+
+    Row-local: spans are formed only where a word is the anchor of a phrase and the word beside it fits. The
+    expression is given as text, since building it from as many columns as there are words takes seconds."""
     if not phrases:
         return F.array().cast(HITS)
-    shapes: dict[tuple[int, int], list[Phrase]] = {}
+    shapes: dict[tuple[int, int], list[tuple[str, ...]]] = {}
     for p in phrases:
-        shapes.setdefault((len(p.words), p.anchor), []).append(p)
-    anchors = sorted({p.words[p.anchor] for p in phrases})
-    entries = {" ".join(p.words): F.struct(F.lit(p.label).cast("string").alias("label"), F.lit(p.score).cast("double").alias("score")) for p in phrases}
-    table = F.create_map(*[x for k, v in entries.items() for x in (F.lit(k), v)])
-
-    def found(words: Column) -> Column:
-        def with_lower(lower: Column) -> Column:
-            places = F.filter(F.transform(lower, lambda w, i: F.when(w.isin(anchors), i)), lambda i: i.isNotNull())
-            return F.array_sort(F.flatten(F.transform(places, lambda at: F.concat(*(spans(lower, at, *shape) for shape in shapes)))))
-
-        def spans(lower: Column, at: Column, n: int, anchor: int) -> Column:
-            start = at - anchor
-            known = sorted(" ".join(p.words) for p in shapes[n, anchor])
-            inside = (start >= 0) & (start + n <= F.size(lower))
-            phrase = F.when(inside, F.array_join(F.slice(lower, F.greatest(start, F.lit(0)) + 1, n), " "))
-            hit = bind(phrase, lambda p: F.when(p.isin(known), hit_of(start, n, p)))
-            return F.filter(F.array(hit), lambda h: h.isNotNull())
-
-        def hit_of(start: Column, n: int, phrase: Column) -> Column:
-            entry = F.element_at(table, phrase)
-            spelled = F.array_join(F.slice(words, start + 1, n), " ")
-            return F.struct(start.alias("start"), F.lit(n).alias("words"), spelled.alias("text"), entry["label"].alias("label"), entry["score"].alias("score"))
-
-        return bind(F.transform(words, lambda w: F.lower(w)), with_lower)
-
-    return bind(word_tokens(text), found)
+        shapes.setdefault((len(p.words), p.anchor), []).append(p.words)
+    score = lambda x: "CAST(NULL AS DOUBLE)" if x is None else f"CAST({x!r} AS DOUBLE)"
+    entries = {" ".join(p.words): f"named_struct('label', {_quoted(p.label)}, 'score', {score(p.score)})" for p in phrases}
+    table = f"map({', '.join(f'{_quoted(k)}, {v}' for k, v in entries.items())})"
+
+    def among(words: set[str]) -> str:
+        return f"IN ({', '.join(map(_quoted, sorted(words)))})"
+
+    def joined(words: str, n: int) -> str:
+        # A slice would copy the whole array.
+        return "concat_ws(' ', " + ", ".join(f"get({words}, at + {k})" for k in range(n)) + ")"
+
+    def of_shape(n: int, anchor: int) -> str:
+        known = shapes[n, anchor]
+        fits = f"w {among({x[anchor] for x in known})}"
+        if n > 1:
+            beside = anchor + 1 if anchor + 1 < n else anchor - 1
+            fits += f" AND get(low, i + {beside - anchor}) {among({x[beside] for x in known})}"
+        starts = f"filter(transform(low, (w, i) -> CASE WHEN {fits} THEN i - {anchor} END), at -> at IS NOT NULL)"
+        if n > 1:
+            starts = f"filter({starts}, at -> at >= 0 AND at + {n} <= size(low) AND {joined('low', n)} {among({' '.join(x) for x in known})})"
+        named = f"element_at({table}, {joined('low', n)})"
+        return f"transform({starts}, at -> named_struct('start', at, 'words', {n}, 'text', {joined('own', n)}, 'label', {named}.label, 'score', {named}.score))"
+
+    hits = f"array_sort(concat({', '.join(of_shape(*x) for x in sorted(shapes))}))"
+    tokens = f"regexp_extract_all(`{text}`, r'[{WORD}]+', 0)"
+    bound = f"element_at(transform(array(transform(own, x -> lower(x))), low -> {hits}), 1)"
+    return F.expr(f"element_at(transform(array({tokens}), own -> {bound}), 1)")
 
 
 def anchored_hits(df: DataFrame, dictionary: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,7 +149,7 @@ def anchored_hits(df: DataFrame, dictionary: DataFrame, doc: str = "doc_id", tex
 
     def hits(words: Column) -> Column:
         def spelled(c: Column) -> Column:
-            return F.slice(words, F.greatest(c["start"], F.lit(0)) + 1, c["words"])
+            return F.transform(F.sequence(F.lit(0), c["words"] - 1), lambda k: F.get(words, c["start"] + k))
 
         real = F.filter(F.col("_c"), lambda c: (c["start"] >= 0) & (F.transform(spelled(c), lambda w: F.lower(w)) == c["_p"]["own"]))
         return F.transform(
@@ -155,6 +162,17 @@ def anchored_hits(df: DataFrame, dictionary: DataFrame, doc: str = "doc_id", tex
     return placed.join(candidates, doc).select(doc, bind(F.col("_words"), hits).cast(HITS).alias("hits"))
 
 
+def with_hits(df: DataFrame, dictionary: DataFrame, doc: str = "doc_id", text: str = "text", out: str = "hits") -> DataFrame:
+    """``df`` with the array of its dictionary phrases. With a small dictionary the row is not left; the hits
+    of a large one are joined by document. Null for a null text."""
+    phrases = small_dictionary(dictionary)
+    if phrases is not None:
+        return df.withColumn(out, phrase_hits(text, phrases))
+    found = anchored_hits(df, dictionary, doc, text).withColumnRenamed("hits", "_found")
+    joined = df.join(found, doc, "left").withColumn(out, F.coalesce("_found", F.when(F.col(text).isNotNull(), F.array().cast(HITS))))
+    return joined.drop("_found")
+
+
 def model_entities(
     df: DataFrame,
     dictionary: DataFrame,
@@ -167,11 +185,7 @@ def model_entities(
     words. A small one travels with the tasks and only hits become rows; a large one is joined at the
     anchors of its phrases.
     """
-    phrases = small_dictionary(df, dictionary, text)
-    if phrases is None:
-        found = anchored_hits(df, dictionary, doc, text)
-    else:
-        found = df.select(doc, phrase_hits(F.col(text), phrases).alias("hits"))
+    found = with_hits(df.select(doc, text), dictionary, doc, text, "hits")
     # Outer, because the inner form adds an emptiness filter that computes the hits again.
     return found.select(doc, F.inline_outer("hits")).filter(F.col("start").isNotNull())
 
@@ -232,12 +246,7 @@ def with_entities(
 ) -> DataFrame:
     """``df`` with its entities: model entities in text order, then patterns. With a small dictionary the
     row is not left; the hits of a large one are joined by document."""
-    phrases = small_dictionary(df, dictionary, text)
-    if phrases is None:
-        found = anchored_hits(df, dictionary, doc, text).withColumnRenamed("hits", "_hits")
-        staged = df.join(found, doc, "left").withColumn("_hits", F.coalesce("_hits", F.array().cast(HITS)))
-    else:
-        staged = df.withColumn("_hits", phrase_hits(F.col(text), phrases))
+    staged = with_hits(df, dictionary, doc, text, "_hits")
     staged = pattern_entities(staged, patterns, text, "_patterns")
     model = F.coalesce(model_entity_column(F.col("_hits"), patterns, facets, strict), F.array().cast(f"array<{ENTITY}>"))
     return staged.withColumn(out, F.concat(model, F.coalesce("_patterns", F.array().cast(f"array<{ENTITY}>")))).drop("_hits", "_patterns")

@@ -295,7 +295,7 @@ def test_phrases_at_their_anchors(spark, monkeypatch):
     assert set(small) == want and len(small) == len(want)
     listed = {r.doc_id: r.entities for r in en.document_entities(df, names, Lexicon.categories({}), Lexicon.facets({})).collect()}
     monkeypatch.setattr(en, "SMALL", 3)
-    assert en.small_dictionary(df, names) is None
+    assert en.small_dictionary(names) is None
     assert sorted(rows()) == sorted(small)
     assert {r.doc_id: r.entities for r in en.document_entities(df, names, Lexicon.categories({}), Lexicon.facets({})).collect()} == listed
     assert len(listed) == len(texts) and listed[60] == []

@@ -8,7 +8,7 @@ from corpusdeck.operators import metrics as mt
 from corpusdeck.operators import modeling as md
 from corpusdeck.operators import similar as sm
 from corpusdeck.operators import training as tr
-from corpusdeck.operators.entities import model_entities
+from corpusdeck.operators.entities import with_hits
 from corpusdeck.operators.sentiment import chunk_rows, roll_up_chunks
 from corpusdeck.sources.tables import read_table
 from workload import fixtures as fx
@@ -70,8 +70,9 @@ def tokenize_pad(spark, sf):
 def tag_input(spark, sf):
     """Lower-cased documents with the dictionary phrases found in them as entities."""
     docs = fx.docs(spark, sf).select("doc_id", F.lower("text").alias("text"))
-    found = model_entities(docs, fx.dictionary(spark, sf))
-    return docs.join(found.groupBy("doc_id").agg(F.sort_array(F.collect_set("text")).alias("entities")), "doc_id")
+    found = with_hits(docs, fx.dictionary(spark, sf))
+    entities = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["text"])))
+    return found.withColumn("entities", entities).drop("hits").filter(F.size("entities") > 0)
 
 
 TAGS = ("B-FASHION", "I-FASHION", "O")
