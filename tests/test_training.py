@@ -199,8 +199,33 @@ def test_sentiment_model_beats_the_majority_and_scores(spark, tmp_path):
     model, report = md.train_sentiment(df, as_of(), epochs=2, features=1 << 10, path=str(tmp_path / "model"))
     row = report.first()
     assert row.eval_accuracy > 0.9 and 1 <= row.epoch <= 2 and row.training_date == "2024-06-30T12:00:00"
-    scored = md.score_batch(df.drop("label"), model)
-    assert scored.filter("label not in ('NEGATIVE','NEUTRAL','POSITIVE') or score > 1").count() == 0
+    assert row.train_rows + row.choice_rows + row.test_rows == df.count() and row.eval_accuracy >= row.majority
+    loaded = md.SentimentModel.load(spark, str(tmp_path / "model"))
+    odd = spark.createDataFrame([(1, None, 5.0), (2, "", 5.0), (3, "unheard", 5.0)], "doc_id long, text string, score double")
+    for rows in (df.drop("label"), odd):
+        first, second = (sorted(map(tuple, md.score_batch(rows, m).select("doc_id", "label", "score").collect())) for m in (model, loaded))
+        assert first == second and len(first) == rows.count()
+        assert all(label in ("NEGATIVE", "NEUTRAL", "POSITIVE") and 0 < score <= 1 for _, label, score in first)
+
+
+def test_training_is_the_same_for_any_partitions_and_beats_the_majority(spark):
+    from workload.training_queries import label_id, labelled
+
+    rows = labelled(spark, "/root/testdata/sf0.01").select("doc_id", "text", label_id(F.col("sentiment")).alias("label"))
+    reports = [md.train_sentiment(rows.repartition(k), as_of(), epochs=2)[1].first() for k in (1, 6)]
+    assert reports[0].eval_accuracy == reports[1].eval_accuracy >= reports[0].majority
+    assert reports[0].train_loss == pytest.approx(reports[1].train_loss)
+
+
+def test_a_model_of_the_callers_own(spark):
+    rows = [(1, [1.0, 0.0], "x"), (2, [0.0, 3.0], "x"), (3, None, "x"), (4, [1.0], "x"), (5, [2.0, 2.0], "x")]
+    df = spark.createDataFrame(rows, "id int, features array<float>, label string")
+
+    def load():
+        return lambda batch: batch * 2
+
+    got = {r.id: (r.label, r.score) for r in md.score_with(df, load, ("A", "B"), 2).collect()}
+    assert got == {1: ("A", 2.0), 2: ("B", 6.0), 3: (None, None), 4: (None, None), 5: ("A", 4.0)}
 
 
 def test_embeddings_do_not_depend_on_partitions(spark):
