@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from corpusdeck.llm.common import raw_text
 from corpusdeck.llm.tokens import encoder
 
+#: Ids below this are counted in a table; a vocabulary's ids are. Larger ones are sorted.
+TABLE = 1 << 22
 #: Tokens after which a block ends.
 BLOCK_TOKENS = 4_000_000
 
@@ -40,10 +42,15 @@ SUMS = LENGTHS.sum(axis=1)
 
 def encode_block(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """``(ranked ids, control bytes, data bytes)``; equally frequent ids in ascending order."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < TABLE:
+        counts = np.bincount(ids)
+        values, inverse = np.flatnonzero(counts), ids
+        counts = counts[values]
+    else:
+        values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(int(values[-1]) + 1 if inverse is ids else len(order), np.uint32)
+    rank[values[order] if inverse is ids else order] = np.arange(len(order))
     ranks = np.append(rank[inverse], np.zeros(-len(ids) % 4, np.uint32)).astype("<u4")
     code = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)

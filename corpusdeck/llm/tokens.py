@@ -22,8 +22,9 @@ WORDS = 100
 class WordEncoder:
     """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit integers."""
 
-    #: Words that a worker remembers.
-    room = 900_000
+    #: Words after which a worker begins a new generation: it remembers those and, of the generation before,
+    #: every word until the next begins. Words that keep coming back are never worked out again.
+    room = 450_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -32,6 +33,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: None marks a word whose texts have to be encoded whole.
         self.known: dict[bytes, bytes | None] = {}
+        self.older: dict[bytes, bytes | None] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -42,12 +44,13 @@ class WordEncoder:
         for at in range(0, len(texts), TEXTS):
             part = texts[at : at + TEXTS]
             words = [self.cut(t) for t in part]
-            new = list(set(chain.from_iterable(words)).difference(self.known))
-            self.known.update(self.learn(new))
+            new = set(chain.from_iterable(words)).difference(self.known)
+            again = new.intersection(self.older)
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            self.known.update(self.learn(list(new - again)))
             out += [self.joined(w, t) for w, t in zip(words, part, strict=True)]
             if len(self.known) > self.room:
-                for w in new:
-                    del self.known[w]
+                self.known, self.older = {}, self.known
         return out
 
     def joined(self, words: list[bytes], text: bytes) -> bytes:
@@ -83,7 +86,7 @@ class BlankFree(WordEncoder):
     """For vocabularies that drop white space. A control character, with one id, stands between words."""
 
     MARK = "\x01"
-    room = 500_000
+    room = 300_000
 
     def cut(self, text: bytes) -> list[bytes]:
         return text.split()
