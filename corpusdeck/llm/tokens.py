@@ -24,7 +24,7 @@ class WordEncoder:
 
     #: Words after which a worker begins a new generation: it remembers those and, of the generation before,
     #: every word until the next begins. Words that keep coming back are never worked out again.
-    room = 450_000
+    room = 700_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -86,7 +86,7 @@ class BlankFree(WordEncoder):
     """For vocabularies that drop white space. A control character, with one id, stands between words."""
 
     MARK = "\x01"
-    room = 300_000
+    room = 500_000
 
     def cut(self, text: bytes) -> list[bytes]:
         return text.split()
