@@ -18,17 +18,19 @@ IGNORED = -100
 PAD_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
 
 
-def collect_training(analysis: DataFrame, as_of: Column) -> DataFrame:
-    """Training records: one per sound sentiment, one per related entity.
+def collect_training(analysis: DataFrame, as_of: Column, max_chars: int | None = None) -> DataFrame:
+    """Training records: one per sound sentiment, one per related entity. The text of a sentiment is the
+    analysis's ``text_preview``, cut to ``max_chars`` if given.
 
     Both kinds are rows of one array, so the analysis is read once rather than once per kind.
     """
     stamp = F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss")
     source = F.coalesce("filename", F.lit("unknown"))
     missing = F.lit(None)
+    text = F.coalesce("text_preview", F.lit(""))
     sentiment = F.struct(
         F.lit("sentiment").alias("type"),
-        truncate_text(F.coalesce("text_preview", F.lit("")), 500).alias("text"),
+        (text if max_chars is None else truncate_text(text, max_chars)).alias("text"),
         F.col("sentiment.overall_sentiment").alias("sentiment"),
         F.col("sentiment.confidence").alias("confidence"),
         missing.cast("string").alias("category"),

@@ -34,6 +34,8 @@ class AnalysisConfig:
     chunk_size: int = 500
     chunk_cap: int | None = None
     strict_categories: bool = False
+    # Characters of ``text_preview``; None for the whole text.
+    preview_chars: int | None = 500
 
 
 def analyze_documents(
@@ -50,7 +52,7 @@ def analyze_documents(
     local = local.select(
         doc,
         F.col(filename).alias("filename"),
-        preview(F.col(text)).alias("text_preview"),
+        (F.col(text) if cfg.preview_chars is None else preview(F.col(text), cfg.preview_chars)).alias("text_preview"),
         "sentiment",
         "entities",
         "facets",

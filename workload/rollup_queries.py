@@ -1,5 +1,7 @@
 """Corpus roll-ups and reports."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from corpusdeck.operators.facets import facet_scores
@@ -362,16 +364,16 @@ def report_base64(spark, sf):
 
 RECORDS = f"""{fr.sentiment()}, {fr.ENTITIES},
 records AS (
-  SELECT 'sentiment' AS type, substring(text, 1, 500) AS text, sentiment, round(confidence, 6) AS confidence, NULL AS category,
+  SELECT 'sentiment' AS type, text, sentiment, round(confidence, 6) AS confidence, NULL AS category,
          NULL::DOUBLE AS score, source AS source_file, '2024-06-30T12:00:00' AS timestamp
   FROM sentiments JOIN documents USING (doc_id)
   UNION ALL SELECT 'entity', e.text, NULL, NULL, category, score, source, '2024-06-30T12:00:00'
   FROM entities e JOIN documents USING (doc_id) WHERE category <> 'other')"""
 
 
-def records(spark, sf):
-    analysis = analyze_documents(fx.docs(spark, sf), fx.config(spark, sf))
-    return collect_training(analysis, fx.as_of())
+def records(spark, sf, max_chars=None):
+    whole = replace(fx.config(spark, sf), preview_chars=None)
+    return collect_training(analyze_documents(fx.docs(spark, sf), whole), fx.as_of(), max_chars)
 
 
 @query(

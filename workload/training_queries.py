@@ -29,6 +29,16 @@ def collect_training(spark, sf):
     return records(spark, sf).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(
+    "collect_training_first",
+    f"""WITH {RECORDS} SELECT type, CASE WHEN type = 'sentiment' THEN substring(text, 1, 500) ELSE text END AS text, sentiment, confidence,
+          category, score, source_file, timestamp FROM records""",
+)
+def collect_training_first(spark, sf):
+    """Records that carry the first 500 characters alone."""
+    return records(spark, sf, 500).withColumn("confidence", F.round("confidence", 6))
+
+
 _LABELLED = f"labelled AS (SELECT doc_id, text, {LABEL_SQL} AS sentiment FROM documents JOIN labels USING (doc_id))"
 _LABEL_ID = "CASE sentiment WHEN 'NEGATIVE' THEN 0 WHEN 'NEUTRAL' THEN 1 WHEN 'POSITIVE' THEN 2 END"
 
