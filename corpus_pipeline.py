@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusdeck.llm import copies, decontamination, packing, substrings, toxicity
+from corpusdeck.llm import decontamination, packing, simhash, substrings, toxicity
 from corpusdeck.llm.common import stored, table
 from corpusdeck.llm.queries import tokenizer_file
 from corpusdeck.llm.shipping import ship
 
-#: Near copies: words of a shingle, and the least Jaccard similarity of the bags of shingles, which every
-#: link has and every pair that has it is linked.
-SHINGLE, SIMILARITY = 5, 0.8
+#: Near copies: words of a shingle, and the most bits in which linked fingerprints differ.
+SHINGLE, RADIUS = 3, 2
 #: Words of a passage that is removed where it stands again.
 PASSAGE = 50
 
@@ -31,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component the document with the smallest id stays; of equal rows with that id, one. Texts
     without words are copies of each other."""
     ship(spark)
-    return copies.keep_first(docs, SHINGLE, SIMILARITY)
+    return simhash.keep_first(docs, simhash.Routes.pigeonhole(RADIUS), SHINGLE)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
