@@ -11,7 +11,6 @@ SF = "0.001"
 # Trained models: SQL has no counterpart, the unit tests check them.
 NO_SQL = {
     "score_batch",
-    "topics",
 }
 PYTHON_OPERATORS = {"cosine_topk", "cosine_topk_items", "keyword_mmr", "keyword_mmr_documents", "positive_pairs", "positive_pairs_floor"}
 # Tags are looked up row by row in Python.

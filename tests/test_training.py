@@ -11,7 +11,7 @@ from corpusdeck.operators import modeling as md
 from corpusdeck.operators import similar as sm
 from corpusdeck.operators import training as tr
 from corpusdeck.operators.filters import flag_errors, min_rows_gate, split_errors, usable_text
-from corpusdeck.operators.topics import fit_topics, topics, with_outliers
+from corpusdeck.operators.topics import assign_topics, fit_topics, topics
 from test_rollup import analysis, as_of
 
 relaxed = settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -189,9 +189,31 @@ def test_topics(spark):
     sizes = {r.topic_id: r.topic_size for r in rows}
     assert sum(sizes.values()) == 120 and {r.total_topics for r in rows} == {len(sizes)}
     assert all(r.topic_name == f"Topic_{r.topic_id}" and 1 <= r.rank <= 8 for r in rows)
-    _, assigned = fit_topics(df, k=3)
-    assert with_outliers(assigned, 1_000).select("topic_id").distinct().collect()[0].topic_id == -1
-    assert with_outliers(assigned, 1).filter("topic_id = -1").count() == 0
+    assert all(sizes[t] >= sizes[t + 1] for t in range(len(sizes) - 1))
+    _, small = fit_topics(df, k=3, min_size=1_000)
+    assert {r.topic_id for r in small.select("topic_id").distinct().collect()} == {-1}
+
+
+def test_topics_do_not_depend_on_partitions(spark):
+    df = corpus(spark)
+    one, eight = (fit_topics(df.repartition(n, "text"), k=3) for n in (1, 8))
+    assert one[0] == eight[0]
+    assert sorted(map(tuple, topics(df.repartition(1), k=3).collect())) == sorted(map(tuple, topics(df.repartition(8), k=3).collect()))
+    again = assign_topics(df, one[0]).select("doc_id", "topic_id")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, one[1].select("doc_id", "topic_id").collect()))
+
+
+def test_topics_outliers_and_odd_rows(spark):
+    kinds = [(i, "silk dress silk dress") for i in range(9)] + [(10 + i, "road wheel road wheel") for i in range(8)]
+    odd = [(30, None), (31, ""), (32, "unknown words only"), (None, "road wheel"), (33, "silk dress"), (33, "silk dress")]
+    df = spark.createDataFrame(kinds + odd, "doc_id bigint, text string")
+    _, assigned = fit_topics(df, k=2, vocab=6)
+    got = assigned.select("doc_id", "topic_id").collect()
+    assert len(got) == len(kinds + odd) and {r.doc_id for r in got if r.topic_id == -1} == {30, 31, 32}
+    assert topics(df.limit(0)).count() == 0
+    # Far from every centre: outliers by distance.
+    _, far = fit_topics(df, k=2, vocab=6, min_similarity=1.01)
+    assert {r.topic_id for r in far.select("topic_id").collect()} == {-1}
 
 
 def test_sentiment_model_beats_the_majority_and_scores(spark, tmp_path):

@@ -1,5 +1,7 @@
 """Per-document analyses."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from corpusdeck.operators import entities as en
@@ -8,7 +10,7 @@ from corpusdeck.operators import nearest as nr
 from corpusdeck.operators.facets import facet_scores as facet_rows
 from corpusdeck.operators.embeddings import train_embeddings
 from corpusdeck.operators.sentiment import chunk_rows, chunk_sentiment as document_sentiment, roll_up_chunks
-from corpusdeck.operators.topics import topics as corpus_topics
+from corpusdeck.operators.topics import assign_topics, fit_topics, topics as corpus_topics
 from corpusdeck.plans.analysis import analyze_documents as analyze
 from corpusdeck.sources.tables import read_table
 from workload import fixtures as fx
@@ -219,9 +221,25 @@ def facet_scores(spark, sf):
     )
 
 
-@query("topics")
+@query(
+    "topics",
+    f"""WITH {fr.topics()},{fr.TOPIC_WORDS}
+        SELECT topic_id, topic_size, rank::INTEGER AS rank, word, round(weight, 6) AS weight, 'Topic_' || topic_id AS topic_name,
+          (SELECT count(*) FROM tsizes) AS total_topics FROM twords WHERE rank <= 8""",
+)
 def topics(spark, sf):
-    return corpus_topics(fx.docs(spark, sf), fx.STOPS)
+    return corpus_topics(fx.docs(spark, sf), fx.STOPS).withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "topic_of_documents",
+    f"WITH {fr.topics()} SELECT doc_id, coalesce(topic_id, -1)::INTEGER AS topic_id FROM documents LEFT JOIN assigned USING (doc_id)",
+)
+def topic_of_documents(spark, sf):
+    """The topic of each document, outliers included, by the fitted model inside the row."""
+    docs = fx.docs(spark, sf)
+    model, _ = fit_topics(docs, fx.STOPS)
+    return assign_topics(docs, model).select("doc_id", "topic_id")
 
 
 _FLAT = ", ".join(
@@ -263,3 +281,24 @@ def analyze_documents(spark, sf):
         F.array_join(F.transform("entities", lambda e: F.concat(e["text"], F.lit("/"), e["category"])), "|").alias("entities"),
         facets.alias("facets"),
     )
+
+
+_FAILED = "CASE WHEN doc_id % 10 = 0 THEN '{} failed: {}' END AS {}_error"
+
+
+@query(
+    "analyze_documents_errors",
+    f"""WITH {fr.topics()}
+        SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN -2 ELSE coalesce(topic_id, -1) END::INTEGER AS topic_id,
+          {_FAILED.format("sentiment analysis", "no text or unknown label", "sentiment")}, {_FAILED.format("keyword extraction", "no text", "keywords")},
+          {_FAILED.format("entity recognition", "no text", "entities")}, {_FAILED.format("facet analysis", "no text", "facets")},
+          {_FAILED.format("topic modelling", "no text", "topic")}
+        FROM documents LEFT JOIN assigned USING (doc_id)""",
+)
+def analyze_documents_errors(spark, sf):
+    """Topics by a fitted model, and a message for each part of the documents that lost their text."""
+    docs = fx.docs(spark, sf)
+    model, _ = fit_topics(docs, fx.STOPS)
+    broken = docs.withColumn("text", F.when(F.col("doc_id") % 10 != 0, F.col("text")))
+    done = analyze(broken, replace(fx.config(spark, sf), topics=model))
+    return done.select("doc_id", F.coalesce("topic_id", F.lit(-2)).alias("topic_id"), *[F.col("errors")[p].alias(f"{p}_error") for p in ("sentiment", "keywords", "entities", "facets", "topic")])

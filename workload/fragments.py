@@ -193,3 +193,48 @@ done AS (SELECT * FROM steps WHERE len(chosen) = least({top_n}, len(s))),
 picked AS (
   SELECT query_id, unnest(range(1, len(chosen) + 1))::INTEGER AS rank, unnest(list_transform(chosen, lambda c: items[c])) AS item,
          unnest(list_transform(chosen, lambda c: s[c])) AS score FROM done)"""
+
+
+def topics(k: int = 5, vocab: int = 100, seed: int = 42, rounds: int = 10, similarity: float = 0.2) -> str:
+    """CTEs that end in ``assigned (doc_id, topic_id)``, outliers left out, and ``tvec (doc_id, no, tf, v)``. Every
+    round is a pair of CTEs; rounds after the centres stand still change nothing."""
+
+    def units(name: str) -> str:
+        return f"""SELECT topic, no, floor(1048576 * s::DOUBLE / norm + 0.5)::BIGINT AS w FROM {name}
+          JOIN (SELECT topic, sqrt(list_sum(list(s::DOUBLE * s::DOUBLE ORDER BY no))) AS norm FROM {name} GROUP BY topic) USING (topic)"""
+
+    def nearest(centres: str) -> str:
+        return f"""SELECT doc_id, topic, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, topic) AS place
+          FROM (SELECT doc_id, topic, sum(v * w) AS score FROM tvec JOIN {centres} USING (no) GROUP BY ALL) WHERE score > 0) WHERE place = 1"""
+
+    steps = [
+        f"""
+sums{i} AS MATERIALIZED (SELECT topic, no, sum(v)::BIGINT AS s FROM tvec JOIN ({nearest(f"centres{i}")}) USING (doc_id) GROUP BY ALL),
+centres{i + 1} AS MATERIALIZED ({units(f"sums{i}")} UNION ALL SELECT * FROM centres{i} WHERE topic NOT IN (SELECT topic FROM sums{i})),"""
+        for i in range(rounds)
+    ]
+    return f"""{CANDIDATES},
+tterms AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY df DESC, keyword) - 1 AS no,
+    floor(1048576 * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) + 0.5) AS idf
+  FROM (SELECT keyword, count(*) AS df FROM (SELECT DISTINCT doc_id, keyword FROM grams) GROUP BY keyword ORDER BY df DESC, keyword LIMIT {vocab})),
+tcount AS MATERIALIZED (SELECT doc_id, no, count(*) AS tf, (count(*) * any_value(idf))::DOUBLE AS x FROM grams JOIN tterms USING (keyword) GROUP BY doc_id, no),
+tnorm AS (SELECT doc_id, sqrt(list_sum(list(x * x ORDER BY no))) AS norm FROM tcount GROUP BY doc_id),
+tvec AS MATERIALIZED (SELECT doc_id, no, tf, floor(1048576 * x / norm + 0.5)::BIGINT AS v FROM tcount JOIN tnorm USING (doc_id)),
+starts AS (
+  SELECT place, row_number() OVER (ORDER BY place) - 1 AS topic FROM (
+    SELECT min(md5('{seed}:' || doc_id)) AS place
+    FROM (SELECT doc_id, string_agg(no || ':' || v, ',' ORDER BY no) AS vector FROM tvec GROUP BY doc_id) GROUP BY vector ORDER BY place LIMIT {k})),
+centres0 AS MATERIALIZED (SELECT topic, no, v AS w FROM tvec JOIN starts ON place = md5('{seed}:' || doc_id)),{"".join(steps)}
+tnear AS (SELECT doc_id, topic FROM ({nearest(f"centres{rounds}")}) WHERE score >= floor({similarity}::DOUBLE * 1048576 * 1048576)),
+tsizes AS (SELECT topic, topic_size, row_number() OVER (ORDER BY topic_size DESC, topic) - 1 AS topic_id FROM (SELECT topic, count(*) AS topic_size FROM tnear GROUP BY topic)),
+assigned AS (SELECT doc_id, topic_id::INTEGER AS topic_id, topic_size FROM tnear JOIN tsizes USING (topic))"""
+
+
+TOPIC_WORDS = """
+tcells AS (SELECT topic_id, any_value(topic_size) AS topic_size, keyword AS word, sum(tf) AS n FROM assigned JOIN tvec USING (doc_id) JOIN tterms USING (no) GROUP BY topic_id, keyword),
+tweighed AS (
+  SELECT *, round(n / sum(n) OVER (PARTITION BY topic_id)
+    * ln(1 + (SELECT sum(n) / count(DISTINCT topic_id) FROM tcells) / sum(n) OVER (PARTITION BY word)), 9) AS weight FROM tcells),
+twords AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, word) AS rank FROM tweighed)"""
