@@ -93,3 +93,24 @@ def run_metadata(spark, sf):
     runs.append_run(runs.run_record(info, {"sentiment": "models/sentiment"}, fx.as_of()), path)
     latest = runs.latest_run(spark, path)
     return latest.withColumn("artifact", F.col("artifacts")["sentiment"]).drop("artifacts")
+
+
+@query(
+    "model_metrics",
+    """WITH m AS (SELECT 'quality' AS model, avg(quality) AS share FROM labels UNION ALL SELECT 'toxic', avg(toxic) FROM labels)
+       SELECT model, '2024-06-30T12:00:00' AS training_date, 3 AS epochs, round(greatest(share, 1 - share), 6) AS majority_accuracy,
+         (SELECT count(*) FROM labels)::DOUBLE AS samples FROM m""",
+)
+def model_metrics(spark, sf):
+    """The latest figures of each model: here of the one that always says the more frequent label."""
+    path = scratch_path(spark, "metrics")
+    labels = read_table(spark, sf, "labels")
+    shares = labels.agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"), F.count("*").alias("samples"))
+    each = shares.select("samples", F.explode(F.create_map(F.lit("quality"), "quality", F.lit("toxic"), "toxic")).alias("model", "share"))
+    measured = each.select("model", F.lit(3).alias("epochs"), F.greatest("share", 1 - F.col("share")).alias("majority_accuracy"), "samples")
+    earlier = measured.withColumn("epochs", F.lit(1)).withColumn("majority_accuracy", F.lit(0.0))
+    runs.append_run(runs.metrics_record(earlier, F.lit("2024-01-01 00:00:00").cast("timestamp")), path)
+    runs.append_run(runs.metrics_record(measured, fx.as_of()), path)
+    latest = runs.latest_metrics(spark, path)
+    figures = [F.col("metrics")[m].alias(m) for m in ("majority_accuracy", "samples")]
+    return latest.select("model", "training_date", "epochs", *figures).withColumn("majority_accuracy", F.round("majority_accuracy", 6))
