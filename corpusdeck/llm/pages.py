@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ RUN, PAGES = 6, 3
 SHARD_PAGES, SHARD_CHARS = 512, 6_000_000
 BROADCAST_HOSTS = 50_000
 
-ARTICLE, PLAIN, ASIDE = 0, 1, 2
+ARTICLE, PLAIN, ASIDE, WRAPPED = 0, 1, 2, 3
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -42,7 +43,9 @@ TOKEN = re.compile(
     r"|</?[a-z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMED = re.compile(r"class|id|role|hidden", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Element names and name parts of classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,46 +61,92 @@ MARKS = frozenset(
     " respond reply disqus form search pagination pager copyright disclaimer".split()
 )
 OPINIONS = frozenset("comment comments reply respond disqus".split())
+BEFORE = frozenset("site main page top bottom left right global primary secondary post entry article blog web user reader sticky fixed mobile desktop".split())
+AFTER = frozenset(
+    "top bottom left right inner outer wrapper wrap container box bar area block section list item items link links unit slot text content title"
+    " body panel row column group holder zone module media icons icon button buttons posts articles stories news primary secondary mobile desktop"
+    " fixed sticky small large".split()
+)
+LISTS = frozenset("ul ol dl menu".split())
+RICH = frozenset("p h1 h2 h3 h4 h5 h6 article main".split())
+
+
+@dataclass(slots=True, eq=False)
+class Area:
+    """An open element whose content is not the page's."""
+
+    #: Hidden or reader comments: an article inside counts no more than the rest.
+    hard: bool
+    form: bool
+    #: Menus, which end with their first block where no end tag follows.
+    menu: bool
+    first: int
+    rich: bool = False
+    closed: bool = False
+    bound: int | None = None
+
+
+def _mark(name: str) -> str | None:
+    """What a class, id or role stands for: all its parts are marks, but for known words before and after,
+    so that ``site-footer`` is one and ``has-footer`` or ``content-sidebar-wrap`` is not."""
+    parts = [x for x in re.split(r"[^a-z0-9]+", HUMP.sub("-", name).lower()) if x]
+    while parts and parts[0] in BEFORE:
+        del parts[0]
+    while parts and (parts[-1] in AFTER or parts[-1].isdigit()):
+        del parts[-1]
+    if not parts or not all(x in MARKS or x == "header" for x in parts):
+        return None
+    return next((x for x in parts if x in OPINIONS), next((x for x in parts if x in MARKS), "header"))
 
 
-def _role(name: str, attrs: str, inside: bool) -> int | None:
-    """What an element says about its content."""
-    marks: set[str] = set()
+def _role(name: str, attrs: str, inside: bool) -> tuple[int | None, bool]:
+    """What an element says about its content, and whether that holds for an article inside too."""
+    marks: set[str | None] = set()
     main = name in ("article", "main")
-    for m in ATTR.finditer(attrs) if attrs else ():
+    for m in ATTR.finditer(attrs) if NAMED.search(attrs) else ():
         kind = m[1].lower()
         if kind == "hidden":
-            return ASIDE
-        value = (m[2] or m[3] or m[4] or "").lower()
-        main |= kind == "role" and value in ("main", "article")
-        marks.update(re.split(r"[^a-z0-9]+", value))
+            return ASIDE, True
+        if kind in ("class", "id", "role"):
+            value = m[2] or m[3] or m[4] or ""
+            main |= kind == "role" and value.lower() in ("main", "article")
+            marks.update(map(_mark, value.split()))
     if main:
-        return ASIDE if marks & OPINIONS else ARTICLE
+        return (ASIDE, True) if marks & OPINIONS else (ARTICLE, False)
     if name in ("body", "html"):
-        return None
-    if name in SKIPPED or name == "header" and not inside or marks & MARKS or "header" in marks and not inside:
-        return ASIDE
-    return None
+        return None, False
+    if marks & MARKS or "header" in marks and not inside or name in SKIPPED or name == "header" and not inside:
+        return ASIDE, bool(marks & OPINIONS)
+    return None, False
 
 
-def blocks(page: str) -> list[tuple[int, str]]:
-    """``(mark, text)`` of the blocks of a page, in order."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int | None]] = []
+def _parts(page: str) -> Iterator[tuple[str, tuple[Area, ...], int | None]]:
+    """Each block's text, the areas around it, and how many of them are around its article, if it has one.
+    What areas say of their end is right when the page is through."""
+    stack: list[tuple[str, Area | int | None]] = []
     held: list[str] = []
-    aside = article = 0
+    areas: list[Area] = []
+    articles: list[int] = []
+    count = 0
 
-    def flush() -> None:
+    def flush() -> Iterator[tuple[str, tuple[Area, ...], int | None]]:
+        nonlocal count
         if held:
             if text := " ".join(entities.unescape("".join(held)).split()):
-                out.append((ASIDE if aside else ARTICLE if article else PLAIN, text))
+                yield text, tuple(areas), articles[-1] if articles else None
+                count += 1
             held.clear()
 
-    def pop() -> None:
-        nonlocal aside, article
-        role = stack.pop()[1]
-        aside -= role == ASIDE
-        article -= role == ARTICLE
+    def pop(closed: bool) -> None:
+        name, what = stack.pop()
+        if isinstance(what, Area):
+            areas.remove(what)
+            what.closed = closed
+        elif what is not None:
+            articles.pop()
+        around = stack[-1][1] if stack else None
+        if name not in INLINE and isinstance(around, Area) and around.menu and around.bound is None:
+            around.bound = count
 
     for m in TOKEN.finditer(page):
         if (text := m["text"]) is not None:
@@ -107,13 +156,13 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         name = name.lower()
         if name not in INLINE:
-            flush()
+            yield from flush()
         if m["end"]:
             if any(open_ == name for open_, _ in stack):
                 while True:
                     last = stack[-1][0]
                     # A block that ends takes its own open elements with it, an inline one only itself.
-                    pop()
+                    pop(last == name)
                     if last == name:
                         break
             continue
@@ -121,17 +170,68 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         if stack and name not in INLINE:
             while stack and stack[-1][0] in INLINE and any(o == "p" for o, _ in stack):
-                pop()
+                pop(True)
             if stack and (stack[-1][0] == "p" or name == "li" == stack[-1][0]):
-                pop()
-        role = _role(name, m["attrs"], article > 0)
+                pop(True)
+            around = stack[-1][1] if stack else None
+            if isinstance(around, Area) and around.menu and around.bound is None and count > around.first and name not in LISTS:
+                around.bound = count
+        if areas and name in RICH:
+            for area in areas:
+                area.rich = True
+        role, hard = _role(name, m["attrs"], bool(articles))
+        what: Area | int | None = None
         if role is not None:
-            flush()
-        stack.append((name, role))
-        aside += role == ASIDE
-        article += role == ARTICLE
-    flush()
-    return out
+            yield from flush()
+        if role == ASIDE:
+            what = Area(hard, name == "form", name in ("nav", "menu", "header"), count)
+            areas.append(what)
+        elif role == ARTICLE:
+            what = len(areas)
+            articles.append(what)
+        stack.append((name, what))
+    yield from flush()
+
+
+def blocks(page: str) -> list[tuple[int, str]]:
+    """``(mark, text)`` of the blocks of a page, in order.
+
+    A form around paragraphs or headings with more text than all that stands outside of such areas is the
+    page's frame, not a form. A menu or page header without an end tag ends with its first block. An article
+    inside an area is the page's where none stands outside of one and there is no more text without a mark;
+    not so in hidden parts and reader comments."""
+    found = list(_parts(page))
+    outside = sum(len(text) for text, areas, _ in found if not areas)
+    own: dict[Area, int] = {}
+    for text, areas, _ in found:
+        if len(areas) == 1 and areas[0].form and areas[0].rich:
+            own[areas[0]] = own.get(areas[0], 0) + len(text)
+    frames = {area for area, n in own.items() if n > outside}
+
+    def holds(area: Area, at: int) -> bool:
+        return area.hard or area not in frames and (area.closed or area.bound is None or at < area.bound)
+
+    marks = []
+    for at, (_, areas, article) in enumerate(found):
+        live = [holds(a, at) for a in areas]
+        if article is None:
+            marks.append(ASIDE if any(live) else PLAIN)
+        elif any(live[article:]) or any(a.hard for a in areas[:article]):
+            marks.append(ASIDE)
+        else:
+            marks.append(WRAPPED if any(live[:article]) else ARTICLE)
+    size = [0] * 4
+    for mark, (text, _, _) in zip(marks, found, strict=True):
+        size[mark] += len(text)
+    wrapped = ASIDE if size[ARTICLE] or size[WRAPPED] < size[PLAIN] else ARTICLE
+    return [(wrapped if mark == WRAPPED else mark, text) for mark, (text, _, _) in zip(marks, found, strict=True)]
+
+
+def has_article(page: str) -> bool:
+    """Whether a block of the page is marked as its article; read no further than needed."""
+    if any(not areas and article is not None for _, areas, article in _parts(page)):
+        return True
+    return any(mark == ARTICLE for mark, _ in blocks(page))
 
 
 def repeated(streams: list[list[str]]) -> list[np.ndarray]:
@@ -236,8 +336,10 @@ def host_of(url: Column) -> Column:
 def extract_pages(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
-    A host's pages meet in one task, in one suffix array; the runs of a host of more than ``SHARD_PAGES`` pages
-    or ``SHARD_CHARS`` characters are counted over all its tasks, with the same result."""
+    Repeats are looked for on hosts that have a page without an article; the pages of all other hosts take one
+    map and are neither shuffled nor stored. A host's pages meet in one task, in one suffix array; the runs of a
+    host of more than ``SHARD_PAGES`` pages or ``SHARD_CHARS`` characters are counted over all its tasks, with
+    the same result."""
     parsed_schema = "page_id long, url string, host string, place long, marks binary, blocks array<string>"
     names = [x.split()[0] for x in parsed_schema.split(", ")]
     made = "page_id long, url string, text string, n_chars long"
@@ -285,23 +387,44 @@ def extract_pages(pages: DataFrame, page: str = "page_id", url: str = "url", htm
             covered.append(np.cumsum(depth) > 0)
         return result(rows, covered)
 
-    sizes = pages.select(host_of(F.col(url)).alias("host"), F.length(html).cast("long").alias("chars"))
-    hosts = sizes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
-    large = stored(hosts.filter((F.col("n") > SHARD_PAGES) | (F.col("chars") > SHARD_CHARS)).select("host", F.lit(True).alias("large")), "large-hosts")
-    few = large.count() <= BROADCAST_HOSTS
+    def survey(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sources = batch.column(1).to_pylist()
+        chars, bare = pa.array([len(x) for x in sources], pa.int64()), pa.array([not has_article(x) for x in sources], pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(0), chars, bare], names=["host", "chars", "bare"])
+
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.to_pylist()
+        return result(rows, [np.zeros(0, bool)] * len(rows))
+
+    def parsed(df: DataFrame) -> DataFrame:
+        return df.select("page_id", "url", "host", "place", "html").mapInArrow(in_batches(parse), parsed_schema)
+
     given = pages.select(
         F.col(page).cast("long").alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"),
         F.monotonically_increasing_id().alias("place"), F.coalesce(F.col(html), F.lit("")).alias("html"),
     )
-    sized = given.join(F.broadcast(large) if few else large, "host", "left")
-    columns = ["page_id", "url", "host", "place", "html"]
-    together = sized.filter("large is null").select(*columns).mapInArrow(in_batches(parse), parsed_schema).repartition("host").sortWithinPartitions("host")
-    small = together.mapInArrow(extract, made)
-    if large.limit(1).count() == 0:
-        return small
-    parsed = stored(sized.filter("large").select(*columns).mapInArrow(in_batches(parse), parsed_schema), "large-pages")
-    runs = _repeated_runs(parsed).groupBy("place").agg(F.collect_list("at").alias("at"))
+    seen = given.select("host", "html").mapInArrow(in_batches(survey), "host string, chars long, bare boolean")
+    hosts = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.max("bare").alias("bare"))
+    large = (F.col("n") > SHARD_PAGES) | (F.col("chars") > SHARD_CHARS)
+    asked = stored(hosts.filter("bare").select("host", large.alias("large")), "asked-hosts")
+    kinds = {r["large"]: r["n"] for r in asked.groupBy("large").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not kinds:
+        return parsed(given).mapInArrow(in_batches(own), made)
+    if sum(kinds.values()) <= BROADCAST_HOSTS:
+        sized = given.join(F.broadcast(asked), "host", "left")
+        part = {kind: parsed(sized.filter(kind)) for kind in ("large is null", "not large", "large")}
+    else:
+        # Texts, not pages, are moved to the many hosts.
+        sized = stored(parsed(given).join(asked, "host", "left"), "sized-pages")
+        part = {kind: sized.filter(kind).drop("large").select(*names) for kind in ("large is null", "not large", "large")}
+    alone = part["large is null"].mapInArrow(in_batches(own), made)
+    together = part["not large"].repartition("host").sortWithinPartitions("host")
+    out = alone.union(together.mapInArrow(extract, made)) if False in kinds else alone
+    if True not in kinds:
+        return out
+    whole = stored(part["large"], "large-pages")
+    runs = _repeated_runs(whole).groupBy("place").agg(F.collect_list("at").alias("at"))
     # Pages with an article need no runs and stay where they are.
-    marked = parsed.filter(_marked()).withColumn("at", F.lit(None).cast("array<long>"))
-    other = parsed.filter(~_marked()).join(runs, "place", "left").select(*marked.columns)
-    return small.union(marked.mapInArrow(in_batches(counted), made)).union(other.mapInArrow(in_batches(counted), made))
+    marked = whole.filter(_marked()).withColumn("at", F.lit(None).cast("array<long>"))
+    other = whole.filter(~_marked()).join(runs, "place", "left").select(*marked.columns)
+    return out.union(marked.mapInArrow(in_batches(counted), made)).union(other.mapInArrow(in_batches(counted), made))

@@ -35,6 +35,27 @@ def test_query_on_the_tables(spark, sf):
         ("x < y <3 &lt;tag&gt;", "x < y <3 <tag>"),
         ("<p title='a > b' hidden>no</p><p title='a > b'>yes</p>", "yes"),
         ("", ""),
+        # Frames whose names only mention what a page has.
+        ("<div class='layout with-sidebar'><article><p>whole story</p></article></div>", "whole story"),
+        ("<div class='layout with-sidebar'><p>whole story</p></div><div class='sidebar-left'>no</div>", "whole story"),
+        ("<div id='page' class='has-footer no-ads'><article>whole story</article><footer>no</footer></div>", "whole story"),
+        ("<div class='content-sidebar-wrap'><p>whole story<div class='siteFooter'>no</div></div>", "whole story"),
+        ("<div class='sidebar'><article>whole story</article></div>", "whole story"),
+        # A whole page in a form, with and without an article; a form on its own.
+        ("<form id='aspnetForm'><nav>no</nav><article><p>whole story</p></article></form>", "whole story"),
+        ("<form id='aspnetForm'><nav>no</nav><p>whole story</p><input></form>", "whole story"),
+        ("<form><label>no</label><input></form>", ""),
+        # Menus without an end.
+        ("<body><nav><ul><li>no</li></ul><article>whole story</article></body>", "whole story"),
+        ("<body><nav><ul><li>no</li></ul><div><p>whole story</p></div></body>", "whole story"),
+        ("<body><nav><a>no</a> <a>no</a><p>whole story</p><p>goes on</p></body>", "whole story goes on"),
+        ("<body><nav><ul><li>no</li></ul><p>no</p></nav><p>yes</p>", "yes"),
+        # Teasers do not take the place of the text.
+        ("<p>the whole story</p><aside><article>teaser</article></aside>", "the whole story"),
+        ("<main>story</main><aside><article>a longer teaser</article></aside>", "story"),
+        ("<div hidden><article>no</article></div>yes", "yes"),
+        # Words in other attributes say nothing.
+        ("<article style='overflow:hidden' data-id='sidebar' title='hidden comments'>yes</article>", "yes"),
     ],
 )
 def test_blocks(source, text):
@@ -88,3 +109,23 @@ def test_odd_rows(spark):
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in pages.extract_pages(table).collect())
     assert got == [("1", "", 0), ("2", "x", 1), ("2", "x", 1), ("3", "", 0), ("None", "x", 1)]
     assert pages.extract_pages(table.limit(0)).count() == 0
+
+
+def test_has_article_is_that_of_blocks(spark, sf):
+    given = [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    given += ["<p>a</p>", "<nav><article>a", "<aside><article>a</article></aside><p>long text</p>", "<main></main>x", ""]
+    for source in given:
+        assert pages.has_article(source) == any(mark == pages.ARTICLE for mark, _ in pages.blocks(source))
+
+
+def test_hosts_of_each_kind(spark, monkeypatch):
+    """Hosts without repeats to look for, small and large ones, give the same however they meet."""
+    made = [(k, f"http://h{k % 3}/{k}", f"<article>own {k}</article>" if k % 3 == 0 else unmarked(k)) for k in range(30)]
+    made += [(100 + k, "http://h2/", unmarked(100 + k)) for k in range(5)]
+    table = spark.createDataFrame(made, "page_id long, url string, html string")
+    want = sorted(map(tuple, pages.extract_pages(table).collect()))
+    assert len(want) == 35 and not any("fine stories" in t for _, _, t, _ in want)
+    monkeypatch.setattr(pages, "SHARD_PAGES", 12)
+    assert sorted(map(tuple, pages.extract_pages(table).collect())) == want
+    monkeypatch.setattr(pages, "BROADCAST_HOSTS", 0)
+    assert sorted(map(tuple, pages.extract_pages(table).collect())) == want
