@@ -144,15 +144,42 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int
 #: Fixed point of a word's margin, beside its feature count in the low bits of one integer.
 COUNT_BITS = 24
 SCALE = 1 << 12
+#: Bytes of a word beyond which its features are hashed in blocks and its sums kept apart.
+LONG, BLOCK = 1 << 14, 1 << 18
+LONG_WORD = -(1 << 62)
+CRC = np.array([zlib.crc32(bytes([k]), 0xFFFFFFFF) ^ 0xFFFFFFFF for k in range(256)], np.uint32)
+
+
+def long_sums(word: bytes, margins: np.ndarray, s: Settings) -> tuple[float, int]:
+    """Margin and number of the features of a word of any length, ``BLOCK`` n-grams at a time."""
+    text = f"<{word.decode().lower() if s.lower else word.decode()}>".encode()
+    data = np.frombuffer(text, np.uint8)
+    starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)).astype(np.int32)
+    total, count = float(margins[zlib.crc32(text) % s.buckets]), 1
+    for n in range(s.shortest_gram, s.longest_gram + 1):
+        grams = max(0, len(starts) - n)
+        count += grams
+        for at in range(0, grams, BLOCK):
+            end = min(at + BLOCK, grams)
+            first, size = starts[at:end], starts[at + n : end + n] - starts[at:end]
+            crc = np.full(end - at, 0xFFFFFFFF, np.uint32)
+            for k in range(int(size.max())):
+                own = np.flatnonzero(size > k)
+                crc[own] = CRC[(crc[own] ^ data[first[own] + k]) & 0xFF] ^ (crc[own] >> np.uint32(8))
+            total += float(margins[~crc % np.uint32(s.buckets)].sum(dtype=np.float64))
+    return total, count
 
 
 class WordMargins(dict):
-    """Word to its margin and feature count in one integer, remembered while there is room."""
+    """Word to its margin and feature count in one integer, remembered while there is room. Long words are
+    marked, not remembered."""
 
     def __init__(self, margins: np.ndarray, settings: Settings) -> None:
         self.margins, self.settings = margins, settings
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > LONG:
+            return LONG_WORD
         own = features(word, self.settings)
         got = (round(float(self.margins[own].sum(dtype=np.float64)) * SCALE) << COUNT_BITS) + len(own)
         if len(self) < CACHE_WORDS:
@@ -168,7 +195,10 @@ def word_margins(key: str, margins: np.ndarray, settings: Settings) -> WordMargi
 def parts_of(known: WordMargins, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Margins and feature counts of ``words``."""
     both = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    return (both >> COUNT_BITS) / SCALE, both & ((1 << COUNT_BITS) - 1)
+    margins, counts = (both >> COUNT_BITS) / SCALE, both & ((1 << COUNT_BITS) - 1)
+    for k in np.flatnonzero(both == LONG_WORD).tolist():
+        margins[k], counts[k] = long_sums(words[k], known.margins, known.settings)
+    return margins, counts
 
 
 def new_key() -> str:

@@ -62,10 +62,61 @@ def test_whole_sums_are_those_of_features():
     rng = np.random.default_rng(0)
     margins = rng.normal(size=SMALL.buckets).astype(np.float32)
     known = subwords.WordMargins(margins, SMALL)
-    for word in ("a", "straße", "x" * 5000):
-        got, count = subwords.parts_of(known, [word.encode()])
+    for word in ("a", "straße", "x" * 5000, "Aé漢😀" * 9000, "b" * 17_000):
+        got, count = subwords.parts_of(known, [b"a", word.encode(), b"a"])
         own = subwords.features(word.encode(), SMALL)
-        assert count[0] == len(own) and abs(got[0] - margins[own].sum(dtype=np.float64)) < 1e-3
+        assert count[1] == len(own) and abs(got[1] - margins[own].sum(dtype=np.float64)) < 1e-3
+        assert got[0] == got[2]
+
+
+def test_a_word_of_millions_of_characters(monkeypatch):
+    monkeypatch.setattr(subwords, "BLOCK", 1 << 16)
+    known = subwords.WordMargins(np.full(SMALL.buckets, 0.001, np.float32), SMALL)
+    word = b"QUJD" * 1_500_000
+    got, count = subwords.parts_of(known, [word])
+    assert count[0] == 1 + sum(len(word) + 2 - n + 1 for n in (3, 4, 5))
+    assert abs(got[0] / count[0] - 0.001) < 1e-6 and not known
+
+
+def plain_words(text):
+    words = text.encode().split()
+    return ["=" if k and w == words[k - 1] else w.decode() for k, w in enumerate(words)]
+
+
+def plain_margins(text, margins, s):
+    """Margin and number of the features of each word, one n-gram at a time."""
+    out = []
+    for w in plain_words(text):
+        marked = f"<{w.lower() if s.lower else w}>"
+        grams = [marked] + [marked[k : k + n] for n in (3, 4, 5) for k in range(len(marked) - n + 1)]
+        out.append((sum(float(margins[zlib.crc32(g.encode()) % s.buckets]) for g in grams), len(grams)))
+    return out
+
+
+def plain_quality(sums):
+    return sum(m for m, _ in sums) / max(1, sum(n for _, n in sums))
+
+
+def plain_toxicity(sums):
+    last = max(0, len(sums) - 6)
+    windows = [sums[a : a + 6] for a in [*range(0, last, 2), last]]
+    return max(sum(m for m, _ in w) / max(1, sum(n for _, n in w)) for w in windows) if sums else 0.0
+
+
+@pytest.mark.parametrize("module,score,plain", [(quality, quality.score_quality, plain_quality), (toxicity, toxicity.score_toxicity, plain_toxicity)])
+def test_every_score_is_that_of_plain_python(spark, monkeypatch, module, score, plain):
+    """All texts of the small tables, and one with a word beyond the size kept whole."""
+    folder, kept = "/root/testdata/sf0.001", []
+    own = module.train
+    monkeypatch.setattr(module, "train", lambda *a: kept.append(own(*a)) or kept[-1])
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(10**9, "plain words " + "aGk9é" * 5000 + " and more")], docs.schema))
+    got = {r["doc_id"]: r["score"] for r in score(docs, spark.read.parquet(f"{folder}/labels.parquet"), settings=SMALL).collect()}
+    margins, offset = kept[0].margins(), kept[0].offset()
+    assert np.abs(margins).max() > 0
+    for r in docs.collect():
+        want = 1 / (1 + np.exp(-(plain(plain_margins(r["text"] or "", margins, SMALL)) + offset)))
+        assert abs(got[r["doc_id"]] - want) < 1e-3
 
 
 @pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
