@@ -1,4 +1,4 @@
-"""SQL counterparts of the queries on spelling variants and conversation tries."""
+"""SQL counterparts of the queries on repeated passages, spelling variants and conversation tries."""
 
 from __future__ import annotations
 
@@ -73,3 +73,17 @@ SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
 FROM valued v JOIN totals USING (depth, prefix) LEFT JOIN ends USING (depth, prefix)
 LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.prefix = v.above
 """
+
+#: Ids that are null come after all others, as in the operator.
+REPEATED_WINDOWS = r"""
+WITH texts AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT place, doc_id, unnest(range(1, len(words) - 11)) AS pos, words FROM texts WHERE len(words) >= 13),
+windows AS (SELECT place, doc_id, pos, array_to_string(list_slice(words, pos, pos + 12), ' ') AS win FROM starts),
+firsts AS (SELECT win, min(doc_id) AS first FROM windows GROUP BY win HAVING count(*) > 1),
+hits AS (SELECT place, pos FROM windows JOIN firsts USING (win) WHERE first < doc_id OR doc_id IS NULL AND first IS NOT NULL),
+gone AS (SELECT DISTINCT place, unnest(range(pos, pos + 13)) AS pos FROM hits),
+each AS (SELECT place, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM texts),
+kept AS (SELECT place, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM each ANTI JOIN gone USING (place, pos) GROUP BY place)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (place)
+"""

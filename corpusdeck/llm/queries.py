@@ -41,6 +41,9 @@ def op10_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op10_fm_index_substrings"] = oracle_sql.REPEATED_WINDOWS
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 

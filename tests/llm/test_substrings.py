@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 from corpusdeck.llm import substrings
-from corpusdeck.llm.queries import QUERIES
+from corpusdeck.llm.queries import ORACLES, QUERIES
+from oracle_check import compare, connect
 
 
 def brute(rows, window):
@@ -24,6 +25,11 @@ def brute(rows, window):
     return sorted(out, key=repr)
 
 
+def test_query_equals_sql(spark):
+    said = compare(spark, connect("0.001"), "0.001", QUERIES["op10_fm_index_substrings"], ORACLES["op10_fm_index_substrings"])
+    assert said.startswith("ok"), said
+
+
 def test_query_is_brute_force(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = [(d, n, r, hashlib.sha256(k.encode()).hexdigest()) for d, n, r, k in brute(docs, 13)]
