@@ -51,11 +51,11 @@ def keyword_extract(
     scores rank by keyword.
     """
     tf = term_frequencies(df, stops, n, doc, text)
-    spread = tf.groupBy("keyword").agg(F.count("*").alias("df"))
+    # Most terms stand in one document; only those that stand in more are looked up.
+    spread = tf.groupBy("keyword").agg(F.count("*").alias("df")).filter("df > 1")
     corpus = df.agg(F.count("*")).scalar()
-    weighed = attach_by_key(tf, spread, "keyword", "df", F.col(doc)).select(
-        doc, "keyword", (F.col("tf") * (F.log((1 + corpus) / (1 + F.col("df"))) + 1)).alias("weight")
-    )
+    met = attach_by_key(tf, spread, "keyword", "df", F.col(doc), how="left").withColumn("df", F.coalesce("df", F.lit(1)))
+    weighed = met.select(doc, "keyword", (F.col("tf") * (F.log((1 + corpus) / (1 + F.col("df"))) + 1)).alias("weight"))
     ranked = weighed.withColumn(
         "rank", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("weight"), "keyword"))
     ).withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc))))

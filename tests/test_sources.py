@@ -76,3 +76,32 @@ def test_latest_run(spark, tmp_path):
         runs.append_run(runs.run_record(info, {"sentiment": model}, F.lit(stamp).cast("timestamp")), path)
     row = runs.latest_run(spark, path).first()
     assert (row.artifacts, row.samples, row.version) == ({"sentiment": "new"}, 15, "2.0")
+
+
+def test_list_layout_keeps_every_record(spark, tmp_path, monkeypatch):
+    """Lists over several files, with quotes, line breaks, nulls and equal rows, come back as they were."""
+    monkeypatch.setattr(records, "LIST_ROWS", 7)
+    rows = [("sentiment", f'a "{k % 20}",\n[b] {{c}}', 0.5 if k % 3 else None) for k in range(40)]
+    given = spark.createDataFrame(rows, "type string, text string, confidence double")
+    target = str(tmp_path / "store")
+    records.write_training(given, target, layout="list")
+    got = records.read_training(spark, target, "part", "list", ".txt").select("type", "text", "confidence")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, given.collect()))
+    empty = str(tmp_path / "empty")
+    records.write_training(given.limit(0), empty, layout="list")
+    assert records.read_training(spark, empty, "part", "list", ".txt").count() == 0
+
+
+def test_list_layout_odd_files(spark, tmp_path):
+    def file(name, text):
+        (tmp_path / f"{name}.json").write_text(text)
+
+    file("training_data_1", ' \n [{"type": "entity", "text": "kept", "confidence": "high"}]')
+    file("training_data_2", '{"type": "entity", "text": "alone", "x": [1, 2]}')
+    file("training_data_3", '[{"type": "entity", "text": "cut"}, {')
+    file("training_data_4", "[]")
+    file("training_data_5", "")
+    file("training_data_6", '[{"type": "entity", "text": "other", "extra": {"a": [1]}, "score": 2}, {}]')
+    file("notes", '[{"type": "entity", "text": "notes"}]')
+    got = records.read_training(spark, str(tmp_path), layout="list").select("text", "confidence", "score").collect()
+    assert sorted(map(tuple, got), key=repr) == [("kept", None, None), ("other", None, 2.0), (None, None, None)]

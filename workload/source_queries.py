@@ -73,6 +73,17 @@ def training_scan(spark, sf):
     return store.read_training(spark, path).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("training_scan_list", ORACLES["training_scan"])
+def training_scan_list(spark, sf):
+    """The list layout, beside a file that breaks off and one that holds an object alone."""
+    path = scratch_path(spark, "training-list")
+    store.write_training(records(spark, sf), path, layout="list")
+    strays = [('[{"type": "sentiment", "text": "cut"}, {"type"',), ('{"type": "sentiment", "text": "alone"}',)]
+    for k, row in enumerate(strays):
+        spark.createDataFrame([row], "value string").coalesce(1).write.text(f"{path}/stray-{k}")
+    return store.read_training(spark, path, "part", "list", ".txt").withColumn("confidence", F.round("confidence", 6))
+
+
 @query("patterns_sink", ORACLES["mine_patterns"])
 def patterns_sink(spark, sf):
     path = scratch_path(spark, "patterns")
