@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from corpusdeck.functions.text import drop_words, token_ngrams, word_tokens
 from corpusdeck.functions.vectors import dot
 from corpusdeck.operators.embeddings import unit
 from corpusdeck.operators.nearest import unit_rows
-from corpusdeck.operators.skew import attach_by_key, lookup
+from corpusdeck.operators.skew import lookup
+from corpusdeck.operators.terms import best_rows, by_shard, shard_count, shard_terms, sharded_words
 
 
 def ngram_candidates(
@@ -30,17 +32,6 @@ def ngram_candidates(
     return staged.withColumn(out, F.concat(*grams)).drop("_words")
 
 
-def term_frequencies(
-    df: DataFrame, stops: Iterable[str] = STOPS, n: int = 2, doc: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """``(doc, keyword, tf)``. The texts are partitioned by document *before* they fan out, which
-    already satisfies the grouping by (document, keyword): the many term rows are not shuffled."""
-    placed = df.select(doc, text).repartition(doc)
-    terms = ngram_candidates(placed, stops, n, text).select(doc, F.explode_outer("candidates").alias("keyword"))
-    # Outer, because the inner form adds an emptiness filter that computes the candidates again.
-    return terms.filter(F.col("keyword").isNotNull()).groupBy(doc, "keyword").agg(F.count("*").alias("tf"))
-
-
 def keyword_extract(
     df: DataFrame, stops: Iterable[str] = STOPS, top_n: int = 20, n: int = 2, doc: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -49,19 +40,50 @@ def keyword_extract(
     The score is the cosine between document and candidate in TF-IDF space, i.e. the candidate's
     share of the document's unit-length TF-IDF vector, with idf = ln((1+N)/(1+df)) + 1. Equal
     scores rank by keyword.
+
+    Terms are counted in shards of documents. A shard's distinct terms leave it with the number of its documents
+    that have them, so a term has at most as many rows as there are shards; the idf of those that stand in
+    several documents comes back by the term's number.
     """
-    tf = term_frequencies(df, stops, n, doc, text)
-    # Most terms stand in one document; only those that stand in more are looked up.
-    spread = tf.groupBy("keyword").agg(F.count("*").alias("df")).filter("df > 1")
-    corpus = df.agg(F.count("*")).scalar()
-    met = attach_by_key(tf, spread, "keyword", "df", F.col(doc), how="left").withColumn("df", F.coalesce("df", F.lit(1)))
-    weighed = met.select(doc, "keyword", (F.col("tf") * (F.log((1 + corpus) / (1 + F.col("df"))) + 1)).alias("weight"))
-    ranked = weighed.withColumn(
-        "rank", F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("weight"), "keyword"))
-    ).withColumn("norm", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(doc))))
-    return ranked.filter(F.col("rank") <= top_n).select(
-        doc, "rank", "keyword", (F.col("weight") / F.col("norm")).alias("score")
-    )
+
+    def idf(df: Column, corpus: Column) -> Column:
+        return F.log((1 + corpus) / (1 + df)) + 1
+
+    rows = F.count("*")
+    size = df.agg(rows.alias("corpus"), F.sum(F.length(text)).alias("chars"), idf(F.lit(1), rows).alias("alone")).first()
+    shards, alone = shard_count(size.chars), size.alone
+    words = sharded_words(df, shards, stops, doc, text)
+
+    def counted(table: pa.Table) -> pa.Table:
+        own = shard_terms(table, n, doc)
+        at = np.arange(own.size)
+        shard = np.full(own.size, table["_shard"][0].as_py(), np.int32)
+        documents = np.bincount(own.term, minlength=own.size)
+        return pa.table({"_shard": shard, "at": at.astype(np.int32), "keyword": own.keywords(at), "own": documents})
+
+    each = words.groupBy("_shard").applyInArrow(counted, "_shard int, at int, keyword string, own long")
+    summed = each.withColumn("df", F.sum("own").over(Window.partitionBy("keyword"))).filter("df > 1")
+    spread = by_shard(summed.select("_shard", "at", idf(F.col("df"), F.lit(size.corpus)).alias("idf")), shards)
+
+    def ranked(table: pa.Table, shared: pa.Table) -> pa.Table:
+        own = shard_terms(table, n, doc)
+        rarity = np.full(own.size, alone)
+        rarity[shared["at"].to_numpy()] = shared["idf"].to_numpy()
+        weight = own.tf * rarity[own.term]
+        order = np.lexsort((own.term, -weight, own.owner))
+        starts, kept, rank = best_rows(own.owner, order, top_n)
+        weight = weight[order]
+        # Added one by one from the largest on, so the sum is the same wherever it is made.
+        norms = np.array([np.sqrt(np.cumsum(w * w)[-1]) for w in np.split(weight, starts[1:-1]) if len(w)])
+        chosen = order[kept]
+        norm = np.repeat(norms, np.diff(starts))[kept]
+        ids = own.docs.take(pa.array(own.owner[chosen]))
+        columns = [ids, pa.array(rank.astype(np.int32)), own.keywords(own.term[chosen]), pa.array(weight[kept] / norm)]
+        return pa.table(columns, names=[doc, "rank", "keyword", "score"])
+
+    kind = df.schema[doc].dataType.simpleString()
+    both = words.groupBy("_shard").cogroup(spread.groupBy("_shard"))
+    return both.applyInArrow(ranked, f"{doc} {kind}, rank int, keyword string, score double")
 
 
 def keyword_extract_by_vectors(

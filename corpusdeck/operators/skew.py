@@ -16,9 +16,9 @@ BROADCAST_CHARS = 32 << 20
 
 
 def attach_by_key(
-    facts: DataFrame, keyed: DataFrame, key: str, weight: str, salt: Column, floor: int = HOT_FLOOR, how: str = "inner"
+    facts: DataFrame, keyed: DataFrame, key: str, weight: str, salt: Column, floor: int = HOT_FLOOR
 ) -> DataFrame:
-    """Inner or left join of ``facts`` with ``keyed``, one row per ``key`` (null is a key as well), where ``keyed[weight]``
+    """Inner join of ``facts`` with ``keyed``, one row per ``key`` (null is a key as well), where ``keyed[weight]``
     is the number of fact rows with that key (or a bound on it).
 
     Hot keys are spread over ``ceil(weight / limit)`` salts, so no task gets more than ``limit``
@@ -37,7 +37,7 @@ def attach_by_key(
         "_key_salt", F.explode(F.sequence(F.lit(0), F.greatest("_salts", F.lit(1)) - 1))
     ).drop("_salts")
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_key_salt"))
-    return salted_facts.join(salted_keys, same, how).drop("_salt", "_key", "_key_salt")
+    return salted_facts.join(salted_keys, same).drop("_salt", "_key", "_key_salt")
 
 
 def fits(table: DataFrame, max_rows: int = BROADCAST_ROWS, max_chars: int = BROADCAST_CHARS) -> bool:

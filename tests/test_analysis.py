@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -152,6 +153,30 @@ def test_keywords_against_brute_force(spark):
     assert rows == brute_keywords(texts, 5)
 
 
+def test_keyword_shards_send_terms_and_no_documents(spark):
+    rng = random.Random(11)
+    words = ["alpha", "Beta", "be", "éta", "x1", "日本"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, ""]
+    rows = [(None if i % 20 == 7 else i // 2, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = {}
+    for i, t in rows:
+        found = (t or "").lower().split()
+        for g in found + [f"{a} {b}" for a, b in zip(found, found[1:])]:
+            own.setdefault(i, Counter())[g] += 1
+    spread = Counter(g for c in own.values() for g in c)
+    want = set()
+    for i, c in own.items():
+        weights = {g: tf * (math.log((1 + len(rows)) / (1 + spread[g])) + 1) for g, tf in c.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        best = sorted(weights.items(), key=lambda x: (-round(x[1], 12), x[0].encode()))[:6]
+        want |= {(i, rank, g, round(w / norm, 9)) for rank, (g, w) in enumerate(best, 1)}
+    got = kw.keyword_extract(df, (), 6)
+    assert {(r.doc_id, r.rank, r.keyword, round(r.score, 9)) for r in got.collect()} == want
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("doc_id" in k for k in keys), keys
+
+
 def test_stop_words_go_before_bigrams(spark):
     got = kw.ngram_candidates(docs(spark, "silk of the Moon a x"), ["of", "the"]).first().candidates
     assert got == ["silk", "moon", "silk moon"]
