@@ -109,3 +109,15 @@ def test_array_helpers(spark):
         bind(F.size("a"), lambda n: n + n).alias("twice"),
     ).first()
     assert (row.longer, row.shorter, row.m, row.twice) == ([1, 3, 3, 0, 0], [1, 3], 1, 6)
+
+
+def test_default_lexicons_lower_case_a_text_once(spark, tmp_path):
+    from workload.catalog import QUERIES
+
+    rows = [(1, "RUNWAY and Silk of the moon"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["default_lexicons"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text") == 1, plan
+    found = {r.doc_id: r for r in got.collect()}
+    assert (found[1].gate, found[1].patterns, found[1].content_words) == (1, 1, 3) and found[2].content_words == 0

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusdeck import defaults
+from corpusdeck.functions.arrays import bind
 from corpusdeck.functions import text as tx
 from corpusdeck.operators import filters as fl
 from corpusdeck.operators.keywords import keyword_extract
@@ -83,13 +84,17 @@ _DEFAULT_LEXICONS = {
 @query("default_lexicons", _default_lexicons_sql())
 def default_lexicons(spark, sf):
     """Distinct words of each default lexicon in a text, and its words without default stop words."""
-    lc = F.lower("text")
-    counts = [
-        F.size(F.filter(F.array(*[F.lit(w) for w in sorted(set(words))]), lambda w: F.contains(lc, w))).cast("bigint").alias(name)
-        for name, words in _DEFAULT_LEXICONS.items()
-    ]
-    kept = F.size(tx.drop_words(tx.word_tokens(lc), defaults.STOPS)).cast("bigint").alias("content_words")
-    return fx.docs(spark, sf).select("doc_id", *counts, kept)
+
+    def counted(lc):
+        counts = [
+            F.size(F.filter(F.array(*[F.lit(w) for w in sorted(set(words))]), lambda w: F.contains(lc, w))).cast("bigint").alias(name)
+            for name, words in _DEFAULT_LEXICONS.items()
+        ]
+        kept = F.size(tx.drop_words(tx.word_tokens(lc), defaults.STOPS)).cast("bigint").alias("content_words")
+        return F.struct(*counts, kept)
+
+    # The text is lower-cased once, not for each word of the lexicons.
+    return fx.docs(spark, sf).select("doc_id", bind(F.lower("text"), counted).alias("c")).select("doc_id", "c.*")
 
 
 @query("preview", f"SELECT doc_id, {fr.PREVIEW} AS text_preview FROM documents")
