@@ -7,17 +7,14 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdeck.defaults import STOPS
-from corpusdeck.functions.arrays import bind
 from corpusdeck.functions.text import drop_words, token_ngrams, word_tokens
-from corpusdeck.functions.vectors import dot
-from corpusdeck.operators.embeddings import unit
 from corpusdeck.operators.nearest import unit_rows
-from corpusdeck.operators.skew import lookup
-from corpusdeck.operators.terms import best_rows, by_shard, shard_count, shard_terms, sharded_words
+from corpusdeck.operators.terms import best_rows, by_shard, flat_words, shard_count, shard_terms, sharded_words
 
 
 def ngram_candidates(
@@ -99,34 +96,70 @@ def keyword_extract_by_vectors(
     """Top candidates by cosine between the document's vector and the candidate's, both means of
     word vectors ``(word, vector)`` of ``size`` dimensions: ``(doc, rank, keyword, score, embedding)``.
 
-    ``doc`` is a key. A document's distinct words meet their vectors in one join and come back to it as a
-    map, in which its candidates are looked up row by row. Words without a vector count as zero.
+    ``doc`` is a key. A shard's distinct words leave it and come back with their vectors, by number; its
+    documents look their words and candidates up there. Words without a vector count as zero.
     """
-    words = drop_words(word_tokens(F.lower(text), 2), stops)
-    placed = df.select(doc, text).repartition(doc)
-    each = placed.select(doc, F.explode_outer(F.array_distinct(words)).alias("word")).filter("word is not null")
-    known = lookup(each, vectors.select("word", "vector"), "word", F.col(doc)).groupBy(doc).agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "vector"))).alias("_known")
-    )
-    zero = F.array_repeat(F.lit(0.0), size)
+    shards = shard_count(df.agg(F.sum(F.length(text))).first()[0])
+    words = sharded_words(df, shards, stops, doc, text)
 
-    def mean_of(own: Column, of: Column) -> Column:
-        added = F.aggregate(of, zero, lambda a, w: F.zip_with(a, F.coalesce(own[w], zero), lambda x, y: x + y))
-        return unit(added)
+    def listed(table: pa.Table) -> pa.Table:
+        vocab = flat_words(table, doc)[0]
+        shard = np.full(len(vocab), table["_shard"][0].as_py(), np.int32)
+        return pa.table({"_shard": shard, "at": np.arange(len(vocab), dtype=np.int32), "word": vocab})
+
+    each = words.groupBy("_shard").applyInArrow(listed, "_shard int, at int, word string")
+    # A word has at most as many rows as there are shards.
+    met = each.join(vectors.select("word", "vector"), "word").select("_shard", "at", "vector")
+    known = by_shard(met, shards)
+
+    def ranked(table: pa.Table, own: pa.Table) -> pa.Table:
+        terms = shard_terms(table, n, doc)
+        matrix = np.zeros((len(terms.vocab), size))
+        if own.num_rows:
+            vector = pc.list_flatten(own["vector"].combine_chunks()).to_numpy(zero_copy_only=False)
+            matrix[own["at"].to_numpy()] = vector.reshape(-1, size)
+        _, number, row, docs = flat_words(table, doc)
+        of = docs.indices.to_numpy().astype(np.int64)[row]
+        inside = np.argsort(of, kind="stable")
+        text_starts = np.searchsorted(of[inside], np.arange(len(terms.docs) + 1))
+        term_starts = np.searchsorted(terms.owner, np.arange(len(terms.docs) + 1))
+        chosen, ranks, scores, embedded = [], [], [], []
+        for d in range(len(terms.docs)):
+            at = terms.term[term_starts[d] : term_starts[d + 1]]
+            if not len(at):
+                continue
+            whole = unit_rows(_summed(matrix, number[inside[text_starts[d] : text_starts[d + 1]]])[None])[0]
+            vector = np.zeros((len(at), size))
+            for head in terms.heads:
+                there = head[at] >= 0
+                vector[there] += matrix[head[at][there]]
+            vector = unit_rows(vector)
+            score = np.round(vector @ whole, 9)
+            # Terms are numbered in the order of keywords.
+            best = np.argsort(-score, kind="stable")[:top_n]
+            chosen.append(np.stack([np.full(len(best), d), at[best]]))
+            ranks.append(np.arange(1, len(best) + 1, dtype=np.int32))
+            scores.append(score[best])
+            embedded.append(vector[best])
+        owner, at = np.concatenate(chosen, axis=1) if chosen else np.zeros((2, 0), np.int64)
+        flat = np.concatenate(embedded).ravel() if embedded else np.zeros(0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), pa.array(flat))
+        rank = np.concatenate(ranks) if ranks else np.zeros(0, np.int32)
+        score = np.concatenate(scores) if scores else np.zeros(0)
+        columns = [terms.docs.take(pa.array(owner)), pa.array(rank), terms.keywords(at), pa.array(score), lists]
+        return pa.table(columns, names=[doc, "rank", "keyword", "score", "embedding"])
 
-    staged = ngram_candidates(placed, stops, n, text).withColumn("_words", words).drop(text).join(known, doc, "left")
-    whole = staged.withColumn("_doc", mean_of(F.col("_known"), F.col("_words")))
+    kind = df.schema[doc].dataType.simpleString()
+    both = words.groupBy("_shard").cogroup(known.groupBy("_shard"))
+    return both.applyInArrow(ranked, f"{doc} {kind}, rank int, keyword string, score double, embedding array<double>")
 
-    def scored(keyword: Column) -> Column:
-        own = mean_of(F.col("_known"), F.split(keyword, " "))
-        score = bind(own, lambda v: F.struct(F.round(dot(F.col("_doc"), v), 9).alias("score"), v.alias("embedding")))
-        return F.struct((-score["score"]).alias("less"), keyword.alias("keyword"), score["embedding"].alias("embedding"))
 
-    best = F.slice(F.array_sort(F.transform(F.array_distinct("candidates"), scored)), 1, top_n)
-    rows = whole.select(doc, F.posexplode(best).alias("_at", "_x"))
-    return rows.select(
-        doc, (F.col("_at") + 1).alias("rank"), "_x.keyword", (-F.col("_x.less")).alias("score"), "_x.embedding"
-    )
+def _summed(matrix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of rows ``at`` of ``matrix``, a block at a time."""
+    total = np.zeros(matrix.shape[1])
+    for k in range(0, len(at), 4_096):
+        total += matrix[at[k : k + 4_096]].sum(axis=0)
+    return total
 
 
 def nest_keywords(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -289,6 +289,21 @@ def test_vector_keywords_against_brute_force(spark):
     assert diverse.groupBy("doc_id").count().filter("count > 2").count() == 0
 
 
+def test_vector_keywords_send_a_word_once_for_a_shard(spark):
+    rows = [(i // 2, "silk wool moon " * 4 + f"w{i}") for i in range(40)] + [(None, "silk"), (50, None), (51, "unheard of")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([("silk", [1.0, 0.0]), ("wool", [0.0, 1.0]), ("moon", [0.6, 0.8])], "word string, vector array<double>")
+    got = kw.keyword_extract_by_vectors(df, known, 2, top_n=3)
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", got._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("doc_id" in k for k in keys), keys
+    found = {(r.doc_id, r.rank): (r.keyword, round(r.score, 6), r.embedding) for r in got.collect()}
+    # Rows of a repeated id are one document; words without a vector count as zero.
+    assert {i for i, _ in found} == {None, *range(20), 51}
+    assert found[None, 1] == ("silk", 1.0, [1.0, 0.0]) and found[51, 1] == ("unheard", 0.0, [0.0, 0.0])
+    # The document is (1.6, 1.8), the nearest candidate silk and wool, (1, 1).
+    assert found[0, 1][0] == "silk wool" and found[0, 1][1] == pytest.approx(3.4 / (1.6**2 + 1.8**2) ** 0.5 / 2**0.5, abs=1e-6)
+
+
 # Entities
 
 
