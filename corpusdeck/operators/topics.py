@@ -8,18 +8,24 @@ terms and ``k`` centres of ``vocab`` weights, nothing that grows with it.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusdeck.functions.arrays import bind
+from corpusdeck.functions.text import drop_words, token_ngrams, word_tokens
 from corpusdeck.operators.keywords import ngram_candidates
 from corpusdeck.session import stored
 
 OUTLIER = -1
 ONE = 1 << 20
+#: Words whose neighbours are looked up in the row; more of them, and all terms are counted together.
+FREQUENT = 2_000
 
 
 @dataclass(frozen=True)
@@ -92,7 +98,9 @@ def _nearest(cells: Column, centres: list[list[int]]) -> Column:
 def topic_of(candidates: Column, model: TopicModel) -> Column:
     """The topic of a document from its n-gram candidates, in the row; ``OUTLIER`` for a document that is not
     near enough to any centre, has no term of the vocabulary or no text."""
-    return _label(_nearest(term_weights(candidates, model.terms, model.idf), model.centres), model.labels, model.least)
+    # Bound, or every centre would work the weights out again.
+    nearest = bind(term_weights(candidates, model.terms, model.idf), lambda cells: _nearest(cells, model.centres))
+    return _label(nearest, model.labels, model.least)
 
 
 def _label(nearest: Column, labels: list[int], least: int) -> Column:
@@ -100,6 +108,71 @@ def _label(nearest: Column, labels: list[int], least: int) -> Column:
     return bind(nearest, lambda n: F.when(n["at"].isNotNull() & (n["score"] >= least), F.get(names, n["at"])).otherwise(F.lit(OUTLIER)))
 
 
+def _documents_with(terms: DataFrame) -> DataFrame:
+    """``(term, n)``: the rows whose array ``_terms`` has the term."""
+    spread = terms.select(F.explode_outer(F.array_distinct("_terms")).alias("term")).filter("term is not null")
+    return spread.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def _likely_terms(texts: DataFrame, stops: tuple[str, ...], vocab: int, text: str) -> DataFrame:
+    """``texts`` with ``_terms``, those words and bigrams that can be among the ``vocab`` terms in most documents.
+
+    Words are counted alone. A bigram stands in no more documents than either of its words, so with ``vocab``
+    words in at least ``n`` documents each only bigrams of such words can be among the first; they are found in
+    the row and no others are spread or shuffled. Where over ``FREQUENT`` words tie, every term is kept.
+    """
+    words = texts.withColumn("_terms", drop_words(word_tokens(F.lower(text), 2), stops))
+    counted = stored(_documents_with(words), "topic-words")
+    best = counted.orderBy(F.desc("n"), "term").limit(vocab).collect()
+    least = best[-1]["n"] if len(best) == vocab else 0
+    frequent = [r["term"] for r in counted.filter(F.col("n") >= least).limit(FREQUENT + 1).collect()]
+    if len(frequent) > FREQUENT:
+        return ngram_candidates(texts, stops, 2, text, "_terms").drop(text)
+
+    return words.withColumn("_terms", _terms_among(F.col("_terms"), frequent)).drop(text)
+
+
+def _terms_among(words: Column, chosen: list[str]) -> Column:
+    """The words and bigrams of ``words`` that are made of ``chosen`` words alone."""
+
+    def terms(own: Column) -> Column:
+        # Other words are null, and so are their bigrams.
+        return F.filter(F.concat(own, token_ngrams(own, 2)), lambda g: g.isNotNull())
+
+    if not chosen:
+        return F.slice(words, 1, 0)
+    return bind(F.transform(words, lambda w: F.when(w.isin(chosen), w)), terms)
+
+
+def _cluster_sums(cells: DataFrame, centres: list[list[int]]) -> DataFrame:
+    """``(topic, at, v)``: the sums of the weights of the documents nearest to each centre, see :func:`_nearest`.
+    All numbers stay below 2^53."""
+    schema = "topic int, at int, v long"
+    if not centres or not centres[0]:
+        return cells.sparkSession.createDataFrame([], schema)
+    matrix = np.array(centres, np.int64)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(matrix.size, np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            at, v = (pc.struct_field(flat, name).to_numpy(zero_copy_only=False) for name in ("at", "v"))
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            scores = np.stack([np.bincount(row, centre[at] * v, len(lengths)) for centre in matrix])
+            own = np.flatnonzero(scores.max(axis=0)[row] > 0)
+            place = scores.argmax(axis=0)[row[own]] * matrix.shape[1] + at[own]
+            total += np.bincount(place, v[own], matrix.size).astype(np.int64)
+        (found,) = np.nonzero(total)
+        topic, at = np.divmod(found, matrix.shape[1])
+        arrays = [pa.array(topic.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[found])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["topic", "at", "v"])
+
+    sums = cells.select("cells").mapInArrow(summed, schema)
+    return sums.groupBy("topic", "at").agg(F.sum("v").alias("v"))
+
+
 def fit_topics(
     df: DataFrame,
     stops: Iterable[str] = (),
@@ -114,19 +187,18 @@ def fit_topics(
 ) -> tuple[TopicModel, DataFrame]:
     """The model, and ``(doc, cells, topic_id)`` of every row.
 
-    The texts are read twice, for the vocabulary and for their weights; the rounds run over the stored
-    weights. Start centres are the first ``k`` distinct vectors in the order of ``md5(seed:doc)``. A cluster
+    The texts are read twice, for their words and for the likely terms; the vocabulary is counted over those, and
+    the rounds run over the stored weights. Start centres are the first ``k`` distinct vectors in the order of ``md5(seed:doc)``. A cluster
     of fewer than ``min_size`` documents and documents less than ``min_similarity`` from their centre are
     outliers. Topics are numbered by size.
     """
     stops = tuple(stops)
-    grams = ngram_candidates(df.select(doc, text), stops, 2, text)
-    spread = grams.select(F.explode_outer(F.array_distinct("candidates")).alias("term")).filter("term is not null")
-    best = spread.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(vocab).collect()
+    grams = stored(_likely_terms(df.select(doc, text), stops, vocab, text), "topic-terms")
+    best = _documents_with(grams).orderBy(F.desc("n"), "term").limit(vocab).collect()
     total = df.count()
     terms = [r["term"] for r in best]
     idf = [math.floor(ONE * (math.log((1 + total) / (1 + r["n"])) + 1) + 0.5) for r in best]
-    cells = stored(grams.select(doc, term_weights(F.col("candidates"), terms, idf).alias("cells")), "topic-weights")
+    cells = stored(grams.select(doc, term_weights(F.col("_terms"), terms, idf).alias("cells")), "topic-weights")
 
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc).cast("string"), F.lit(""))))
     vector = F.transform("cells", lambda c: F.struct(c["at"].alias("at"), c["v"].alias("v")))
@@ -138,11 +210,9 @@ def fit_topics(
 
     for _ in range(rounds):
         moved = [list(c) for c in centres]
-        near = cells.select(_nearest(F.col("cells"), centres)["at"].alias("topic"), "cells").filter("topic is not null")
-        sums = near.select("topic", F.inline("cells")).groupBy("topic", "at").agg(F.sum("v").alias("v"))
         # At most k times vocab rows.
         found: dict[int, dict[int, int]] = {}
-        for row in sums.collect():
+        for row in _cluster_sums(cells, centres).collect():
             found.setdefault(row["topic"], {})[row["at"]] = row["v"]
         for topic, own in found.items():
             moved[topic] = _units([own.get(at, 0) for at in range(len(terms))])
@@ -162,8 +232,11 @@ def fit_topics(
 
 def assign_topics(df: DataFrame, model: TopicModel, text: str = "text") -> DataFrame:
     """Add ``topic_id`` to rows of any table, without a join."""
-    grams = ngram_candidates(df, model.stops, 2, text, "_candidates")
-    return grams.withColumn("topic_id", topic_of(F.col("_candidates"), model)).drop("_candidates")
+    # Of the candidates only those made of words of the vocabulary are formed.
+    chosen = sorted({word for term in model.terms for word in term.split(" ")})
+    words = df.withColumn("_words", drop_words(word_tokens(F.lower(text), 2), model.stops))
+    known = words.withColumn("_candidates", _terms_among(F.col("_words"), chosen))
+    return known.withColumn("topic_id", topic_of(F.col("_candidates"), model)).drop("_candidates", "_words")
 
 
 def topic_words(assigned: DataFrame, model: TopicModel, top_words: int = 8) -> DataFrame:
