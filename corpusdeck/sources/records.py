@@ -62,8 +62,9 @@ def read_training(
         raise ValueError(f"unknown layout {layout!r}")
     columns = [c.split() for c in RECORD.split(", ")]
     chosen = {"pathGlobFilter": f"*{name}*{suffix}", "recursiveFileLookup": "true"}
-    # As text, so that a value of another type is no broken file.
-    loose = ", ".join(f"{c} string" for c, _ in columns) + f", {BROKEN} string"
+    # As text, so that a value of another type is no broken file. Numbers as variants: for text the reader goes back
+    # to the file for the digits of each.
+    loose = ", ".join(f"{c} {'variant' if kind == 'double' else 'string'}" for c, kind in columns) + f", {BROKEN} string"
     parsed = spark.read.options(**chosen, multiLine="true", columnNameOfCorruptRecord=BROKEN).schema(loose).json(path)
     # The reader refuses queries of the broken text alone, such as a count: one more column is looked at.
     sound = F.concat_ws("", BROKEN, F.substring("type", 1, 0)) == ""
@@ -76,7 +77,8 @@ def read_training(
     first = begins.groupBy("_path").agg(F.min_by("value", "_at").alias("_first"))
     lists = first.filter(F.col("_first").rlike(r"^\s*\[")).select("_path")
     found = lookup(records, lists, "_path", F.xxhash64("text"))
-    return found.select(*[F.expr(f"try_cast({c} AS {kind})").alias(c) for c, kind in columns])
+    values = {c: f"try_variant_get({c}, '$', 'string')" if kind == "double" else c for c, kind in columns}
+    return found.select(*[F.expr(f"try_cast({values[c]} AS {kind})").alias(c) for c, kind in columns])
 
 
 def training_stats(records: DataFrame) -> DataFrame:

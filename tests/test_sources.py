@@ -105,3 +105,20 @@ def test_list_layout_odd_files(spark, tmp_path):
     file("notes", '[{"type": "entity", "text": "notes"}]')
     got = records.read_training(spark, str(tmp_path), layout="list").select("text", "confidence", "score").collect()
     assert sorted(map(tuple, got), key=repr) == [("kept", None, None), ("other", None, 2.0), (None, None, None)]
+
+
+def test_list_layout_reads_a_file_once_for_its_records(spark, tmp_path):
+    odd = [True, "0.5", " 0.25 ", "x", 7, -1.5e-3, 12345678901234567890, {"a": 1}, [1], None]
+    rows = [{"type": "t", "text": str(k), "confidence": odd[k % len(odd)], "score": k / 7} for k in range(20_000)]
+    file = tmp_path / "training_data.json"
+    file.write_text(json.dumps(rows))
+
+    def bytes_read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    before = bytes_read()
+    got = {int(r.text): (r.confidence, r.score) for r in records.read_training(spark, str(tmp_path), layout="list").collect()}
+    # Once for the records, twice for what the file begins with.
+    assert bytes_read() - before < 5 * file.stat().st_size
+    want = [None, 0.5, 0.25, None, 7.0, -0.0015, 12345678901234567890.0, None, None, None]
+    assert got == {k: (want[k % len(odd)], k / 7) for k in range(20_000)}
