@@ -14,7 +14,17 @@ from pyspark.sql import functions as F
 from corpusdeck.defaults import STOPS
 from corpusdeck.functions.text import drop_words, token_ngrams, word_tokens
 from corpusdeck.operators.nearest import unit_rows
-from corpusdeck.operators.terms import best_rows, by_shard, flat_words, shard_count, shard_terms, sharded_words
+from corpusdeck.operators.terms import (
+    best_rows,
+    bucket_count,
+    by_shard,
+    flat_words,
+    packed,
+    shard_count,
+    shard_terms,
+    sharded_words,
+    unpacked,
+)
 
 
 def ngram_candidates(
@@ -38,36 +48,45 @@ def keyword_extract(
     share of the document's unit-length TF-IDF vector, with idf = ln((1+N)/(1+df)) + 1. Equal
     scores rank by keyword.
 
-    Terms are counted in shards of documents. A shard's distinct terms leave it with the number of its documents
-    that have them, so a term has at most as many rows as there are shards; the idf of those that stand in
-    several documents comes back by the term's number.
+    Terms are counted in shards of documents. A shard's distinct terms leave it in buckets, with the number of its
+    documents that have them; a bucket holds all shards' counts of its terms, and sends each shard the sums in the
+    order in which its terms came.
     """
-
-    def idf(df: Column, corpus: Column) -> Column:
-        return F.log((1 + corpus) / (1 + df)) + 1
-
-    rows = F.count("*")
-    size = df.agg(rows.alias("corpus"), F.sum(F.length(text)).alias("chars"), idf(F.lit(1), rows).alias("alone")).first()
-    shards, alone = shard_count(size.chars), size.alone
+    size = df.agg(F.count("*").alias("corpus"), F.sum(F.length(text)).alias("chars")).first()
+    corpus, shards = size.corpus, shard_count(size.chars)
+    buckets = bucket_count(shards)
     words = sharded_words(df, shards, stops, doc, text)
 
     def counted(table: pa.Table) -> pa.Table:
         own = shard_terms(table, n, doc)
-        at = np.arange(own.size)
-        shard = np.full(own.size, table["_shard"][0].as_py(), np.int32)
-        documents = np.bincount(own.term, minlength=own.size)
-        return pa.table({"_shard": shard, "at": at.astype(np.int32), "keyword": own.keywords(at), "own": documents})
-
-    each = words.groupBy("_shard").applyInArrow(counted, "_shard int, at int, keyword string, own long")
-    summed = each.withColumn("df", F.sum("own").over(Window.partitionBy("keyword"))).filter("df > 1")
-    spread = by_shard(summed.select("_shard", "at", idf(F.col("df"), F.lit(size.corpus)).alias("idf")), shards)
-
-    def ranked(table: pa.Table, shared: pa.Table) -> pa.Table:
+        order, starts = own.bucketed(buckets)
+        # No word has a line end.
+        keywords = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), own.keywords(order)), "\n")
+        shard = np.full(buckets, table["_shard"][0].as_py(), np.int32)
+        columns = [np.arange(buckets, dtype=np.int32), shard, keywords, packed(own.found[order], starts)]
+        rows = pa.table(columns, names=["_bucket", "_shard", "keywords", "found"])
+        return rows.filter(pa.array(np.diff(starts) > 0))
+
+    each = words.groupBy("_shard").applyInArrow(counted, "_bucket int, _shard int, keywords string, found binary")
+
+    def summed(table: pa.Table) -> pa.Table:
+        lists = pc.split_pattern(table["keywords"].combine_chunks(), "\n")
+        term = pc.list_flatten(lists).dictionary_encode().indices.to_numpy()
+        df = np.bincount(term, unpacked(table["found"]))[term]
+        starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+        return pa.table([table["_bucket"], table["_shard"], packed(df, starts)], names=["_bucket", "_shard", "df"])
+
+    sums = each.repartition(buckets, "_bucket").groupBy("_bucket").applyInArrow(summed, "_bucket int, _shard int, df binary")
+    spread = by_shard(sums, shards)
+
+    def ranked(table: pa.Table, spread: pa.Table) -> pa.Table:
         own = shard_terms(table, n, doc)
-        rarity = np.full(own.size, alone)
-        rarity[shared["at"].to_numpy()] = shared["idf"].to_numpy()
+        rarity = np.empty(own.size)
+        rarity[own.bucketed(buckets)[0]] = np.log((1 + corpus) / (1.0 + unpacked(spread.sort_by("_bucket")["df"]))) + 1
         weight = own.tf * rarity[own.term]
-        order = np.lexsort((own.term, -weight, own.owner))
+        # Of equal weights the term of the smaller number stays first.
+        values = np.unique(weight)
+        order = np.argsort((own.owner + 1) * (len(values) + 1) - np.searchsorted(values, weight), kind="stable")
         starts, kept, rank = best_rows(own.owner, order, top_n)
         weight = weight[order]
         # Added one by one from the largest on, so the sum is the same wherever it is made.

@@ -2,11 +2,13 @@
 
 A shard holds all rows of its documents, about ``SHARD_CHARS`` characters of text. Its terms are numbered in
 their order as UTF-8 bytes, which depends on nothing but the shard's texts: a second pass over the same shard
-finds the same numbers. Only a shard's distinct terms leave it, not a row for each document.
+finds the same numbers. Only a shard's distinct terms leave it, not a row for each document; they leave in
+buckets, a row for each, and figures come back in the same order.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -27,6 +29,11 @@ def shard_count(chars: int | None) -> int:
     return max(LEAST_SHARDS, -(-(chars or 0) // SHARD_CHARS))
 
 
+def bucket_count(shards: int) -> int:
+    """A bucket holds about as many terms as the distinct terms of two shards."""
+    return max(LEAST_SHARDS, -(-shards // 2))
+
+
 def by_shard(df: DataFrame, shards: int) -> DataFrame:
     """Placed by ``_shard``. The number of partitions is given, so tasks are not merged by the size of texts that
     fan out, and tables placed like this are grouped together without another shuffle."""
@@ -34,16 +41,17 @@ def by_shard(df: DataFrame, shards: int) -> DataFrame:
 
 
 def sharded_words(df: DataFrame, shards: int, stops: Iterable[str], doc: str, text: str) -> DataFrame:
-    """``(_shard, doc, _words)``: the lower-cased words of two or more characters without stop words. The texts
-    are placed before they fan out."""
-    placed = by_shard(df.select(F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int").alias("_shard"), doc, text), shards)
-    return placed.select("_shard", doc, drop_words(word_tokens(F.lower(text), 2), stops).alias("_words"))
+    """``(_shard, doc, _words)``: the lower-cased words of two or more characters without stop words, joined by a
+    blank. They are found once and placed; every pass over the shards reads the same shuffle."""
+    words = F.array_join(drop_words(word_tokens(F.lower(text), 2), stops), " ")
+    return by_shard(df.select(F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int").alias("_shard"), doc, words.alias("_words")), shards)
 
 
 @dataclass
 class ShardTerms:
     """``heads[j][t]`` is the number of word ``j`` of term ``t`` in ``vocab``, -1 after its last word. Document
-    ``docs[owner[i]]`` has term ``term[i]`` ``tf[i]`` times, in the order of both."""
+    ``docs[owner[i]]`` has term ``term[i]`` ``tf[i]`` times, in the order of both; ``found[t]`` documents have term
+    ``t``."""
 
     vocab: pa.Array
     heads: list[np.ndarray]
@@ -51,11 +59,24 @@ class ShardTerms:
     owner: np.ndarray
     term: np.ndarray
     tf: np.ndarray
+    found: np.ndarray
 
     @property
     def size(self) -> int:
         return len(self.heads[0])
 
+    def bucketed(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms in the order of buckets, which follow from all words of a term, and where each bucket begins
+        (with the end)."""
+        own = np.array([zlib.crc32(w.encode()) + 1 for w in self.vocab.to_pylist()] + [0], np.uint64)
+        mixed = np.zeros(self.size, np.uint64)
+        for head in self.heads:
+            mixed = (mixed + own[head]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        bucket = (mixed % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        return np.argsort(bucket, kind="stable"), np.append(0, ends)
+
     def keywords(self, at: np.ndarray) -> pa.Array:
         """Terms as text, words joined by a blank."""
         out = self.vocab.take(pa.array(self.heads[0][at]))
@@ -66,10 +87,21 @@ class ShardTerms:
         return out
 
 
+def packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """``values`` as unsigned 32-bit integers, a binary for each run that begins at ``starts`` (with the end)."""
+    data, offsets = values.astype("<u4"), (4 * starts).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def unpacked(binaries: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(binaries.to_pylist()), "<u4")
+
+
 def flat_words(table: pa.Table, doc: str) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
     """Of rows ``(doc, _words)`` the vocabulary in byte order, each word's number and row, and each row's document
     as a number with the documents; a repeated or null id is one document."""
-    words = table["_words"].combine_chunks()
+    joined = table["_words"].combine_chunks()
+    words = pc.split_pattern(pc.if_else(pc.equal(joined, ""), pa.scalar(None, joined.type), joined), " ")
     lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
     coded = pc.list_flatten(words).dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
@@ -95,12 +127,32 @@ def shard_terms(table: pa.Table, n: int, doc: str) -> ShardTerms:
         owner.append(owners[row[start]])
     columns, owner = [np.concatenate(c) for c in columns], np.concatenate(owner)
     # A blank sorts before any character of a word: order by words is order by bytes.
+    base = len(vocab) + 1
+    codes = base**n
+    if codes * max(len(docs.dictionary), 1) < 1 << 62:
+        # Document and words are one number: what is sorted are plain numbers.
+        code = columns[0] + 1
+        for column in columns[1:]:
+            code = code * base + column + 1
+        pairs, tf = np.unique(owner * codes + code, return_counts=True)
+        owner, code = np.divmod(pairs, codes)
+        order = np.argsort(code)
+        ordered = code[order]
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        rest, heads = ordered[first], []
+        found = np.diff(np.append(first, len(ordered)))
+        term = np.empty(len(code), np.int64)
+        term[order] = np.repeat(np.arange(len(first)), found)
+        for _ in range(n):
+            rest, word = np.divmod(rest, base)
+            heads.insert(0, word - 1)
+        return ShardTerms(vocab, heads, docs.dictionary, owner, term, tf, found)
     known, first, term = np.unique(columns[0], return_index=True, return_inverse=True)
     for column in columns[1:]:
-        known, first, term = np.unique(term * (len(vocab) + 1) + column + 1, return_index=True, return_inverse=True)
+        known, first, term = np.unique(term * base + column + 1, return_index=True, return_inverse=True)
     pairs, tf = np.unique(owner * max(len(known), 1) + term, return_counts=True)
     owner, term = np.divmod(pairs, max(len(known), 1))
-    return ShardTerms(vocab, [c[first] for c in columns], docs.dictionary, owner, term, tf)
+    return ShardTerms(vocab, [c[first] for c in columns], docs.dictionary, owner, term, tf, np.bincount(term, minlength=len(known)))
 
 
 def best_rows(owner: np.ndarray, order: np.ndarray, top_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

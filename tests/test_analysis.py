@@ -379,3 +379,40 @@ def test_analysis_row_per_document(spark):
     assert {e.category for e in rows[0].entities} == {"fashion_materials", "fashion_garments"}
     assert rows[0].facets["season"]["summer"].mentions == ["summer"]
     assert rows[1].keywords == [] and rows[1].entities == []
+
+
+def test_terms_leave_their_shard_in_buckets(spark, monkeypatch):
+    from corpusdeck.operators import terms
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(30)] + ["größe", "日本", "ünder"]
+    rows = [(i // 2, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(80)] + [(None, "w1 w2"), (90, None), (91, "of a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = kw.keyword_extract(df, ("of",), 4)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    many = sorted(got.collect(), key=str)
+    monkeypatch.setattr(terms, "LEAST_SHARDS", 1)
+    for chars in (50, 1_000_000):
+        monkeypatch.setattr(terms, "SHARD_CHARS", chars)
+        assert sorted(kw.keyword_extract(df, ("of",), 4).collect(), key=str) == many
+    assert {r.doc_id for r in many} == {i for i, t in rows if t and t != "of a"}
+
+
+@pytest.mark.parametrize("n", [1, 2, 18])
+def test_terms_are_counted_where_their_words_fit_no_number(n):
+    import pyarrow as pa
+
+    from corpusdeck.operators.terms import shard_terms
+
+    texts = ["b a b a b a", "", None, "c a", "a b c d e f g h i j k l m n o p q r s t", "b a b"]
+    ids = [1, 2, 3, None, 5, 1]
+    own = shard_terms(pa.table({"_words": pa.array(texts), "d": pa.array(ids)}), n, "d")
+    want = Counter()
+    for i, text in zip(ids, texts):
+        ws = (text or "").split()
+        want.update((i, " ".join(ws[a : a + k])) for k in range(1, n + 1) for a in range(len(ws) - k + 1))
+    names = own.keywords(np.arange(own.size)).to_pylist()
+    docs = own.docs.to_pylist()
+    assert names == sorted(names) == sorted({g for _, g in want})
+    assert {(docs[o], names[t]): c for o, t, c in zip(own.owner, own.term, own.tf)} == want
+    assert own.found.tolist() == [sum(g == name for _, g in want) for name in names]
