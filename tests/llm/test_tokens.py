@@ -131,3 +131,19 @@ def test_open_windows_stay_bounded():
     for size in rng.integers(1, 101, 500).tolist():
         assert sum(n for _, _, n in windows.place(size)) == size
         assert len(windows.fills) <= 4
+
+
+def test_letters_and_marks_go_to_the_model_as_pieces(monkeypatch):
+    path = tokenizer_file(KINDS["blank_led"])
+    encoder = tokens.BlankLed(path)
+    assert encoder.simple
+    by_text = []
+    plain = encoder.learn_by_text
+    monkeypatch.setattr(encoder, "learn_by_text", lambda words: by_text.extend(words) or plain(words))
+    monkeypatch.setattr(tokens, "STRETCH", 3)
+    encoder.room = 20
+    texts = ["Silk, wool;\nsilk... (moon) größe!", "", "silk silk$$$ '' 's it's", "a\nb", "x×y ÿ <|endoftext|>. a", "日本. _a_ ", "\n\nno 3.5%", "wool; silk"]
+    for _ in range(2):
+        got = encoder.encode([t.encode() for t in texts])
+        assert [list(np.frombuffer(g, "<u4")) for g in got] == [exact("blank_led", t) for t in texts]
+    assert not {b"wool;", b"silk...", b"\nsilk...", "größe!".encode(), b"silk$$$", b"\nSilk,"} & set(by_text)
