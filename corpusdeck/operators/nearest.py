@@ -4,11 +4,13 @@ Unit vectors obey the triangle inequality by angle. Every item belongs to the ce
 a cell's items, in order of their angle to the pivot, are packed into blocks. From a query's angle to the
 pivot and a block's range of angles follows the highest score an item of the block can have. A query first
 scores the blocks of highest bound that hold ``k`` items; afterwards only those whose bound reaches its
-``k``-th score. Pivots and cells are at most ``CELLS``; blocks, queries and their pairs stay distributed.
+``k``-th score. There queries go in groups to spans of blocks, a group once to a span, however many cells a span
+has. Pivots and cells are at most ``CELLS``; blocks, queries and their pairs stay distributed.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +25,10 @@ from corpusdeck.session import scratch_path, stored
 CELLS = 1_024
 BLOCK = 4_096
 QUERIES = 1_024
+#: Items of a span and queries that meet it in one task, about; queries of a group, parts of all queries at least.
+SPAN = 32_768
+GROUP = 4_096
+PARTS = 16
 FEW = 512
 #: Angles are rounded: bounds give way by this much.
 SLACK = 1e-7
@@ -129,6 +135,17 @@ def cosine_cells(
     return CosineCells(read, bounds, whole.toPandas().sort_values("cell", ignore_index=True), pivots, item_id)
 
 
+def _tops(units: np.ndarray, pivots: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles of queries to the pivots of cells, and the highest score that an item of a cell or block can have."""
+    inner = cell != ZERO
+    angle = np.zeros((len(units), len(cell)))
+    angle[:, inner] = np.arccos(np.clip(units @ pivots[cell[inner]].T, -1, 1)) if inner.any() else 0.0
+    top = np.cos(np.clip(np.maximum(low - angle, angle - high) - SLACK, 0, np.pi))
+    top[:, ~inner] = 0.0
+    top[~np.any(units != 0, axis=1)] = 0.0
+    return angle, top
+
+
 def _cells_for(index: CosineCells, k: int, query_id: str):
     """Of every query the cells whose bound reaches ``floor``, or without one the cells of highest bound that
     hold ``k`` items, with the query's angle to the pivot."""
@@ -136,16 +153,11 @@ def _cells_for(index: CosineCells, k: int, query_id: str):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, low, high, n = (cells[c].to_numpy() for c in ("cell", "low", "high", "n"))
-        inner = number != ZERO
         for batch in batches:
             if not len(batch) or not len(number):
                 continue
             units = _matrix(batch["unit"].tolist(), pivots.shape[1] if len(pivots) else len(batch["unit"].iloc[0]) // 8)
-            angle = np.zeros((len(units), len(number)))
-            angle[:, inner] = np.arccos(np.clip(units @ pivots[number[inner]].T, -1, 1))
-            top = np.cos(np.clip(np.maximum(low - angle, angle - high) - SLACK, 0, np.pi))
-            top[:, ~inner] = 0.0
-            top[~np.any(units != 0, axis=1)] = 0.0
+            angle, top = _tops(units, pivots, number, low, high)
             if "floor" in batch:
                 row, col = np.nonzero(top >= batch["floor"].to_numpy()[:, None])
             else:
@@ -187,6 +199,92 @@ def _scored(pairs: DataFrame, units: DataFrame, index: CosineCells, k: int, quer
     return asked.join(blocks, "block").select("queries", "asked", "ids", "units").mapInPandas(best, schema)
 
 
+def _grouped(asked: DataFrame, index: CosineCells, query_id: str) -> DataFrame:
+    """``(part, ids, floors, asked)``: queries near one pivot as one row, ``GROUP`` of them at most."""
+    pivots = index.pivots
+    kind = asked.schema[query_id].dataType.simpleString()
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                units = _matrix(batch["unit"].tolist(), len(batch["unit"].iloc[0]) // 8)
+                yield batch.assign(near=(units @ pivots.T).argmax(axis=1) if len(pivots) else 0)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), GROUP):
+                g = batch.iloc[at : at + GROUP]
+                yield pd.DataFrame([(list(g[query_id]), g["floor"].to_numpy().tobytes(), b"".join(g["unit"]))], columns=["ids", "floors", "asked"])
+
+    placed = asked.mapInPandas(near, f"{query_id} {kind}, unit binary, floor double, near long")
+    ordered = placed.repartitionByRange("near", query_id).sortWithinPartitions("near", query_id)
+    return ordered.mapInPandas(pack, f"ids array<{kind}>, floors binary, asked binary")
+
+
+def _scored_in_spans(asked: DataFrame, index: CosineCells, k: int, query_id: str, schema: str) -> DataFrame:
+    """The ``k`` best of every query of ``(query_id, unit, floor)`` in every span of blocks that may hold an item
+    which reaches ``floor``. A task holds one span and one part of the queries that need it."""
+    cells, pivots, item_id = index.cells, index.pivots, index.item_id
+    parts = max(PARTS, -(-asked.count() // SPAN))
+    # One narrow row for each block.
+    through = F.sum("n").over(Window.orderBy("cell", "block").rowsBetween(Window.unboundedPreceding, 0))
+    spans = stored(index.bounds.withColumn("span", ((through - 1) / SPAN).cast("long")).select("cell", "block", "span"), "cosine-spans")
+    # A row for each cell.
+    reach = spans.groupBy("cell").agg(F.min("span").alias("first"), F.max("span").alias("last")).toPandas().set_index("cell")
+    kind = asked.schema[query_id].dataType.simpleString()
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, low, high = (cells[c].to_numpy() for c in ("cell", "low", "high"))
+        for batch in batches:
+            for ids, floors, data in zip(batch["ids"], batch["floors"], batch["asked"], strict=True):
+                units = np.frombuffer(data).reshape(len(ids), -1)
+                wanted = (_tops(units, pivots, number, low, high)[1] >= np.frombuffer(floors)[:, None]).any(axis=0)
+                found = reach.loc[number[wanted]]
+                part = zlib.crc32(data) % parts
+                for span in sorted({x for a, b in zip(found["first"], found["last"]) for x in range(a, b + 1)}):
+                    yield pd.DataFrame([(span, part, ids, floors, data)], columns=["span", "part", "ids", "floors", "asked"])
+
+    sent = _grouped(asked, index, query_id).mapInPandas(send, f"span long, part long, ids array<{kind}>, floors binary, asked binary")
+    blocks = index.blocks.join(spans, ["cell", "block"]).select("span", "cell", "low", "high", "ids", "units")
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def best(groups: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({query_id: [], item_id: [], "score": []})]
+        cell, low, high = (blocks[c].to_numpy() for c in ("cell", "low", "high"))
+        for ids, floors, data in zip(groups["ids"], groups["floors"], groups["asked"], strict=True) if len(blocks) else ():
+            units, floor = np.frombuffer(data).reshape(len(ids), -1), np.frombuffer(floors).copy()
+            top = _tops(units, pivots, cell, low, high)[1]
+            kept, held = [], 0
+            for at, (own, item_data) in enumerate(zip(blocks["ids"], blocks["units"], strict=True)):
+                asking = np.flatnonzero(top[:, at] >= floor)
+                if not len(asking):
+                    continue
+                sims = np.frombuffer(item_data).reshape(len(own), -1) @ units[asking].T
+                # The floor gives way by more than what rounding can add.
+                row, col = np.nonzero(sims >= floor[asking])
+                kept.append(pd.DataFrame({"q": asking[col], item_id: np.asarray(own)[row], "score": np.round(sims[row, col], 9)}))
+                held += len(row)
+                if held > 4 * k * len(ids):
+                    kept, held = _raise_floor(kept, floor, k, item_id)
+            if kept:
+                (pool,), _ = _raise_floor(kept, floor, k, item_id)
+                out.append(pd.DataFrame({query_id: np.asarray(ids)[pool["q"]], item_id: pool[item_id], "score": pool["score"]}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    keys = ["span", "part"]
+    return sent.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(best, schema)
+
+
+def _raise_floor(kept: list[pd.DataFrame], floor: np.ndarray, k: int, item_id: str) -> tuple[list[pd.DataFrame], int]:
+    """The ``k`` best of each query; ``floor`` rises to the ``k``-th score of those that have as many."""
+    pool = pd.concat(kept, ignore_index=True).sort_values(["q", "score", item_id], ascending=[True, False, True])
+    pool = pool[pool.groupby("q", sort=False).cumcount() < k]
+    full = pool.groupby("q", sort=False)["score"].agg(["size", "min"])
+    full = full[full["size"] >= k]
+    floor[full.index] = np.maximum(floor[full.index], full["min"] - 1e-9)
+    return [pool], len(pool)
+
+
 def nearest_in_cells(queries: DataFrame, index: CosineCells, k: int, query_id: str = "query_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """``(query_id, rank, item_id, score)`` of the ``k`` most similar items, and ``(query_id, scored)``, the
     number of items whose score was worked out. Query ids are distinct; null vectors have no rows."""
@@ -216,9 +314,10 @@ def nearest_in_cells(queries: DataFrame, index: CosineCells, k: int, query_id: s
     reach = found.groupBy(query_id).agg(F.when(F.count("*") >= k, F.min("score") - 1e-9).alias("floor"))
     asked = units.join(reach, query_id, "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
     asked = stored(asked, "cosine-asked")
+    # The first blocks are scored again with the others: their bounds reach the floor as well.
+    best = ranked(_scored_in_spans(asked, index, k, query_id, schema))
     more = _with_bounds(asked.mapInPandas(cells_of, pair), index).join(asked.select(query_id, "floor"), query_id).filter("top >= floor")
-    more = stored(more.select(query_id, "cell", "block", "n").join(first, [query_id, "block"], "left_anti"), "cosine-more")
-    best = ranked(found.unionByName(_scored(more, units, index, k, query_id, schema)))
+    more = more.select(query_id, "cell", "block", "n").join(first, [query_id, "block"], "left_anti")
     tally = first.unionByName(more.select(first.columns)).groupBy(query_id).agg(F.sum("n").alias("scored"))
     return best, tally
 

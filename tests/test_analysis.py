@@ -244,6 +244,28 @@ def test_cells_leave_out_only_items_that_cannot_be_found(spark, monkeypatch, spr
         assert sum(scored.values()) < 0.6 * 400 * len(scored)
 
 
+def test_groups_of_queries_meet_spans_of_blocks(spark, monkeypatch):
+    for name, value in (("SPAN", 60), ("GROUP", 16), ("PARTS", 3)):
+        monkeypatch.setattr(nr, name, value)
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(300, 6)).astype("float32")
+    # Rows of one id are an item each, and a query each.
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(7, m[7].tolist()), (8, m[9].tolist()), (999, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    best, _ = nr.nearest_in_cells(df.withColumnRenamed("vec_id", "query_id"), nr.cosine_cells(df, cells=20, block=11), 5)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert any(k.startswith("span") for k in keys) and not any(k.startswith("block") for k in keys), keys
+    ids = np.array([i for i, v in rows if v])
+    unit = nr.unit_rows(np.array([v for _, v in rows if v], dtype="float64"))
+    sims = np.round(unit @ unit.T, 9)
+    want = []
+    for q in np.unique(ids):
+        pairs = sorted((-s, int(i)) for row in sims[ids == q] for s, i in zip(row, ids))[:5]
+        want += [(int(q), rank, i) for rank, (_, i) in enumerate(pairs, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in best.collect()) == sorted(want)
+
+
 def test_cells_of_odd_tables(spark):
     _, df = vectors(spark, n=3)
     queries = df.withColumnRenamed("vec_id", "query_id")
