@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -49,6 +50,23 @@ def test_chunk_counts(spark):
     assert apply(spark, rows, lambda c: F.size(tx.chunks(c))) == [1, 1, 2, 3, 4]
 
 
+def test_chunks_count_code_points_and_keep_line_ends(spark):
+    rows = ["a\r\n\u2028\x85b", "\U0001f600" * 3, "\U0001d41ax\n", None, ""]
+    cut = lambda cap: spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string").select("i", tx.chunks(F.col("c"), 2, cap).alias("r"))
+    want = [[r[k : k + 2] for k in range(0, len(r), 2)] or [""] if r is not None else None for r in rows]
+    assert [r.r for r in cut(None).sort("i").collect()] == want
+    assert [r.r for r in cut(2).sort("i").collect()] == [w and w[:2] for w in want]
+    assert [r.r for r in cut(1 << 40).sort("i").collect()] == want
+
+
+def test_a_long_text_is_cut_in_one_pass(spark):
+    """Counted from the start for each chunk, this text takes some minutes."""
+    df = spark.range(1).select(F.repeat(F.lit("é"), 12_000_000).alias("c"))
+    began = time.monotonic()
+    assert df.select(F.size(tx.chunks(F.col("c")))).first()[0] == 24_000
+    assert time.monotonic() - began < 30
+
+
 def test_preview_adds_dots_only_when_cut(spark):
     assert apply(spark, ["x" * 500, "x" * 501], tx.preview) == ["x" * 500, "x" * 500 + "..."]
 
