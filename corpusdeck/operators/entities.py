@@ -110,19 +110,23 @@ def phrase_hits(text: str, phrases: list[Phrase]) -> Column:
 
     def of_shape(n: int, anchor: int) -> str:
         known = shapes[n, anchor]
-        fits = f"w {among({x[anchor] for x in known})}"
+        fits = f"get(low, i) {among({x[anchor] for x in known})}"
         if n > 1:
             beside = anchor + 1 if anchor + 1 < n else anchor - 1
             fits += f" AND get(low, i + {beside - anchor}) {among({x[beside] for x in known})}"
-        starts = f"filter(transform(low, (w, i) -> CASE WHEN {fits} THEN i - {anchor} END), at -> at IS NOT NULL)"
+        starts = f"transform(filter(anchored, i -> {fits}), i -> i - {anchor})"
         if n > 1:
             starts = f"filter({starts}, at -> at >= 0 AND at + {n} <= size(low) AND {joined('low', n)} {among({' '.join(x) for x in known})})"
         named = f"element_at({table}, {joined('low', n)})"
         return f"transform({starts}, at -> named_struct('start', at, 'words', {n}, 'text', {joined('own', n)}, 'label', {named}.label, 'score', {named}.score))"
 
     hits = f"array_sort(concat({', '.join(of_shape(*x) for x in sorted(shapes))}))"
+    # The words are gone through once, not for each shape.
+    anchors = among({x[anchor] for (_, anchor), known in shapes.items() for x in known})
+    places = f"filter(transform(low, (w, i) -> CASE WHEN w {anchors} THEN i END), i -> i IS NOT NULL)"
+    found = f"element_at(transform(array({places}), anchored -> {hits}), 1)"
     tokens = f"regexp_extract_all(`{text}`, r'[{WORD}]+', 0)"
-    bound = f"element_at(transform(array(transform(own, x -> lower(x))), low -> {hits}), 1)"
+    bound = f"element_at(transform(array(transform(own, x -> lower(x))), low -> {found}), 1)"
     return F.expr(f"element_at(transform(array({tokens}), own -> {bound}), 1)")
 
 

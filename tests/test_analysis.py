@@ -364,6 +364,24 @@ def test_phrases_at_their_anchors(spark, monkeypatch):
     assert en.model_entities(df, names.limit(0)).count() == 0 and en.model_entities(df.limit(0), names).count() == 0
 
 
+def test_words_are_gone_through_once_for_all_shapes(spark):
+    given = [("a b", 0), ("b a", 1), ("c", 0), ("d a b", 1), ("a x b", 2)]
+    phrases = [en.Phrase(tuple(p.split(" ")), "L", 1.0, anchor) for p, anchor in given]
+    texts = ["A b a, c C d a B", "b", "a", "a x b b", "d a", "", None, "x b a b", "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = df.select("i", en.phrase_hits("text", phrases).alias("h"))
+    plan = re.sub(r"#\d+", "", found._jdf.queryExecution().analyzed().toString())
+    assert plan.count("transform(lambda low,") == 1, plan
+
+    def brute(text):
+        own = re.findall(r"\w+", text)
+        spans = [(k, n, " ".join(own[k : k + n]), "L", 1.0) for k in range(len(own)) for n in (1, 2, 3) if k + n <= len(own)]
+        return [s for s in spans if s[2].lower() in dict(given)]
+
+    got = {r.i: r.h for r in found.collect()}
+    assert {i: None if h is None else [tuple(x) for x in h] for i, h in got.items()} == {i: None if t is None else brute(t) for i, t in enumerate(texts)}
+
+
 def test_entities_order_categories_and_rollup(spark):
     patterns = Lexicon.categories({"materials": ["silk"], "none": ["zzz"]})
     facets = Lexicon.facets({"season": {"winter": ["snow"]}})
