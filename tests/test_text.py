@@ -60,10 +60,10 @@ def test_chunks_count_code_points_and_keep_line_ends(spark):
 
 
 def test_a_long_text_is_cut_in_one_pass(spark):
-    """Counted from the start for each chunk, this text takes some minutes."""
-    df = spark.range(1).select(F.repeat(F.lit("é"), 12_000_000).alias("c"))
+    """Counted from the start for each chunk, this text takes over a minute."""
+    df = spark.range(1).select(F.repeat(F.lit("é"), 4_000_000).alias("c"))
     began = time.monotonic()
-    assert df.select(F.size(tx.chunks(F.col("c")))).first()[0] == 24_000
+    assert df.select(F.size(tx.chunks(F.col("c")))).first()[0] == 8_000
     assert time.monotonic() - began < 30
 
 
