@@ -1,27 +1,42 @@
-"""Word vectors from co-occurrence counts, as joins and aggregates.
+"""Word vectors from co-occurrence counts.
 
 Words that stand within a window of each other are counted, weighed by positive pointwise mutual
 information and projected to ``size`` dimensions: every context word has a vector of signs drawn from its
 hash, and a word's vector is the weighted sum over its contexts. Weights are whole multiples of ``1 / SCALE``,
-so sums are exact and the vectors are the same for any partitioning. The vocabulary is a table like any
-other and never on the driver; frequent words are joined over salts.
+so sums are exact and the vectors are the same for any partitioning. The vocabulary lies in buckets and is
+never on the driver; pairs travel as numbers, so a frequent word is no more than its distinct contexts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from corpusdeck.functions.arrays import bind
 from corpusdeck.functions.text import drop_words, word_tokens
 from corpusdeck.functions.vectors import dot
-from corpusdeck.operators.skew import attach_by_key, lookup
-from corpusdeck.session import stored
+from corpusdeck.operators.skew import lookup
+from corpusdeck.operators.terms import LEAST_SHARDS, by_shard, coded_words, in_buckets, lines, squeezed, unsqueezed
+from corpusdeck.session import scratch_path, shuffles_freed
 
 SCALE = 1 << 20
 MOST_DIMENSIONS = 128
+#: Characters of the texts of a shard and for each block of words, about; turns in which a shard's pairs are counted;
+#: slices of a block's contexts; pairs that wait to be merged and that are weighed at once; pairs whose signs are added
+#: at once.
+PAIR_SHARD_CHARS = 16_000_000
+BLOCK_CHARS = 96_000_000
+TURNS = 4
+SLICES = 8
+WAITING = 1 << 21
+STEP = 1 << 15
 
 
 def _words(text: str, stops: Iterable[str]) -> Column:
@@ -54,10 +69,64 @@ def cooccurrence(pairs: DataFrame) -> DataFrame:
     return pairs.filter("b is not null").select(F.inline(both))
 
 
-def _signs(word: Column, size: int, seed: int) -> list[Column]:
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), word))
-    parts = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range((size + 31) // 32)]
-    return [1 - 2 * F.shiftright(parts[j // 32], j % 32).bitwiseAND(F.lit(1).cast("long")) for j in range(size)]
+def _sign_bits(words: list[str], size: int, seed: int) -> np.ndarray:
+    """The bits of a word's signs, 32 in a number; a set bit is -1."""
+    digests = b"".join(hashlib.md5(f"{seed}:{w}".encode()).digest() for w in words)
+    return np.frombuffer(digests, ">u4").reshape(-1, 4)[:, : (size + 31) // 32].astype("<u4")
+
+
+def _neighbours(row: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of words at most ``window`` words apart in one row, left and right."""
+    for k in range(1, window + 1):
+        left = np.flatnonzero(row[: max(len(row) - k, 0)] == row[k:])
+        yield left, left + k
+
+
+def _merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once with the sum of its ``n``."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n[order]
+
+
+def _added(sums: np.ndarray, x: np.ndarray, bits: np.ndarray, weight: np.ndarray) -> None:
+    """Adds to ``sums[x]`` the signs of ``bits`` times ``weight``; ``x`` is in order."""
+    part, shift = np.divmod(np.arange(sums.shape[1]), 32)
+    for a in range(0, len(x), STEP):
+        own = x[a : a + STEP]
+        minus = (bits[a : a + STEP][:, part] >> shift.astype(np.uint32)) & np.uint32(1)
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        w = weight[a : a + STEP]
+        signed = np.where(minus, -w[:, None], w[:, None])
+        sums[own[first]] += np.add.reduceat(signed, first, axis=0)
+
+
+def _packed_pairs(number: np.ndarray, row: np.ndarray, bucket: np.ndarray, place: np.ndarray, window: int, buckets: int) -> dict[str, list]:
+    """The pairs of the words ``number`` of a shard in both directions, a row for each block of the first and slice of
+    the second word. A pair is a number, ``place`` of the first times ``base`` plus place of the second in its slice;
+    numbers are in order and kept as differences."""
+    at = place * -(-buckets // SLICES) + bucket // SLICES
+    base, heads = int(at.max(initial=0)) + 1, int(place.max(initial=0)) + 1
+    out = {"_block": [], "slice": [], "base": [], "pairs": [], "n": []}
+    for turn in range(TURNS):
+        # In turns, as all pairs at once would take several times the memory of the texts.
+        first = (place >= 0) & (bucket % TURNS == turn)
+        found = []
+        for left, right in _neighbours(row, window):
+            for x, y in ((number[left], number[right]), (number[right], number[left])):
+                both = np.flatnonzero(first[x] & (place[y] >= 0))
+                x, y = x[both], y[both]
+                found.append(((bucket[x] * SLICES + bucket[y] % SLICES) * heads + place[x]) * base + at[y])
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        groups, keys = np.divmod(keys, heads * base)
+        starts = np.append(np.flatnonzero(np.diff(groups, prepend=-1)), len(groups))
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            block, part = divmod(int(groups[a]), SLICES)
+            columns = block, part, base, squeezed(np.diff(keys[a:b], prepend=0)), squeezed(n[a:b] - 1)
+            for column, value in zip(out.values(), columns, strict=True):
+                column.append(value)
+    return out
 
 
 def train_embeddings(
@@ -70,30 +139,144 @@ def train_embeddings(
     text: str = "text",
     path: str | None = None,
 ) -> DataFrame:
-    """``(word, n, vector)``: occurrences and unit vector of every word that occurs ``min_count`` times and has
-    a context of positive weight. Written to ``path`` if given, else to the scratch folder."""
+    """``(word, n, vector, sums)``: occurrences and unit vector of every word that occurs ``min_count`` times and has
+    a context of positive weight, and the whole numbers that the vector has the direction of. Written to ``path`` if
+    given, else to the scratch folder.
+
+    Texts are tokenised once and placed in shards. A shard's distinct words go to their buckets with their occurrences
+    and neighbours; a bucket numbers its frequent words and sends the numbers back. Pairs of frequent words leave a shard
+    as numbers, to the bucket of the first word, where all shards' counts meet the figures of the second words. So
+    neither words nor vectors travel with pairs."""
     if not 0 < size <= MOST_DIMENSIONS:
         raise ValueError(f"{size} dimensions; a hash has signs for 1 to {MOST_DIMENSIONS}")
-    pairs = stored(word_pairs(df, stops, window, text), "word-pairs")
-    near = cooccurrence(pairs)
-    mass = near.groupBy("word").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("contexts"))
-    frequent = pairs.filter(F.col("b").isNull() & (F.col("n") >= min_count)).select(F.col("a").alias("word"), F.col("n").alias("count"))
-    words = stored(frequent.join(mass, "word"), "word-mass")
-    total = mass.agg(F.sum("m")).scalar()
-    with_word = attach_by_key(near, words, "word", "contexts", F.col("context"))
-    with_word = with_word.select("word", "count", F.col("context"), "n", F.col("m").alias("mass"))
-    contexts = words.select(F.col("word").alias("context"), "m", "contexts")
-    both = attach_by_key(with_word, contexts, "context", "contexts", F.col("word"))
-    lift = F.col("n").cast("double") * total / (F.col("mass").cast("double") * F.col("m"))
-    weighed = both.withColumn("weight", F.round(SCALE * F.log(lift)).cast("long")).filter("weight > 0")
-    sums = [F.sum(F.col("weight") * s).alias(f"s{j}") for j, s in enumerate(_signs(F.col("context"), size, seed))]
-    summed = weighed.groupBy("word", "count").agg(*sums)
-    vector = F.array(*(F.col(f"s{j}").cast("double") for j in range(size)))
-    found = summed.select("word", F.col("count").alias("n"), unit(vector).alias("vector")).filter(dot(F.col("vector"), F.col("vector")) > 0)
-    if path is None:
-        return stored(found, "word-vectors")
-    found.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    chars = df.agg(F.sum(F.length(text))).first()[0] or 0
+    shards, buckets = max(LEAST_SHARDS, -(-chars // PAIR_SHARD_CHARS)), max(LEAST_SHARDS, -(-chars // BLOCK_CHARS))
+    # Equal texts of different rows are dealt out.
+    spread = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))]
+    joined = F.array_join(_words(text, stops), " ").alias("_words")
+    words = by_shard(df.select(F.pmod(F.xxhash64(*spread), F.lit(shards)).cast("int").alias("_shard"), joined), shards)
+
+    def counted(table: pa.Table) -> pa.Table:
+        vocab, number, row = coded_words(table["_words"])
+        mass = np.zeros(len(vocab), np.int64)
+        for left, right in _neighbours(row, window):
+            mass += np.bincount(number[left], minlength=len(vocab)) + np.bincount(number[right], minlength=len(vocab))
+        n = np.bincount(number, minlength=len(vocab))
+        order, starts = in_buckets(vocab, buckets)
+        runs = list(zip(starts[:-1], starts[1:], strict=True))
+        rows = {
+            "_bucket": np.arange(buckets, dtype=np.int32),
+            "_shard": np.full(buckets, table["_shard"][0].as_py(), np.int32),
+            "words": lines(vocab.take(pa.array(order)), starts),
+            "n": [squeezed(n[order[a:b]]) for a, b in runs],
+            "m": [squeezed(mass[order[a:b]]) for a, b in runs],
+        }
+        return pa.table(rows).filter(pa.array(np.diff(starts) > 0))
+
+    each = words.groupBy("_shard").applyInArrow(counted, "_bucket int, _shard int, words string, n binary, m binary")
+    met = each.repartition(buckets, "_bucket")
+
+    def summed(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words of a bucket, their occurrences and neighbours, the frequent ones in order, the most frequent first, and
+        the word of each entry and where each row's entries begin."""
+        lists = pc.split_pattern(table["words"].combine_chunks(), "\n")
+        coded = pc.list_flatten(lists).dictionary_encode()
+        term, vocab = coded.indices.to_numpy(), coded.dictionary
+        n, m = np.zeros((2, len(vocab)), np.int64)
+        for total, column in ((n, "n"), (m, "m")):
+            np.add.at(total, term, np.concatenate([unsqueezed(x) for x in table[column].to_pylist()]))
+        by_word = pc.sort_indices(vocab).to_numpy()
+        by_word = by_word[n[by_word] >= min_count]
+        frequent = by_word[np.argsort(-n[by_word], kind="stable")]
+        return vocab, n, m, frequent, term, np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+
+    def places(table: pa.Table) -> pa.Table:
+        vocab, _, _, frequent, term, starts = summed(table)
+        place = np.zeros(len(vocab), np.int64)
+        place[frequent] = np.arange(1, len(frequent) + 1)
+        sent = [squeezed(place[term[a:b]]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        return pa.table([table["_bucket"], table["_shard"], sent], names=["_bucket", "_shard", "place"])
+
+    def vocabulary(table: pa.Table) -> pa.Table:
+        vocab, n, m, frequent, _, _ = summed(table)
+        names = vocab.take(pa.array(frequent))
+        rows = {
+            "_bucket": table["_bucket"].slice(0, 1),
+            "total": [int(m.sum())],
+            "words": lines(names, np.array([0, len(names)])),
+            "n": [squeezed(n[frequent])],
+            "m": [squeezed(m[frequent])],
+            "bits": [_sign_bits(names.to_pylist(), size, seed).tobytes()],
+        }
+        return pa.table(rows)
+
+    numbers = by_shard(met.groupBy("_bucket").applyInArrow(places, "_bucket int, _shard int, place binary"), shards)
+    known = met.groupBy("_bucket").applyInArrow(vocabulary, "_bucket int, total long, words string, n binary, m binary, bits binary")
+    block = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_block")
+    own = F.col("_bucket") == F.col("_block")
+    known = known.select("*", block).withColumns({c: F.when(own, F.col(c)) for c in ("words", "n")}).repartition(buckets, "_block")
+
+    def paired(table: pa.Table, numbers: pa.Table) -> pa.Table:
+        vocab, number, row = coded_words(table["_words"])
+        order, starts = in_buckets(vocab, buckets)
+        bucket, place = np.empty((2, len(vocab)), np.int64)
+        bucket[order] = np.repeat(np.arange(buckets), np.diff(starts))
+        sent = numbers.sort_by("_bucket")["place"].to_pylist()
+        place[order] = np.concatenate([unsqueezed(x) for x in sent]) - 1 if sent else -1
+        schema = pa.schema([("_block", pa.int32()), ("slice", pa.int32()), ("base", pa.int64()), ("pairs", pa.binary()), ("n", pa.binary())])
+        return pa.table(_packed_pairs(number, row, bucket, place, window, buckets), schema=schema)
+
+    both = words.groupBy("_shard").cogroup(numbers.groupBy("_shard"))
+    pairs = both.applyInArrow(paired, "_block int, slice int, base long, pairs binary, n binary").repartition(buckets, "_block")
+
+    def weighed(pairs: pa.Table, known: pa.Table) -> pa.Table:
+        figures = {r["_bucket"]: r for r in known.select(["_bucket", "m", "bits"]).to_pylist()}
+        total = float(sum(known["total"].to_pylist()))
+        none = squeezed(np.zeros(0, np.int64))
+        mine = known.filter(pc.equal(known["_bucket"], known["_block"])).to_pylist() or [{"words": "", "n": none, "m": none}]
+        words = mine[0]["words"].split("\n") if mine[0]["words"] else []
+        n, m = unsqueezed(mine[0]["n"]), unsqueezed(mine[0]["m"]).astype(float)
+        sums = np.zeros((len(words), size), np.int64)
+        apart = -(-buckets // SLICES)
+        for part in range(SLICES if pairs.num_rows else 0):
+            own = [(b, unsqueezed(figures[b]["m"]), figures[b]["bits"]) for b in range(part, buckets, SLICES) if b in figures]
+            base = max((len(x) for _, x, _ in own), default=0) * apart
+            mass, bits = np.zeros(base), np.zeros((base, (size + 31) // 32), np.uint32)
+            for b, x, data in own:
+                mass[b // SLICES :: apart][: len(x)] = x
+                bits[b // SLICES :: apart][: len(x)] = np.frombuffer(data, "<u4").reshape(len(x), bits.shape[1])
+            key, count, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+            rows = pairs.filter(pc.equal(pairs["slice"], part))
+            for i in range(rows.num_rows):
+                first, second = np.divmod(np.cumsum(unsqueezed(rows["pairs"][i].as_py())), rows["base"][i].as_py())
+                waiting.append((first * base + second, unsqueezed(rows["n"][i].as_py()) + 1))
+                if i + 1 == rows.num_rows or sum(len(k) for k, _ in waiting) > max(WAITING, len(key)):
+                    waiting.append((key, count))
+                    key, count = _merged(np.concatenate([k for k, _ in waiting]), np.concatenate([c for _, c in waiting]))
+                    waiting = []
+            for a in range(0, len(key), WAITING):
+                x, y = np.divmod(key[a : a + WAITING], base)
+                lift = count[a : a + WAITING] * total / (m[x] * mass[y])
+                weight = np.floor(SCALE * np.log(lift) + 0.5).astype(np.int64)
+                kept = weight > 0
+                _added(sums, x[kept], bits[y[kept]], weight[kept])
+        vector = sums.astype(float)
+        squares = np.zeros(len(words))
+        for j in range(size):
+            squares += vector[:, j] * vector[:, j]
+        found = np.flatnonzero(squares > 0)
+        vector = vector[found] / np.sqrt(squares[found])[:, None]
+        offsets = pa.array(np.arange(0, len(found) * size + 1, size), pa.int32())
+        columns = [pa.array(words, pa.string()).take(pa.array(found)), n[found]]
+        columns += [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (vector, sums[found])]
+        return pa.table(columns, names=["word", "n", "vector", "sums"])
+
+    both = pairs.groupBy("_block").cogroup(known.groupBy("_block"))
+    found = both.applyInArrow(weighed, "word string, n long, vector array<double>, sums array<long>")
+    path = path or scratch_path(df.sparkSession, "word-vectors")
+    with shuffles_freed(df.sparkSession):
+        found.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def unit(vector: Column) -> Column:

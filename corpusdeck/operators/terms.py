@@ -97,10 +97,38 @@ def unpacked(binaries: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(binaries.to_pylist()), "<u4")
 
 
-def flat_words(table: pa.Table, doc: str) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
-    """Of rows ``(doc, _words)`` the vocabulary in byte order, each word's number and row, and each row's document
-    as a number with the documents; a repeated or null id is one document."""
-    joined = table["_words"].combine_chunks()
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in few bytes: their lowest bytes, then the next ones, compressed."""
+    values = np.ascontiguousarray(values, "<u8")
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if width else b"")
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    values = np.zeros((n, 8), np.uint8)
+    if width:
+        planes = pa.decompress(data[9:], width * n, codec="zstd", asbytes=True)
+        values[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
+    return values.view("<u8").ravel().astype(np.int64)
+
+
+def in_buckets(words: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words in the order of their buckets, and where each bucket begins (with the end). Spark's ``crc32`` gives the
+    same buckets."""
+    bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words.to_pylist()], np.int64)
+    return np.argsort(bucket, kind="stable"), np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
+
+
+def lines(words: pa.Array, starts: np.ndarray) -> pa.Array:
+    """The words of each run that begins at ``starts`` (with the end) as lines; no word has a line end."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), "\n")
+
+
+def coded_words(joined: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Of rows of words joined by a blank the vocabulary in byte order, and each word's number and row."""
+    joined = joined.combine_chunks()
     words = pc.split_pattern(pc.if_else(pc.equal(joined, ""), pa.scalar(None, joined.type), joined), " ")
     lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
     coded = pc.list_flatten(words).dictionary_encode()
@@ -108,9 +136,14 @@ def flat_words(table: pa.Table, doc: str) -> tuple[pa.Array, np.ndarray, np.ndar
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     number = place[coded.indices.to_numpy()]
+    return coded.dictionary.take(pa.array(order)), number, np.repeat(np.arange(len(lengths)), lengths)
+
+
+def flat_words(table: pa.Table, doc: str) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """Of rows ``(doc, _words)`` the vocabulary in byte order, each word's number and row, and each row's document
+    as a number with the documents; a repeated or null id is one document."""
     docs = table[doc].combine_chunks().dictionary_encode(null_encoding="encode")
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    return coded.dictionary.take(pa.array(order)), number, row, docs
+    return *coded_words(table["_words"]), docs
 
 
 def shard_terms(table: pa.Table, n: int, doc: str) -> ShardTerms:
