@@ -23,8 +23,10 @@ from corpusdeck.operators.terms import (
     shard_count,
     shard_terms,
     sharded_words,
+    summed_rows,
     unpacked,
 )
+from corpusdeck.operators.wordvectors import ShardVectors, document_slices, vector_shard_count, word_vectors_of_shards
 
 
 def ngram_candidates(
@@ -116,27 +118,16 @@ def keyword_extract_by_vectors(
     word vectors ``(word, vector)`` of ``size`` dimensions: ``(doc, rank, keyword, score, embedding)``.
 
     ``doc`` is a key. A shard's distinct words leave it and come back with their vectors, by number; its
-    documents look their words and candidates up there. Words without a vector count as zero.
+    documents look their words and candidates up there, a slice of them at a time. Words without a vector count as
+    zero. Rows of a document stand one after another, in the order of ``rank``.
     """
-    shards = shard_count(df.agg(F.sum(F.length(text))).first()[0])
+    shards = vector_shard_count(df.agg(F.sum(F.length(text))).first()[0], size)
     words = sharded_words(df, shards, stops, doc, text)
+    placed, packing = word_vectors_of_shards(words, vectors, shards, size)
 
-    def listed(table: pa.Table) -> pa.Table:
-        vocab = flat_words(table, doc)[0]
-        shard = np.full(len(vocab), table["_shard"][0].as_py(), np.int32)
-        return pa.table({"_shard": shard, "at": np.arange(len(vocab), dtype=np.int32), "word": vocab})
-
-    each = words.groupBy("_shard").applyInArrow(listed, "_shard int, at int, word string")
-    # A word has at most as many rows as there are shards.
-    met = each.join(vectors.select("word", "vector"), "word").select("_shard", "at", "vector")
-    known = by_shard(met, shards)
-
-    def ranked(table: pa.Table, own: pa.Table) -> pa.Table:
+    def ranked_slice(table: pa.Table, own: ShardVectors) -> pa.Table:
         terms = shard_terms(table, n, doc)
-        matrix = np.zeros((len(terms.vocab), size))
-        if own.num_rows:
-            vector = pc.list_flatten(own["vector"].combine_chunks()).to_numpy(zero_copy_only=False)
-            matrix[own["at"].to_numpy()] = vector.reshape(-1, size)
+        matrix, _ = own.rows(terms.vocab)
         _, number, row, docs = flat_words(table, doc)
         of = docs.indices.to_numpy().astype(np.int64)[row]
         inside = np.argsort(of, kind="stable")
@@ -147,7 +138,7 @@ def keyword_extract_by_vectors(
             at = terms.term[term_starts[d] : term_starts[d + 1]]
             if not len(at):
                 continue
-            whole = unit_rows(_summed(matrix, number[inside[text_starts[d] : text_starts[d + 1]]])[None])[0]
+            whole = unit_rows(summed_rows(matrix, number[inside[text_starts[d] : text_starts[d + 1]]])[None])[0]
             vector = np.zeros((len(at), size))
             for head in terms.heads:
                 there = head[at] >= 0
@@ -168,19 +159,16 @@ def keyword_extract_by_vectors(
         columns = [terms.docs.take(pa.array(owner)), pa.array(rank), terms.keywords(at), pa.array(score), lists]
         return pa.table(columns, names=[doc, "rank", "keyword", "score", "embedding"])
 
+    def ranked(table: pa.Table, found: pa.Table) -> pa.Table:
+        own = packing.unpacked(table, found)
+        parts = [ranked_slice(part, own) for part in document_slices(table, doc)]
+        return pa.concat_tables(parts) if parts else ranked_slice(table, own)
+
     kind = df.schema[doc].dataType.simpleString()
-    both = words.groupBy("_shard").cogroup(known.groupBy("_shard"))
+    both = words.groupBy("_shard").cogroup(placed.groupBy("_shard"))
     return both.applyInArrow(ranked, f"{doc} {kind}, rank int, keyword string, score double, embedding array<double>")
 
 
-def _summed(matrix: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The sum of rows ``at`` of ``matrix``, a block at a time."""
-    total = np.zeros(matrix.shape[1])
-    for k in range(0, len(at), 4_096):
-        total += matrix[at[k : k + 4_096]].sum(axis=0)
-    return total
-
-
 def nest_keywords(ranked: DataFrame, doc: str = "doc_id") -> DataFrame:
     """One row per document: ``keywords array<struct<keyword, score>>`` in rank order and
     ``total_keywords``. A document has at most ``top_n`` rows here."""

@@ -196,3 +196,11 @@ def best_rows(owner: np.ndarray, order: np.ndarray, top_n: int) -> tuple[np.ndar
     rank = np.arange(len(own)) - np.repeat(starts[:-1], np.diff(starts)) + 1
     kept = np.flatnonzero(rank <= top_n)
     return starts, kept, rank[kept]
+
+
+def summed_rows(matrix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of rows ``at`` of ``matrix``, a block at a time."""
+    total = np.zeros(matrix.shape[1])
+    for k in range(0, len(at), 4_096):
+        total += matrix[at[k : k + 4_096]].sum(axis=0)
+    return total

@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from corpusdeck.operators.embeddings import train_embeddings
 from corpusdeck.operators.patterns import keyword_documents, mine_patterns
 from corpusdeck.operators.sentiment import chunk_rows, chunk_sentiment, polarity_scorer, roll_up_chunks
 from corpusdeck.operators.skew import attach_by_key, lookup
+from corpusdeck.operators.terms import in_buckets, sharded_words, squeezed
+from corpusdeck.operators.wordvectors import word_vectors_of_shards
 from corpusdeck.plans.analysis import AnalysisConfig, analyze_documents
 
 
@@ -326,6 +330,48 @@ def test_vector_keywords_send_a_word_once_for_a_shard(spark):
     assert found[0, 1][0] == "silk wool" and found[0, 1][1] == pytest.approx(3.4 / (1.6**2 + 1.8**2) ** 0.5 / 2**0.5, abs=1e-6)
 
 
+def test_vectors_go_to_few_shards_in_few_bytes(spark):
+    rng = random.Random(5)
+    df = docs(spark, *[" ".join(f"w{rng.randrange(2_000)}" for _ in range(300)) for _ in range(400)]).cache()
+    vectors = train_embeddings(df, size=32, min_count=1)
+    placed, packing = word_vectors_of_shards(sharded_words(df, 24, [], "doc_id", "text"), vectors, 24, 32)
+    rows = placed.collect()
+    assert len({r._shard for r in rows}) == 24
+    words = sum(int(np.unpackbits(np.frombuffer(r.found, np.uint8)).sum()) for r in rows)
+    assert sum(len(r.data) for r in rows) < 0.6 * 8 * 32 * words
+    # A shard's own vectors come back, bit by bit.
+    known = {r.word: r.vector for r in vectors.collect()}
+    own = [" ".join(sorted({x for x in known if zlib.crc32(x.encode()) % 3})), None, "", "unknown " + next(iter(known))]
+    table = pa.table({"doc_id": [1, 2, 3, 4], "_words": own})
+    listed = sorted({x for t in own if t for x in t.split()})
+    order, starts = in_buckets(pa.array(listed), packing.buckets)
+    back = {"_bucket": [], "found": [], "data": []}
+    for b in range(packing.buckets):
+        run = [listed[i] for i in order[starts[b] : starts[b + 1]]]
+        sums = {r.word: r.sums for r in vectors.filter(F.col("word").isin(run)).collect()} if b < 2 else {}
+        numbers = np.array([sums[x] for x in run if x in sums], np.int64).ravel()
+        back["_bucket"].append(b)
+        back["found"].append(np.packbits(np.array([x in sums for x in run], bool)).tobytes())
+        back["data"].append(squeezed((numbers << 1) ^ (numbers >> 63)))
+    got = packing.unpacked(table, pa.table(back))
+    for x, v, there in zip(got.vocab.to_pylist(), got.rows(got.vocab)[0].tolist(), got.known.tolist(), strict=True):
+        assert (x, v) == (x, known[x] if there else [0.0] * 32)
+    assert 0 < got.known.sum() < len(known)
+
+
+def test_documents_in_slices_rank_as_in_one(spark, monkeypatch):
+    from corpusdeck.operators import wordvectors
+
+    rows = [(i % 30 if i % 7 else None, f"w{i % 5} w{i % 11} moon w{i}") for i in range(200)] + [(5, None), (6, "")]
+    table = pa.table({"doc_id": [i for i, _ in rows], "_words": [t for _, t in rows]})
+    monkeypatch.setattr(wordvectors, "SLICE_CHARS", 100)
+    slices = list(wordvectors.document_slices(table, "doc_id"))
+    assert len(slices) > 10
+    of = [(i, k) for k, part in enumerate(slices) for i in part["doc_id"].to_pylist()]
+    assert len(set(of)) == len({i for i, _ in of}) and len(of) == len(rows)
+    assert wordvectors.shard_vocabulary(table).to_pylist() == sorted({w for _, t in rows if t for w in t.split()})
+
+
 # Entities
 
 
