@@ -21,17 +21,27 @@ from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from corpusdeck.functions.arrays import bind
 from corpusdeck.functions.text import drop_words, word_tokens
-from corpusdeck.functions.vectors import dot
-from corpusdeck.operators.skew import lookup
-from corpusdeck.operators.terms import LEAST_SHARDS, by_shard, coded_words, in_buckets, lines, squeezed, unsqueezed
-from corpusdeck.session import scratch_path, shuffles_freed
+from corpusdeck.operators.terms import (
+    LEAST_SHARDS,
+    by_shard,
+    coded_words,
+    flat_words,
+    in_buckets,
+    lines,
+    sharded_words,
+    squeezed,
+    summed_rows,
+    unsqueezed,
+)
+from corpusdeck.operators.wordvectors import document_slices, units, vector_shard_count, word_vectors_of_shards
+from corpusdeck.session import scratch_path, shuffles_freed, stored
 
 SCALE = 1 << 20
 MOST_DIMENSIONS = 128
 #: Characters of the texts of a shard and for each block of words, about; turns in which a shard's pairs are counted;
 #: slices of a block's contexts; pairs that wait to be merged and that are weighed at once; pairs whose signs are added
 #: at once.
-PAIR_SHARD_CHARS = 16_000_000
+PAIR_SHARD_CHARS = 12_000_000
 BLOCK_CHARS = 96_000_000
 TURNS = 4
 SLICES = 8
@@ -114,7 +124,8 @@ def _packed_pairs(number: np.ndarray, row: np.ndarray, bucket: np.ndarray, place
         first = (place >= 0) & (bucket % TURNS == turn)
         found = []
         for left, right in _neighbours(row, window):
-            for x, y in ((number[left], number[right]), (number[right], number[left])):
+            a, b = number[left], number[right]
+            for x, y in ((a, b), (b, a)):
                 both = np.flatnonzero(first[x] & (place[y] >= 0))
                 x, y = x[both], y[both]
                 found.append(((bucket[x] * SLICES + bucket[y] % SLICES) * heads + place[x]) * base + at[y])
@@ -218,6 +229,7 @@ def train_embeddings(
 
     def paired(table: pa.Table, numbers: pa.Table) -> pa.Table:
         vocab, number, row = coded_words(table["_words"])
+        number, row = number.astype(np.int32), row.astype(np.int32)
         order, starts = in_buckets(vocab, buckets)
         bucket, place = np.empty((2, len(vocab)), np.int64)
         bucket[order] = np.repeat(np.arange(buckets), np.diff(starts))
@@ -260,15 +272,11 @@ def train_embeddings(
                 weight = np.floor(SCALE * np.log(lift) + 0.5).astype(np.int64)
                 kept = weight > 0
                 _added(sums, x[kept], bits[y[kept]], weight[kept])
-        vector = sums.astype(float)
-        squares = np.zeros(len(words))
-        for j in range(size):
-            squares += vector[:, j] * vector[:, j]
+        vector, squares = units(sums)
         found = np.flatnonzero(squares > 0)
-        vector = vector[found] / np.sqrt(squares[found])[:, None]
         offsets = pa.array(np.arange(0, len(found) * size + 1, size), pa.int32())
         columns = [pa.array(words, pa.string()).take(pa.array(found)), n[found]]
-        columns += [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (vector, sums[found])]
+        columns += [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (vector[found], sums[found])]
         return pa.table(columns, names=["word", "n", "vector", "sums"])
 
     both = pairs.groupBy("_block").cogroup(known.groupBy("_block"))
@@ -279,26 +287,36 @@ def train_embeddings(
     return df.sparkSession.read.schema(found.schema).parquet(path)
 
 
-def unit(vector: Column) -> Column:
-    """``vector`` at length one; a zero vector stays."""
-
-    def scaled(v: Column) -> Column:
-        return bind(F.sqrt(dot(v, v)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v))
-
-    return bind(vector, scaled)
-
-
 def embed_documents(
     df: DataFrame, vectors: DataFrame, size: int, stops: Iterable[str] = (), doc: str = "doc_id", text: str = "text", out: str = "embedding"
 ) -> DataFrame:
     """Add the mean vector of a document's known words, null if it has none. ``doc`` is a key; the vectors
     have ``size`` dimensions.
 
-    Texts are placed by document before they fan out, and a document's words are counted before they meet
-    their vectors."""
-    placed = df.select(doc, text).repartition(doc).select(doc, F.explode_outer(_words(text, stops)).alias("word"))
-    counted = placed.filter("word is not null").groupBy(doc, "word").agg(F.count(F.lit(1)).alias("_k"))
-    met = lookup(counted, vectors.select("word", "vector"), "word", F.col(doc))
-    summed = met.groupBy(doc).agg(F.sum("_k").alias("_known"), *(F.sum(F.col("_k") * F.col("vector")[j]).alias(f"_s{j}") for j in range(size)))
-    mean = summed.select(doc, F.array(*(F.col(f"_s{j}") / F.col("_known") for j in range(size))).alias(out))
+    Texts are tokenised once and placed in shards of documents; a shard's distinct words leave it and come back with their
+    vectors. The means are stored in the scratch folder."""
+    shards = vector_shard_count(df.agg(F.sum(F.length(text))).first()[0], size)
+    words = sharded_words(df, shards, stops, doc, text)
+    placed, packing = word_vectors_of_shards(words, vectors, shards, size)
+    kind = df.schema[doc].dataType.simpleString()
+
+    def means(table: pa.Table, found: pa.Table) -> pa.Table:
+        vectors = packing.unpacked(table, found)
+        ids, mean = [], []
+        for part in document_slices(table, doc):
+            vocab, number, row, docs = flat_words(part, doc)
+            matrix, known = vectors.rows(vocab)
+            # A document's rows stand together.
+            starts = np.searchsorted(docs.indices.to_numpy()[row], np.arange(len(docs.dictionary) + 1))
+            for d, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                if n := int(known[number[a:b]].sum()):
+                    ids.append(docs.dictionary[d])
+                    mean.append(summed_rows(matrix, number[a:b]) / n)
+        offsets = pa.array(np.arange(0, len(mean) * size + 1, size), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(mean) if mean else np.zeros(0)))
+        return pa.table([pa.array(ids, table.schema.field(doc).type), lists], names=[doc, out])
+
+    both = words.groupBy("_shard").cogroup(placed.groupBy("_shard"))
+    with shuffles_freed(df.sparkSession):
+        mean = stored(both.applyInArrow(means, f"{doc} {kind}, {out} array<double>"), "document-vectors")
     return df.drop(out).join(mean, doc, "left")
