@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -194,13 +194,20 @@ def keyword_mmr(
     query_id: str = "query_id",
     item_id: str = "vec_id",
     vector: str = "embedding",
+    together: bool = False,
 ) -> DataFrame:
     """Greedy maximal-marginal-relevance choice of ``top_n`` from the best ``2 * top_n`` per query.
 
     ``ranked`` has ``(query_id, rank, item_id, score)`` and either the vectors themselves, as
     :func:`keyword_extract_by_vectors` gives them per document, or takes them from ``vectors``. A
     group never has more than ``2 * top_n`` rows. Output: the same columns, in the order chosen.
+
+    ``together`` says that the rows of a query stand one after another in one partition, as those that
+    :func:`keyword_extract_by_vectors` has just given; they are then chosen from where they are, without a shuffle
+    of their vectors.
     """
+    if together and vectors is not None:
+        raise ValueError("rows that are together have their vectors")
     pool = ranked.filter(F.col("rank") <= 2 * top_n)
     if vectors is not None:
         narrow = pool.select(query_id, item_id, "score")
@@ -217,7 +224,45 @@ def keyword_mmr(
         out = pdf.loc[chosen, [query_id, item_id, "score"]]
         return out.assign(rank=np.arange(1, len(chosen) + 1))[[query_id, "rank", item_id, "score"]]
 
-    return pool.select(query_id, item_id, "score", vector).groupBy(query_id).applyInPandas(pick, schema)
+    if not together:
+        return pool.select(query_id, item_id, "score", vector).groupBy(query_id).applyInPandas(pick, schema)
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            starts = _runs(rows[query_id])
+            yield from _mmr_rows(rows.slice(0, starts[-2]), query_id, item_id, vector, top_n, diversity).to_batches()
+            rest = rows.slice(starts[-2])
+        if rest is not None:
+            yield from _mmr_rows(rest, query_id, item_id, vector, top_n, diversity).to_batches()
+
+    return pool.select(query_id, "rank", item_id, "score", vector).mapInArrow(picked, schema)
+
+
+def _runs(ids: pa.ChunkedArray) -> np.ndarray:
+    """Where the runs of equal ids begin (with the end); null is an id."""
+    codes = ids.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.append(np.flatnonzero(np.diff(codes, prepend=-1)), len(codes))
+
+
+def _mmr_rows(rows: pa.Table, query_id: str, item_id: str, vector: str, top_n: int, diversity: float) -> pa.Table:
+    """The rows chosen from each run of a query's rows; runs of one length are gone through at once."""
+    starts = _runs(rows[query_id])
+    run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((rows["rank"].to_numpy(), run))
+    score = rows["score"].to_numpy()[order]
+    flat = pc.list_flatten(rows[vector].combine_chunks()).to_numpy(zero_copy_only=False)
+    unit = unit_rows(flat.reshape(rows.num_rows, -1).astype("float64"))[order] if rows.num_rows else flat
+    chosen, rank = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    for length in np.unique(np.diff(starts)):
+        at = starts[:-1][np.diff(starts) == length][:, None] + np.arange(length)
+        own = unit[at]
+        best = mmr_orders(own @ own.transpose(0, 2, 1), score[at], top_n, diversity)
+        chosen = np.append(chosen, np.take_along_axis(at, best, axis=1))
+        rank = np.append(rank, np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(at)))
+    out = rows.take(pa.array(order[chosen]))
+    return pa.table([out[query_id], rank, out[item_id], out["score"]], names=[query_id, "rank", item_id, "score"])
 
 
 def mmr_order(similarity: np.ndarray, relevance: np.ndarray, top_n: int, diversity: float) -> list[int]:
@@ -234,3 +279,19 @@ def mmr_order(similarity: np.ndarray, relevance: np.ndarray, top_n: int, diversi
         chosen.append(best)
         closest = np.maximum(closest, similarity[best])
     return chosen
+
+
+def mmr_orders(similarity: np.ndarray, relevance: np.ndarray, top_n: int, diversity: float) -> np.ndarray:
+    """:func:`mmr_order` of many queries of as many rows each, a row of positions for each query."""
+    each = np.arange(len(relevance))
+    chosen = np.zeros((len(each), min(top_n, relevance.shape[1])), np.int64)
+    taken = np.zeros(relevance.shape, bool)
+    taken[:, 0] = True
+    closest = similarity[:, 0].copy()
+    for step in range(1, chosen.shape[1]):
+        value = np.round((1 - diversity) * relevance - diversity * closest, 9)
+        value[taken] = -np.inf
+        best = np.argmax(value, axis=1)
+        chosen[:, step], taken[each, best] = best, True
+        closest = np.maximum(closest, similarity[each, best])
+    return chosen

@@ -372,6 +372,32 @@ def test_documents_in_slices_rank_as_in_one(spark, monkeypatch):
     assert wordvectors.shard_vocabulary(table).to_pylist() == sorted({w for _, t in rows if t for w in t.split()})
 
 
+def test_rows_that_are_together_are_chosen_where_they_are(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["silk", "wool", "moon", "sun", "tide", "road"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    df = spark.createDataFrame([(i % 50 if i else None, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    vectors = train_embeddings(df, size=6, min_count=1)
+    ranked = kw.keyword_extract_by_vectors(df, vectors, 6, top_n=12)
+    own = {"top_n": 6, "diversity": 0.6, "query_id": "doc_id", "item_id": "keyword"}
+    there = kw.keyword_mmr(ranked, together=True, **own)
+    plans = [x._jdf.queryExecution().executedPlan().toString().count("Exchange") for x in (ranked, there)]
+    assert plans[0] == plans[1] > 0
+    got, want = (sorted(map(repr, x.collect())) for x in (there, kw.keyword_mmr(ranked, **own)))
+    assert got == want and len(got) > 200
+    with pytest.raises(ValueError):
+        kw.keyword_mmr(ranked, vectors, together=True, **own)
+
+
+def test_many_orders_are_those_of_each():
+    rng = np.random.default_rng(2)
+    unit = kw.unit_rows(rng.normal(size=(30 * 8, 4)).round(1)).reshape(30, 8, 4)
+    relevance = -np.sort(-rng.random((30, 8)).round(1), axis=1)
+    similarity = unit @ unit.transpose(0, 2, 1)
+    for top_n in (1, 5, 20):
+        got = kw.mmr_orders(similarity, relevance, top_n, 0.7)
+        assert got.tolist() == [kw.mmr_order(s, r, top_n, 0.7) for s, r in zip(similarity, relevance)]
+
+
 # Entities
 
 

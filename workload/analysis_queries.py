@@ -156,7 +156,7 @@ def keyword_mmr_documents(spark, sf):
     docs = fx.raw_docs(spark, sf)
     vectors = train_embeddings(fx.docs(spark, sf), fx.STOPS, size=fr.DIMENSIONS)
     ranked = kw.keyword_extract_by_vectors(docs, vectors, fr.DIMENSIONS, fx.STOPS, top_n=40)
-    picked = kw.keyword_mmr(ranked, top_n=20, diversity=0.7, query_id="doc_id", item_id="keyword")
+    picked = kw.keyword_mmr(ranked, top_n=20, diversity=0.7, query_id="doc_id", item_id="keyword", together=True)
     return picked.withColumn("score", F.round("score", 6))
 
 
