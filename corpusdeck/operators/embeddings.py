@@ -26,6 +26,7 @@ from corpusdeck.operators.terms import (
     by_shard,
     coded_words,
     flat_words,
+    free_memory,
     in_buckets,
     lines,
     sharded_words,
@@ -168,6 +169,7 @@ def train_embeddings(
     words = by_shard(df.select(F.pmod(F.xxhash64(*spread), F.lit(shards)).cast("int").alias("_shard"), joined), shards)
 
     def counted(table: pa.Table) -> pa.Table:
+        free_memory()
         vocab, number, row = coded_words(table["_words"])
         mass = np.zeros(len(vocab), np.int64)
         for left, right in _neighbours(row, window):
@@ -228,6 +230,7 @@ def train_embeddings(
     known = known.select("*", block).withColumns({c: F.when(own, F.col(c)) for c in ("words", "n")}).repartition(buckets, "_block")
 
     def paired(table: pa.Table, numbers: pa.Table) -> pa.Table:
+        free_memory()
         vocab, number, row = coded_words(table["_words"])
         number, row = number.astype(np.int32), row.astype(np.int32)
         order, starts = in_buckets(vocab, buckets)
@@ -242,6 +245,7 @@ def train_embeddings(
     pairs = both.applyInArrow(paired, "_block int, slice int, base long, pairs binary, n binary").repartition(buckets, "_block")
 
     def weighed(pairs: pa.Table, known: pa.Table) -> pa.Table:
+        free_memory()
         figures = {r["_bucket"]: r for r in known.select(["_bucket", "m", "bits"]).to_pylist()}
         total = float(sum(known["total"].to_pylist()))
         none = squeezed(np.zeros(0, np.int64))
@@ -301,6 +305,7 @@ def embed_documents(
     kind = df.schema[doc].dataType.simpleString()
 
     def means(table: pa.Table, found: pa.Table) -> pa.Table:
+        free_memory()
         vectors = packing.unpacked(table, found)
         ids, mean = [], []
         for part in document_slices(table, doc):

@@ -19,6 +19,7 @@ from corpusdeck.operators.terms import (
     bucket_count,
     by_shard,
     flat_words,
+    free_memory,
     packed,
     shard_count,
     shard_terms,
@@ -160,6 +161,7 @@ def keyword_extract_by_vectors(
         return pa.table(columns, names=[doc, "rank", "keyword", "score", "embedding"])
 
     def ranked(table: pa.Table, found: pa.Table) -> pa.Table:
+        free_memory()
         own = packing.unpacked(table, found)
         parts = [ranked_slice(part, own) for part in document_slices(table, doc)]
         return pa.concat_tables(parts) if parts else ranked_slice(table, own)

@@ -8,8 +8,10 @@ buckets, a row for each, and figures come back in the same order.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterable
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,6 +99,14 @@ def unpacked(binaries: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(binaries.to_pylist()), "<u4")
 
 
+def free_memory() -> None:
+    """Gives memory that is free back to the system. A Python worker serves one stage after another, and keeps what the
+    largest group of an earlier one took."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """Whole numbers from 0 on in few bytes: their lowest bytes, then the next ones, compressed."""
     values = np.ascontiguousarray(values, "<u8")

@@ -22,6 +22,7 @@ from corpusdeck.operators.terms import (
     SHARD_CHARS,
     by_shard,
     coded_words,
+    free_memory,
     in_buckets,
     lines,
     squeezed,
@@ -103,6 +104,7 @@ class Packing:
             else:
                 numbers = np.frombuffer(data, "<f8")
             matrix[at] = numbers.reshape(len(at), self.size)
+        free_memory()
         return ShardVectors(vocab, matrix, known)
 
 
@@ -131,6 +133,7 @@ def word_vectors_of_shards(words: DataFrame, vectors: DataFrame, shards: int, si
     buckets = max(LEAST_SHARDS, shards)
 
     def listed(table: pa.Table) -> pa.Table:
+        free_memory()
         vocab = shard_vocabulary(table)
         order, starts = in_buckets(vocab, buckets)
         columns = [
@@ -146,6 +149,7 @@ def word_vectors_of_shards(words: DataFrame, vectors: DataFrame, shards: int, si
     held = vectors.filter("word is not null").select(bucket, "word", F.col(value).cast(kind).alias(value)).repartition(buckets, "_bucket")
 
     def sent(asked: pa.Table, held: pa.Table) -> pa.Table:
+        free_memory()
         lists = pc.split_pattern(asked["words"].combine_chunks(), "\n")
         at = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=held["word"].combine_chunks()), -1).to_numpy()
         starts = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
